@@ -105,3 +105,43 @@ def first_per(df: DataFrame, group: list[str], keys: list[Key], columns: list[st
         .agg(F.min_by(F.struct(*columns), order).alias("_first"))
         .select(*group, *[F.col(f"_first.{c}").alias(c) for c in columns])
     )
+
+
+def running_sum(df: DataFrame, group: list[str], keys: list[Key], bucket: Column, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of each group.
+
+    ``bucket`` splits a group into consecutive slices of its order, so that a
+    hot group is summed slice by slice: rows inside a slice in one window, and
+    the slices' totals - one row each - in a second one.
+    """
+    sliced = df.withColumn("_slice", bucket).withColumn("_value", value)
+    inside = Window.partitionBy(*group, "_slice").orderBy(*sorts(keys)).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(*group, "_slice").agg(F.sum("_value").alias("_total")).select(
+        *group, "_slice", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_before"))
+    return (
+        sliced.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+        .join(totals, [*group, "_slice"])
+        .withColumn(name, F.col("_before") + F.col("_inside"))
+        .drop("_slice", "_value", "_inside", "_before")
+    )
+
+
+def previous_row(df: DataFrame, group: list[str], keys: list[Key], bucket: Column, columns: list[str], name: str) -> DataFrame:
+    """The preceding row of each group as a struct column, null for the first.
+
+    Like :func:`running_sum`, works slice by slice: the last row of every
+    slice is an aggregate, carried to the next non-empty slice.
+    """
+    sliced = df.withColumn("_slice", bucket).withColumn("_row", F.struct(*columns))
+    inside = Window.partitionBy(*group, "_slice").orderBy(*sorts(keys))
+    across = Window.partitionBy(*group).orderBy("_slice")
+    place = F.struct(*[k.expr.alias(f"k{i}") for i, k in enumerate(keys)])
+    lasts = sliced.groupBy(*group, "_slice").agg(F.max_by("_row", place).alias("_last")).select(
+        *group, "_slice", F.lag("_last").over(across).alias("_carried"))
+    return (
+        sliced.withColumn("_before", F.lag("_row").over(inside))
+        .join(lasts, [*group, "_slice"])
+        .withColumn(name, F.coalesce("_before", "_carried"))
+        .drop("_slice", "_row", "_before", "_carried")
+    )
