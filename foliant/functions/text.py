@@ -24,3 +24,13 @@ def squeeze(value: Column) -> Column:
 
 def empty_to_null(value: Column) -> Column:
     return F.when(value != "", value)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """A literal dictionary as an expression; null for unknown keys."""
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]

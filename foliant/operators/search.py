@@ -14,6 +14,7 @@ from foliant.functions.tagging import path_prefixes, tag_key
 from foliant.functions.text import SPACE, strip
 from foliant.functions.tokens import python_tokens, tokens
 from foliant.operators.browse import blank, live
+from foliant.session import cut_lineage
 
 # Relevance weight of each indexed field, and the BM25 constants.
 WEIGHTS = {"title": 10.0, "authors": 8.0, "series": 4.0, "genres": 1.0, "tags": 1.0, "description": 1.0,
@@ -45,6 +46,10 @@ class SearchIndex:
             "overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
+    def settled(self) -> "SearchIndex":
+        """The index written to the checkpoint folder, for several passes over it in one job."""
+        return SearchIndex(cut_lineage(self.postings), cut_lineage(self.lengths))
+
     @classmethod
     def read(cls, spark, path: str) -> "SearchIndex":
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
@@ -88,8 +93,11 @@ def build_search_index(books: DataFrame, authors: DataFrame, book_authors: DataF
 
 
 def index_values(pieces: DataFrame, tag_keys: DataFrame | None = None) -> SearchIndex:
-    """Index pieces of text given as (book_id, field, at, tie, text)."""
-    split = pieces.withColumn("words", tokens(F.col("text"))).drop("text")
+    """Index pieces of text given as (book_id, field, at, tie, text).
+
+    The tokenised pieces feed three branches, so they are written once.
+    """
+    split = cut_lineage(pieces.withColumn("words", tokens(F.col("text"))).drop("text"))
     placed = running_sum(split, ["book_id", "field"], [Key(F.col("at")), Key(F.col("tie"))],
                          F.floor(F.col("at") / SLICE), F.size("words").cast("long"), "start")
     text = placed.select("book_id", "field", "start", F.posexplode("words").alias("i", "term")).select(
@@ -248,7 +256,8 @@ def search(cat, index: SearchIndex, q: str, user_id: int = 0, visible: DataFrame
         return rows.where(F.lit(False)).withColumn("score", F.lit(None).cast("double"))
     if not worded:
         return rows.withColumn("score", F.lit(None).cast("double"))
-    scores = rank_bm25(index, match_terms(index, worded), len(worded))
+    # The hits are counted per clause and then scored: two passes over one result.
+    scores = rank_bm25(index, cut_lineage(match_terms(index, worded)), len(worded))
     return rows.join(scores.withColumnRenamed("book_id", "id"), "id")
 
 

@@ -205,7 +205,7 @@ GROUP BY h.shelf_id, h.book_id HAVING count(*) = max(n.need)"""
 
 
 def matches_of(c: Catalog) -> DataFrame:
-    return search.evaluate_saved_queries(index_of(c), c.shelves, c.tags, c.book_tags)
+    return search.evaluate_saved_queries(index_of(c).settled(), c.shelves, c.tags, c.book_tags)
 
 
 query("evaluate_saved_queries", "SELECT shelf_id, book_id FROM {query_matches}")(matches_of)
@@ -260,7 +260,7 @@ LEFT JOIN {users} u ON u.id = r.user_id LEFT JOIN {visible_all} v ON v.user_id =
 
 def search_ranked(c: Catalog) -> DataFrame:
     """The flagship: search, rank and page within one scoped reader's visible books."""
-    index = index_of(c)
+    index = index_of(c).settled()
     matches = search.evaluate_saved_queries(index, c.shelves, c.tags, c.book_tags)
     seen = scope.visible_books(19, c.users, c.shelves, c.user_scope_shelves, c.shelf_books, matches, c.books)
     return hit_list(search.search(c, index, "gear author:moreau", 19, seen), 100)
