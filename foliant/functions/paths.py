@@ -39,11 +39,12 @@ def _field(row: dict[str, Column], name: str, use: bool) -> Column:
     if name == "author":
         return _default(author, "Unknown Author", use)
     if name == "author_sort":
-        derived = author_sort(author)
-        filled = F.when(sort != "", sort).when(derived != "", derived).otherwise(F.lit("Unknown Author"))
-        return filled if use else sort
+        if not use:
+            return sort
+        return F.when(sort != "", sort).otherwise(
+            let(author_sort(author), lambda d: F.when(d != "", d).otherwise(F.lit("Unknown Author"))))
     if name == "author_bucket":
-        filled = bucket(F.when(sort == "", author_sort(author)).otherwise(sort))
+        filled = let(F.when(sort == "", author_sort(author)).otherwise(sort), bucket)
         return filled if use else F.when(sort == "", F.lit("")).otherwise(filled)
     if name == "series":
         return _default(row["series"], "_No Series", use)

@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import strip
+from foliant.functions.text import SPACE, strip
 
 MAX_DEPTH = 16
 
 
-def tag_parts(name: Column) -> Column:
-    """Non-empty dot-separated components; malformed or too deep names stay one literal part."""
-    name = strip(name)
-    parts = F.transform(F.split(name, r"\."), lambda p: strip(p))
-    literal = (F.size(parts) > MAX_DEPTH) | F.exists(parts, lambda p: p == "")
-    return F.when(name == "", F.array().cast("array<string>")).when(literal, F.array(name)).otherwise(parts)
+def _literal(name: Column) -> Column:
+    """True for names with an empty component or more than 16 levels: they are no path."""
+    dots = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit("")))
+    return (dots >= MAX_DEPTH) | name.rlike(rf"^\.|\.$|\.{SPACE}*\.")
 
 
 def normalize_tag_name(name: Column) -> Column:
-    return F.array_join(tag_parts(name), ".")
+    """Trimmed name with trimmed path components; malformed or too deep names stay literal."""
+    name = strip(name)
+    return F.when(_literal(name), name).otherwise(F.regexp_replace(name, rf"{SPACE}*\.{SPACE}*", "."))
+
+
+def tag_parts(name: Column) -> Column:
+    """Dot-separated components; malformed or too deep names stay one literal part."""
+    tidy = normalize_tag_name(name)
+    return F.when(tidy == "", F.array().cast("array<string>")).when(_literal(tidy), F.array(tidy)).otherwise(F.split(tidy, r"\."))
 
 
 def tag_key(name: Column) -> Column:
@@ -28,10 +34,9 @@ def tag_key(name: Column) -> Column:
 
 def path_prefixes(name: Column) -> Column:
     """Every leading path of a normalized name, shortest first, the name itself last."""
-    dots = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit("")))
-    literal = (dots >= MAX_DEPTH) | name.rlike(r"^\.|\.$|\.\.")
-    return F.when(literal, F.array(name)).otherwise(
-        F.transform(F.sequence(F.lit(1), dots + 1), lambda n: F.call_function("substring_index", name, F.lit("."), n)))
+    levels = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+    return F.when(_literal(name), F.array(name)).otherwise(
+        F.transform(F.sequence(F.lit(1), levels), lambda n: F.call_function("substring_index", name, F.lit("."), n)))
 
 
 def first_spellings(names: Column) -> Column:
