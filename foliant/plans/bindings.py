@@ -33,7 +33,7 @@ BASE_SCHEMAS = {
 }
 BASE = tuple(BASE_SCHEMAS)
 
-_SPARK = {"@EPOCH(": "unix_timestamp(", "@MILLIS(": "unix_millis(", "@ROW(": "struct("}
+_SPARK = {"@EPOCH(": "unix_timestamp(", "@ROW(": "struct("}
 _DUCK = {"@EPOCH(": "epoch_s(", "@MILLIS(": "epoch_ms(", "@ROW(": "row("}
 
 BINDINGS: dict[str, str] = {}
@@ -296,12 +296,16 @@ def references(sql: str) -> list[str]:
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Catalog:
-    """A catalogue over the base tables in ``sf_dir`` plus every binding."""
+    """A catalogue over the base tables in ``sf_dir`` plus every binding.
+
+    The tables hold zone-less timestamps that mean UTC.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def resolve(name: str) -> DataFrame:
         if name in BASE:
             return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-        sql = BINDINGS[name]
+        sql = re.sub(r"@MILLIS\(([\w.]+)\)", r"unix_millis(CAST(\1 AS TIMESTAMP))", BINDINGS[name])
         return spark.sql(_rewrite(sql, _SPARK), **{ref: getattr(catalog, ref) for ref in references(sql)})
 
     catalog = Catalog(spark, resolve)
