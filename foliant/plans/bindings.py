@@ -34,7 +34,7 @@ BASE_SCHEMAS = {
 BASE = tuple(BASE_SCHEMAS)
 
 _SPARK = {"@EPOCH(": "unix_timestamp(", "@ROW(": "struct("}
-_DUCK = {"@EPOCH(": "epoch_s(", "@MILLIS(": "epoch_ms(", "@ROW(": "row("}
+_DUCK = {"@EPOCH(": "epoch_s(", "@MILLIS(": "epoch_m(", "@ROW(": "row("}
 
 BINDINGS: dict[str, str] = {}
 
@@ -328,6 +328,7 @@ def oracle_text(sql: str) -> str:
 
     def duck(text: str) -> str:
         text = _rewrite(text, _DUCK)
+        text = re.sub(r"epoch_m\(([\w.]+)\)", r"CAST(floor(epoch_us(\1) / 1000) AS BIGINT)", text)
         text = re.sub(r"epoch_s\(([\w.]+)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", text)
         text = re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", text)
         return text.replace("{{", "{").replace("}}", "}").strip()
