@@ -21,11 +21,16 @@ def query(name: str, oracle: str | None = None) -> Callable[[Job], Job]:
     def register(job: Job) -> Job:
         JOBS[name] = job
         if oracle is not None:
-            ORACLES[name] = oracle_text(oracle)
+            ORACLES[name] = oracle
         return job
 
     return register
 
 
+def oracles() -> dict[str, str]:
+    """Complete SQL texts; composed late, when the bindings of all modules are known."""
+    return {name: oracle_text(sql) for name, sql in ORACLES.items()}
+
+
 def runnable(job: Job) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: job(bind(spark, sf_dir))
