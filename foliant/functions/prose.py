@@ -188,10 +188,13 @@ def search_in_text(text: Column, q: str) -> Column:
     literal = "".join("\\" + c if c in special else c for c in q.lower())
 
     def read(parts: Column) -> Column:
-        counts = F.transform(parts, lambda p: F.length(p))
+        # Where each match begins: the lengths of the pieces before it, and of the earlier matches.
+        begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(MAX_MATCHES))), begin, lambda s, p: F.struct(
+            (s["next"] + F.length(p) + size).alias("next"), F.concat(s["starts"], F.array(s["next"] + F.length(p))).alias("starts")),
+            lambda s: s["starts"])
 
-        def match(length: Column, i: Column) -> Column:
-            at = F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) + i * size
+        def match(at: Column) -> Column:
             start = F.greatest(at - CONTEXT, F.lit(0))
             stop = F.least(at + size + CONTEXT, F.length(text))
             return F.struct(
@@ -200,7 +203,6 @@ def search_in_text(text: Column, q: str) -> Column:
                 F.substring(text, at + 1, F.lit(size)).alias("match"),
                 F.concat(F.substring(text, at + size + 1, stop - at - size), F.when(stop < F.length(text), F.lit("…")).otherwise(F.lit(""))).alias("post"))
 
-        found = F.least(F.size(parts) - 1, F.lit(MAX_MATCHES))
-        return F.transform(F.slice(counts, F.lit(1), found), match)
+        return F.transform(starts, match)
 
     return let(F.split(F.lower(text), literal, MAX_MATCHES + 1), read)

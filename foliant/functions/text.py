@@ -19,7 +19,7 @@ def words(value: Column) -> Column:
 
 
 def squeeze(value: Column) -> Column:
-    return F.array_join(words(value), " ")
+    return F.regexp_replace(strip(value), rf"{SPACE}+", " ")
 
 
 def empty_to_null(value: Column) -> Column:

@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.session import spread
 from foliant.sources.catalog import Catalog
 
 # Declared, so that opening a table costs no schema-inference job.
@@ -168,8 +169,16 @@ SELECT segment, CAST(seg AS BIGINT) AS seg FROM
 (VALUES ('AUTOMOBILE', 0), ('BUILDING', 1), ('FURNITURE', 2), ('HOUSEHOLD', 3), ('MACHINERY', 4)) AS g(segment, seg)
 """
 
-# Saved searches; the match text is kept only where the search may grant access.
+# Saved searches: one per customer, and a few with every turn of the language.
+# The match text is kept only where the search may grant access.
 BINDINGS["query_shelves"] = """
+SELECT id, name, query, CASE WHEN kind IN (0, 1, 2, 5) THEN query ELSE '' END AS query_match, owner_id, visibility FROM (
+  SELECT c.c_custkey + 2000 AS id, 'Saved ' || CAST(c.c_custkey AS STRING) AS name, c.c_custkey % 6 AS kind, c.c_custkey + 1 AS owner_id, 'personal' AS visibility,
+         CASE c.c_custkey % 6 WHEN 0 THEN 'title:"' || p.p_name || '"' WHEN 1 THEN 'series:"' || p.p_brand || '" ' || substr(p.p_name, 1, 2)
+              WHEN 2 THEN 'tag:"Shelf.' || p.p_type || '"' WHEN 3 THEN 'no:cover ' || p.p_name WHEN 4 THEN '"' || p.p_name
+              ELSE 'genre:"Asia" ' || p.p_name END AS query
+  FROM {customer} c JOIN {part} p ON p.p_partkey = c.c_custkey) own
+UNION ALL
 SELECT CAST(id AS BIGINT) AS id, name, query, query_match, CAST(owner_id AS BIGINT) AS owner_id, visibility FROM (VALUES
   (901, 'Red things', 'red', 'red', 2, 'shared'),
   (902, 'One series', 'series:"Brand#7"', 'series:"Brand#7"', 2, 'shared'),
@@ -280,6 +289,10 @@ WHERE b.deleted_at IS NULL
 # Common table expressions used by oracles alone (name -> SQL text).
 ORACLE_ONLY: dict[str, str] = {}
 
+# Inputs of text-heavy functions, each stored as one file here, and their keys.
+CPU_HEAVY = {"documents": "doc_id", "pages": "page_id", "raw_dates": "id", "raw_langs": "id", "raw_names": "id",
+             "raw_author_lists": "id", "raw_isbns": "id", "raw_ids": "id"}
+
 
 def _sql_of(name: str) -> str:
     return ORACLE_ONLY[name] if name in ORACLE_ONLY else BINDINGS[name]
@@ -304,9 +317,11 @@ def bind(spark: SparkSession, sf_dir: str) -> Catalog:
 
     def resolve(name: str) -> DataFrame:
         if name in BASE:
-            return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+            table = spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+            return spread(table, CPU_HEAVY[name]) if name in CPU_HEAVY else table
         sql = re.sub(r"@MILLIS\(([\w.]+)\)", r"unix_millis(CAST(\1 AS TIMESTAMP))", BINDINGS[name])
-        return spark.sql(_rewrite(sql, _SPARK), **{ref: getattr(catalog, ref) for ref in references(sql)})
+        bound = spark.sql(_rewrite(sql, _SPARK), **{ref: getattr(catalog, ref) for ref in references(sql)})
+        return spread(bound, CPU_HEAVY[name]) if name in CPU_HEAVY else bound
 
     catalog = Catalog(spark, resolve)
     return catalog

@@ -185,10 +185,13 @@ ORACLE_ONLY["saved_words"] = f"""
 SELECT shelf_id, pos, key, len(words) AS n, prefix, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place
 FROM (SELECT *, {words_sql('value')} AS words FROM {{saved_terms}}
       WHERE may_grant_access AND NOT (key IN ('tag', 'genre') AND (quoted OR exact))) x"""
+ORACLE_ONLY["saved_lookup"] = """
+SELECT DISTINCT w.word, w.pre, v.term FROM (SELECT DISTINCT word, prefix AND place = n - 1 AS pre FROM {saved_words}) w
+JOIN (SELECT DISTINCT term FROM {post}) v ON CASE WHEN w.pre THEN starts_with(v.term, w.word) ELSE v.term = w.word END"""
 ORACLE_ONLY["saved_hits"] = """
 WITH filled AS (
   SELECT w.shelf_id, w.pos, w.n, p.book_id, p.field, p.pos - w.place AS first_pos, w.place
-  FROM {saved_words} w JOIN {post} p ON CASE WHEN w.prefix AND w.place = w.n - 1 THEN starts_with(p.term, w.word) ELSE p.term = w.word END
+  FROM {saved_words} w JOIN {saved_lookup} k ON k.word = w.word AND k.pre = (w.prefix AND w.place = w.n - 1) JOIN {post} p ON p.term = k.term
   WHERE CASE w.key WHEN '' THEN p.field <> 'tag_keys' WHEN 'author' THEN p.field = 'authors' WHEN 'tag' THEN p.field = 'tags'
                    WHEN 'genre' THEN p.field = 'genres' ELSE p.field = w.key END)
 SELECT DISTINCT shelf_id, pos, book_id FROM (
@@ -210,11 +213,10 @@ def matches_of(c: Catalog) -> DataFrame:
 
 query("evaluate_saved_queries", "SELECT shelf_id, book_id FROM {query_matches}")(matches_of)
 
-RENAMES = """SELECT t.kind, t.name_key, 'Orient' || substr(t.name, 5) AS new_name FROM {tags} t WHERE t.kind = 'genre' AND starts_with(t.name_key, 'asia')
-UNION ALL SELECT t.kind, t.name_key, 'Rack' || substr(t.name, 6) FROM {tags} t WHERE t.kind = 'tag' AND starts_with(t.name_key, 'shelf.')"""
-query("rename_in_saved_queries", r"""
-SELECT shelf_id, query FROM (VALUES (903, 'genre:"Orient"'), (904, 'genre:="Orient" widget'), (909, 'tag:"Rack.SMALL"')) AS x(shelf_id, query)
-""".replace("SELECT shelf_id, query FROM (VALUES", "SELECT CAST(shelf_id AS BIGINT) AS shelf_id, query FROM (VALUES"))(
+query("rename_in_saved_queries", """
+SELECT CAST(shelf_id AS BIGINT) AS shelf_id, query FROM (VALUES (903, 'genre:"Orient"'), (904, 'genre:="Orient" widget'), (909, 'tag:"Rack.SMALL"')) AS x(shelf_id, query)
+UNION ALL SELECT c_custkey + 2000, CASE WHEN c_custkey % 6 = 2 THEN 'tag:"Rack.' || p_type || '"' ELSE 'genre:"Orient" ' || p_name END
+FROM {customer} JOIN {part} ON p_partkey = c_custkey WHERE c_custkey % 6 IN (2, 5)""")(
     lambda c: search.rename_in_saved_queries(c.shelves, c.tags.where(
         F.expr("(kind = 'genre' AND startswith(name_key, 'asia')) OR (kind = 'tag' AND startswith(name_key, 'shelf.'))")).select(
         "kind", "name_key", F.expr("CASE WHEN kind = 'genre' THEN concat('Orient', substr(name, 5)) ELSE concat('Rack', substr(name, 6)) END").alias("new_name"))))
@@ -261,7 +263,8 @@ LEFT JOIN {users} u ON u.id = r.user_id LEFT JOIN {visible_all} v ON v.user_id =
 def search_ranked(c: Catalog) -> DataFrame:
     """The flagship: search, rank and page within one scoped reader's visible books."""
     index = index_of(c).settled()
-    matches = search.evaluate_saved_queries(index, c.shelves, c.tags, c.book_tags)
+    assigned = scope.scope_shelves(c.users.where("id = 19"), c.shelves, c.user_scope_shelves).select(F.col("shelf_id").alias("id"))
+    matches = search.evaluate_saved_queries(index, c.shelves.join(assigned, "id", "left_semi"), c.tags, c.book_tags)
     seen = scope.visible_books(19, c.users, c.shelves, c.user_scope_shelves, c.shelf_books, matches, c.books)
     return hit_list(search.search(c, index, "gear author:moreau", 19, seen), 100)
 
