@@ -365,16 +365,21 @@ def evaluate_saved_queries(index: SearchIndex, shelves: DataFrame, tags: DataFra
     """(shelf_id, book_id): books for which every clause of a saved search holds.
 
     Only searches made of words and tag selectors can define access; searches
-    with lint errors match nothing.
+    with lint errors match nothing. Equal searches of different shelves are
+    evaluated once, for the lowest shelf, and then given to all of them.
     """
-    terms = saved_query_terms(shelves).where(F.col("may_grant_access") if eligible_only else F.col("error") == "")
+    stored = shelves.where(F.col("kind") == "query").select(F.col("id").alias("shelf_id"), strip(F.col("query")).alias("query"))
+    once = stored.groupBy("query").agg(F.min("shelf_id").alias("first_shelf"))
+    leads = shelves.join(once.select(F.col("first_shelf").alias("id")), "id", "left_semi")
+    terms = saved_query_terms(leads).where(F.col("may_grant_access") if eligible_only else F.col("error") == "")
     terms = terms.where(~F.col("is_filter"))
     selector = F.col("key").isin("tag", "genre") & (F.col("quoted") | F.col("exact"))
     matched = match_saved_words(index, terms.where(~selector)).unionByName(
         match_saved_tags(terms.where(selector), tags, book_tags))
     need = terms.groupBy("shelf_id").agg(F.count(F.lit(1)).alias("need"))
     got = matched.groupBy("shelf_id", "book_id").agg(F.count(F.lit(1)).alias("got"))
-    return got.join(need, "shelf_id").where("got = need").select("shelf_id", "book_id")
+    found = got.join(need, "shelf_id").where("got = need").select(F.col("shelf_id").alias("first_shelf"), "book_id")
+    return stored.join(once, "query").join(found, "first_shelf").select("shelf_id", "book_id")
 
 
 def rename_in_saved_queries(shelves: DataFrame, renames: DataFrame) -> DataFrame:
