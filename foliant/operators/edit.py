@@ -16,6 +16,7 @@ from foliant.functions.tagging import path_prefixes, tag_key, tag_parts
 from foliant.functions.text import strip
 from foliant.operators.dedupe import preferred_primary
 from foliant.operators.records import merge_overrides
+from foliant.session import cut_lineage
 
 # --- authors -------------------------------------------------------------------------
 
@@ -350,8 +351,12 @@ def record_asset_bytes(assets: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def relayout_plan(files: DataFrame, template: str, columns: dict[str, Column]) -> DataFrame:
-    """(asset_id, old_path, new_path, collides) for files whose rendered path differs or clashes."""
-    rendered = files.select("asset_id", F.col("storage_path").alias("old_path"), render_book_path(template, columns).alias("new_path"))
+    """(asset_id, old_path, new_path, collides) for files whose rendered path differs or clashes.
+
+    The rendered paths are counted and then compared, so they are written once.
+    """
+    rendered = cut_lineage(files.select(
+        "asset_id", F.col("storage_path").alias("old_path"), render_book_path(template, columns).alias("new_path")))
     shared = rendered.where("new_path IS NOT NULL").groupBy("new_path").agg(F.count(F.lit(1)).alias("users")).where("users > 1")
     marked = rendered.join(shared, "new_path", "left").withColumn("collides", F.col("users").isNotNull())
     return marked.where("new_path IS NULL OR new_path <> old_path OR collides").select("asset_id", "old_path", "new_path", "collides")
