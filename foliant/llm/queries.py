@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import bpe
 from foliant.llm.shared import empty_if_null
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.substrings import repeated_passages, text_key
@@ -36,3 +38,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     texts = repeated_passages(docs).select("k1", "k2", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
     return docs.select("doc_id", *text_key(empty_if_null(F.col("text")))).join(texts, ["k1", "k2"]).drop("k1", "k2")
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, offsets=False), path)
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("bytes", 256).alias("decoded_sha256"))
