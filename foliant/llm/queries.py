@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe
-from foliant.llm.shared import empty_if_null
+from foliant.llm.decontaminate import leaked_documents
+from foliant.llm.shared import empty_if_null, text_key
 from foliant.llm.simhash import near_duplicates
-from foliant.llm.substrings import repeated_passages, text_key
+from foliant.llm.substrings import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,12 @@ def query(job: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return job
 
 
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

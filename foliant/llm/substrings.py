@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import empty_if_null
+from foliant.llm.shared import empty_if_null, text_key
 
 WINDOW = 35
 PREFIXES = (8, 16, 24)
@@ -217,11 +217,6 @@ def _answers(placement: Placement):
     return run
 
 
-def text_key(text) -> list[F.Column]:
-    """Two independent 64-bit hashes that stand for a text."""
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
-
-
 def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts of one partition without repetition; how often a text came again follows as rows without it."""
     again: dict[tuple[int, int], int] = {}

@@ -3,7 +3,8 @@ from collections import Counter
 
 import pytest
 
-from foliant.llm.substrings import repeated_passages, text_key
+from foliant.llm.shared import text_key
+from foliant.llm.substrings import repeated_passages
 from pyspark.sql import functions as F
 
 
