@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import bpe
 from foliant.llm.decontaminate import leaked_documents
+from foliant.llm.pii import BASE_KINDS, find_pii
 from foliant.llm.shared import empty_if_null, text_key
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.substrings import repeated_passages
@@ -54,3 +55,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts,
+                        F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
