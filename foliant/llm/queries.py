@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliant.llm import bpe
 from foliant.llm.decontaminate import leaked_documents
 from foliant.llm.pii import BASE_KINDS, find_pii
+from foliant.llm.quality import score_documents
 from foliant.llm.shared import empty_if_null, text_key
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.substrings import repeated_passages
@@ -67,3 +68,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts,
                         F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
