@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +14,8 @@ from foliant.llm.decontaminate import leaked_documents
 from foliant.llm.licenses import scan_licenses
 from foliant.llm.pii import BASE_KINDS, find_pii
 from foliant.llm.quality import score_documents
-from foliant.llm.shared import empty_if_null, text_key
+from foliant.llm.shards import write_shards
+from foliant.llm.shared import empty_if_null, shared_folder, text_key
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.substrings import repeated_passages
 
@@ -83,3 +85,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
                         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens are the bytes of the texts, whose ids are the bytes' values."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("tokens"))
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return write_shards(docs, folder, width=1, key=20_240_229).withColumnRenamed("id", "doc_id")
