@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe
+from foliant.llm.chat import format_conversations, read_back
 from foliant.llm.decontaminate import leaked_documents
 from foliant.llm.licenses import scan_licenses
 from foliant.llm.pii import BASE_KINDS, find_pii
@@ -93,3 +94,11 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("tokens"))
     folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     return write_shards(docs, folder, width=1, key=20_240_229).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.union(extra)))
