@@ -19,6 +19,7 @@ from foliant.llm.shards import write_shards
 from foliant.llm.shared import empty_if_null, shared_folder, text_key
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.substrings import repeated_passages
+from foliant.llm.vectors import linked_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(turns.union(extra)))
+
+
+@query
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linked_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
