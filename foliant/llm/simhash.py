@@ -156,3 +156,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = held.groupBy("root").agg(F.min("first").alias("component"))
     named = held.join(smallest, "root").select("fp", "component")
     return prints.join(named, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``: the one with the smallest id.
+
+    Of rows equal in id and fingerprint one stays. A null id counts as the largest.
+    Only ids move, not texts, except for ids that several rows have.
+    """
+    last = F.lit((1 << 63) - 1)
+    found = written(near_duplicates(docs, id_col, text_col, max_bits, shingle).select(F.coalesce("id", last).alias("_id"), F.col("fp").alias("_fp"), "component"))
+    best = found.groupBy("component").agg(F.min(F.struct("_id", "_fp")).alias("best")).select("best._id", "best._fp")
+    rows = found.groupBy("_id").agg(F.count("*").alias("n"))
+    gone = rows.join(best.select("_id").distinct(), "_id", "left_anti").select("_id").union(rows.where("n > 1").select("_id")).distinct()
+    own = F.coalesce(F.col(id_col).cast("long"), last)
+    kept = docs.join(gone, own == F.col("_id"), "left_anti")
+    again = best.join(rows.where("n > 1").select("_id"), "_id", "left_semi")
+    if again.isEmpty():
+        return kept
+    # Ids that several rows have: the fingerprint tells the rows apart.
+    print_of = F.udf(lambda text: fingerprint(text, shingle), "long")
+    several = docs.join(again.select("_id").distinct(), own == F.col("_id"), "left_semi").withColumn("_fp", print_of(F.col(text_col)))
+    several = several.join(again.withColumnRenamed("_fp", "_best"), (own == F.col("_id")) & (F.col("_fp") == F.col("_best")))
+    return kept.union(several.dropDuplicates(["_id", "_fp"]).select(docs.columns))
