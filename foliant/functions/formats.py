@@ -92,11 +92,11 @@ def filename_metadata(name: Column) -> Column:
 
     def isbn(part: Column) -> Column:
         label = F.replace(F.regexp_replace(F.lower(words(part)[0]), "^:+|:+$", ""), F.lit("-"), F.lit(""))
-        value = F.array_join(F.slice(words(part), 2, 1000), " ")
+        value = F.array_join(F.slice(words(part), F.lit(2), F.size(words(part))), " ")
         return F.when((F.size(words(part)) >= 2) & label.isin("isbn", "isbn10", "isbn13") & valid_isbn(value), value)
 
     def read(fields: Column) -> Column:
-        rest = F.slice(fields, 3, 1000)
+        rest = F.slice(fields, F.lit(3), F.size(fields))
         isbns = F.filter(F.transform(rest, lambda p: isbn(p)), lambda v: v.isNotNull())
         signal = (F.size(isbns) > 0) | F.exists(rest, lambda p: p.rlike("^[0-9]{4}$") & p.between("1000", "2099"))
         return F.when((F.size(parts) >= 4) & (F.size(fields) >= 4) & signal, F.struct(

@@ -53,12 +53,17 @@ def row_before(keys: list[Key], others: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, terms)
 
 
-def page(df: DataFrame, keys: list[Key], limit: int, offset: int = 0, rank: str | None = "rn") -> DataFrame:
+def page(df: DataFrame, keys: list[Key], limit: int | None, offset: int = 0, rank: str | None = "rn") -> DataFrame:
     """One page of a sorted listing, with its 1-based place in the whole list.
 
     The page itself is a TakeOrderedAndProject; the window only numbers the
-    at most ``limit`` rows that are left.
+    at most ``limit`` rows that are left. Without a limit the whole list is
+    numbered, over range partitions.
     """
+    if limit is None:
+        placed = number_rows(df, keys, rank or "_rn")
+        placed = placed.where(F.col(rank or "_rn") > offset) if offset else placed
+        return placed if rank else placed.drop("_rn")
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[k.expr.alias(n) for k, n in zip(keys, names)])
     placed = [Key(F.col(n), k.desc, k.nulls_last).sort() for k, n in zip(keys, names)]

@@ -9,15 +9,16 @@ from foliant.functions.text import let, strip, words
 
 # Words that mark an organisation, honorific prefixes, and name suffixes.
 ORGANISATION = (
-    "agency association bureau center centre co co. collective college committee company corp corp. corporation "
-    "council department foundation group guild inc inc. institute laboratory labs llc ltd ltd. media ministry "
-    "office organization organisation press project publisher publishers publishing society studio studios team university"
-).split()
-PREFIX = "mr mr. mrs mrs. ms ms. miss miss. dr dr. prof prof. sir dame".split()
+    "agency", "association", "bureau", "center", "centre", "co", "co.", "collective", "college", "committee",
+    "company", "corp", "corp.", "corporation", "council", "department", "foundation", "group", "guild", "inc",
+    "inc.", "institute", "laboratory", "labs", "llc", "ltd", "ltd.", "media", "ministry", "office",
+    "organization", "organisation", "press", "project", "publisher", "publishers", "publishing", "society",
+    "studio", "studios", "team", "university")
+PREFIX = (
+    "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "miss", "miss.", "dr", "dr.", "prof", "prof.", "sir", "dame")
 SUFFIX = (
-    "jr jr. sr sr. esq esq. ph.d ph.d. phd phd. md md. m.d m.d. i i. ii ii. iii iii. iv iv. v v. "
-    "junior junior. senior senior."
-).split()
+    "jr", "jr.", "sr", "sr.", "esq", "esq.", "ph.d", "ph.d.", "phd", "phd.", "md", "md.", "m.d", "m.d.", "i",
+    "i.", "ii", "ii.", "iii", "iii.", "iv", "iv.", "v", "v.", "junior", "junior.", "senior", "senior.")
 OPEN, CLOSE = "([{", ")]}"
 
 

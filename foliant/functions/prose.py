@@ -13,7 +13,7 @@ from foliant.functions.people import parse_author_list
 from foliant.functions.text import SPACE, let, squeeze, strip
 
 PAGE_COLUMNS, PAGE_LINES = 70, 36
-MAX_MATCHES, CONTEXT = 1000, 72
+CONTEXT = 72
 TERMINATORS, CLOSERS = ".!?…。！？", "'\"”’“)]}"
 LABELS = ("title", "author", "authors", "year", "date", "language", "lang")
 
@@ -147,6 +147,12 @@ WIDE = _wide_class()
 NO_CELL = r"[\p{Mn}\p{Me}\p{Cf}\p{Cc}­]"
 
 
+def cell_width(word: Column) -> Column:
+    """Cells that a word fills: two for wide characters, none for marks."""
+    return F.when(F.length(word) == F.octet_length(word), F.length(word)).otherwise(
+        F.length(F.regexp_replace(word, NO_CELL, "")) + F.regexp_count(word, F.lit(WIDE)))
+
+
 def layout_step(state: Column, width: Column) -> Column:
     """Greedy wrap into 70 columns; a negative width is a blank line. State is struct(lines, column)."""
     lines, column = state["lines"], state["column"]
@@ -165,8 +171,7 @@ def estimate_pages_text(text: Column) -> Column:
     """Pages of 70 columns by 36 lines, words wrapped greedily, blank lines ending a line."""
     marked = F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), rf"\n[\s\u0085\p{{Z}}&&[^\n]]*(?=\n)", "\n\x00 ")
     words = F.filter(F.split(marked, rf"{SPACE}+"), lambda w: w != "")
-    width = lambda w: F.when(w == "\x00", -1).when(F.length(w) == F.octet_length(w), F.length(w)).otherwise(
-        F.length(F.regexp_replace(w, NO_CELL, "")) + F.regexp_count(w, F.lit(WIDE))).cast("long")
+    width = lambda w: F.when(w == "\x00", -1).otherwise(cell_width(w)).cast("long")
     widths = F.concat(F.transform(words, lambda w: width(w)), F.array(F.lit(-1).cast("long")))
     start = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("column"))
     return F.aggregate(widths, start, layout_step, lambda s: F.ceil(s["lines"] / PAGE_LINES).cast("long"))
@@ -182,27 +187,28 @@ def search_in_text(text: Column, q: str) -> Column:
     """array<struct<at, pre, match, post>> of case-insensitive literal matches with their surroundings."""
     if not search_ready(q):
         raise ValueError("type at least two characters")
-    q = " ".join(q.split())[:120]
-    size = len(q)
+    q = " ".join(q.split())
     special = "\\.[]{}()*+?^$|"
-    literal = "".join("\\" + c if c in special else c for c in q.lower())
+    literal = "(?iu)" + "".join("\\" + c if c in special else c for c in q)
 
-    def read(parts: Column) -> Column:
-        # Where each match begins: the lengths of the pieces before it, and of the earlier matches.
+    def read(parts: Column, found: Column) -> Column:
+        # Matched on the text itself, so that places are its own: the pieces between matches and the matches add up to them.
         begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(MAX_MATCHES))), begin, lambda s, p: F.struct(
-            (s["next"] + F.length(p) + size).alias("next"), F.concat(s["starts"], F.array(s["next"] + F.length(p))).alias("starts")),
-            lambda s: s["starts"])
+        pieces = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("piece"), found.alias("match"))
+        starts = F.aggregate(pieces, begin, lambda s, p: F.struct(
+            (s["next"] + F.length(p["piece"]) + F.length(p["match"])).alias("next"),
+            F.array_append(s["starts"], s["next"] + F.length(p["piece"])).alias("starts")), lambda s: s["starts"])
 
-        def match(at: Column) -> Column:
+        def match(at: Column, text_of: Column) -> Column:
+            end = at + F.length(text_of)
             start = F.greatest(at - CONTEXT, F.lit(0))
-            stop = F.least(at + size + CONTEXT, F.length(text))
+            stop = F.least(end + CONTEXT, F.length(text))
             return F.struct(
                 at.cast("long").alias("at"),
                 F.concat(F.when(start > 0, F.lit("…")).otherwise(F.lit("")), F.substring(text, start + 1, at - start)).alias("pre"),
-                F.substring(text, at + 1, F.lit(size)).alias("match"),
-                F.concat(F.substring(text, at + size + 1, stop - at - size), F.when(stop < F.length(text), F.lit("…")).otherwise(F.lit(""))).alias("post"))
+                text_of.alias("match"),
+                F.concat(F.substring(text, end + 1, stop - end), F.when(stop < F.length(text), F.lit("…")).otherwise(F.lit(""))).alias("post"))
 
-        return F.transform(starts, match)
+        return F.zip_with(starts, found, match)
 
-    return let(F.split(F.lower(text), literal, MAX_MATCHES + 1), read)
+    return let(F.split(text, literal, -1), lambda parts: let(F.regexp_extract_all(text, F.lit(literal), F.lit(0)), lambda found: read(parts, found)))

@@ -11,7 +11,6 @@ from foliant.functions.tagging import path_prefixes, tag_key
 SUMMARY = ["id", "title", "series", "series_index", "cover_version", "published_date"]
 PUBLICATION = ["id", "title", "description", "publisher", "published_date", "language",
                "identifiers", "cover_version", "updated_at"]
-MAX_JUMPS = 128
 FINISHED_AT = 0.995
 
 
@@ -89,16 +88,16 @@ def jump_label(value: Column) -> Column:
 def book_jumps(books: DataFrame, sort: str, visible: DataFrame | None = None) -> DataFrame:
     """Offset of the first book of each label in list order, plus the list length.
 
-    The first key of each label is a small aggregate (at most 128 labels, else
-    there are no jumps). Every row then falls between two of those keys, so the
-    offsets are running sums of a histogram and the list is never sorted.
+    The first key of each label is a small aggregate. Every row then falls between
+    two of those keys, so the offsets are running sums of a histogram and the list
+    is never sorted.
     """
     if sort not in ("title", "author"):
         raise ValueError("jumps need the title or author order")
     value = F.col("sort_title" if sort == "title" else "primary_author_sort")
     key = F.struct(*[k.expr.alias(f"k{i}") for i, k in enumerate(list_keys(sort))])
     rows = live(books, visible).select(jump_label(value).alias("label"), key.alias("key"))
-    firsts = rows.groupBy("label").agg(F.min("key").alias("key")).limit(MAX_JUMPS + 1)
+    firsts = rows.groupBy("label").agg(F.min("key").alias("key"))
     bounds = firsts.agg(F.sort_array(F.collect_list(F.struct("key", "label"))).alias("bounds"))
     histogram = (
         rows.withColumn("bounds", bounds.scalar())
@@ -107,7 +106,7 @@ def book_jumps(books: DataFrame, sort: str, visible: DataFrame | None = None) ->
     )
     counts = histogram.agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("counts"))
     return (
-        bounds.where(F.size("bounds") <= MAX_JUMPS)
+        bounds
         .select(F.posexplode("bounds").alias("slot", "b"), counts.scalar().alias("counts"))
         .select(
             F.col("b.label").alias("label"),
@@ -391,7 +390,7 @@ def continue_reading(books: DataFrame, assets: DataFrame, positions: DataFrame,
     return page(rows, [Key(F.col("updated_at"), desc=True), Key(F.col("id"))], limit)
 
 
-def trash_listing(books: DataFrame, users: DataFrame, limit: int = 1000, visible: DataFrame | None = None) -> DataFrame:
+def trash_listing(books: DataFrame, users: DataFrame, limit: int | None = None, visible: DataFrame | None = None) -> DataFrame:
     """Trashed books, latest first, with who trashed them."""
     gone = within(books.where(F.col("deleted_at").isNotNull()), visible)
     who = users.select(F.col("id").alias("deleted_by"), F.col("username").alias("deleted_by_name"))
@@ -428,7 +427,7 @@ def cleanup_counts(books: DataFrame, book_authors: DataFrame, book_tags: DataFra
         F.count_if(F.col("description").isNull() | (F.col("description") == "")).alias("no_description"))
 
 
-def list_annotations(annotations: DataFrame, user_id: int, by: str, target: int, limit: int = 1000) -> DataFrame:
+def list_annotations(annotations: DataFrame, user_id: int, by: str, target: int, limit: int | None = None) -> DataFrame:
     """Live annotations of one asset or one book (``by``), in creation order."""
     rows = annotations.where((F.col("user_id") == user_id) & (F.col(by) == target) & (F.col("deleted") == 0))
     lead = [Key(F.col("asset_id"))] if by == "book_id" else []

@@ -50,7 +50,7 @@ def html_headings(source: Column) -> Column:
 
 
 def search_in_book(pages: DataFrame, key: str, text: str, q: str) -> DataFrame:
-    """Literal matches per page with context, at most 1000 per page."""
+    """Literal matches per page with context, per page."""
     return pages.select(key, F.explode(search_in_text(F.col(text), q)).alias("m")).select(key, "m.at", "m.pre", "m.match", "m.post")
 
 
@@ -60,10 +60,9 @@ def html_metadata(pages: DataFrame, key: str, source: str) -> DataFrame:
     Attributes of comments beat meta tags; within a source the earlier value wins.
     """
     html = F.col(source)
-    tags = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(markup.META), F.lit(1))).alias("n", "src"), F.lit(1).alias("rank"))
-    notes = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(markup.COMMENT), F.lit(1))).alias("n", "src"), F.lit(0).alias("rank"))
-    attributes = tags.unionByName(notes).select(key, "rank", "n", F.posexplode(
-        F.regexp_extract_all("src", F.lit(markup.ATTRIBUTE), F.lit(1))).alias("i", "attr"))
+    stated = pages.select(key, F.posexplode(markup.declarations(html)).alias("n", "d"))
+    attributes = stated.select(key, "d.rank", "n", F.posexplode(
+        F.regexp_extract_all("d.src", F.lit(markup.ATTRIBUTE), F.lit(1))).alias("i", "attr"))
     pairs = attributes.select(key, "rank", "n", "i", F.lower(F.regexp_extract("attr", markup.ONE_ATTRIBUTE, 1)).alias("name"),
                               markup.inline_text(F.regexp_extract("attr", markup.ONE_ATTRIBUTE, 2)).alias("value"))
     meta = pairs.where("rank = 1").groupBy(key, "rank", "n").agg(
@@ -88,10 +87,10 @@ def html_metadata(pages: DataFrame, key: str, source: str) -> DataFrame:
     rank = lambda f: F.when(f == "identifier:isbn", 0).when(f == "identifier:doi", 1).when(f == "identifier:url", 2).otherwise(100)
     ordered = F.array_sort(F.transform("ids", lambda s: F.struct(rank(s["field"]).alias("rank"), s["field"].alias("field"), s["n"].alias("n"), s["value"].alias("value"))))
     firsts = F.filter(ordered, lambda s, i: (i == 0) | (F.get(ordered, i - 1)["field"] != s["field"]))
-    typed = F.filter(F.transform(firsts, lambda s: identifier_from_scheme(F.substring(s["field"], 12, 100), s["value"])),
+    typed = F.filter(F.transform(firsts, lambda s: identifier_from_scheme(F.substr(s["field"], F.lit(12)), s["value"])),
                      lambda i: (i["value"] != "") & ~is_internal(i))
     none = F.array().cast("array<string>")
-    joined = pages.select(key, markup.inline_text(F.regexp_extract(html, markup.TITLE, 1)).alias("page_title")).join(fields, key, "left")
+    joined = pages.select(key, markup.inline_text(markup.page_title(html)).alias("page_title")).join(fields, key, "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return joined.select(
         key, F.coalesce("title", "page_title").alias("title"),

@@ -143,7 +143,7 @@ def rename_tag(tags: DataFrame, book_tags: DataFrame, tag_id: int, new_name: str
     if all(parts) and len(parts) > 1 and new_key.startswith(old_key + "."):
         raise ValueError("a branch cannot be moved inside itself")
     in_branch = (F.col("kind") == root.kind) & ((F.col("name_key") == old_key) | F.col("name_key").startswith(old_key + "."))
-    moved_name = F.concat(F.lit(new_name), F.substring("name", len(root.name) + 1, 10000))
+    moved_name = F.concat(F.lit(new_name), F.substr("name", F.lit(len(root.name) + 1)))
     branch = tags.where(in_branch).select("id", "kind", "name_key", moved_name.alias("name"))
     too_deep = branch.where((F.col("name_key") != old_key) & (F.size(tag_parts(F.col("name"))) == 1))
     if too_deep.limit(1).count():

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 # step(state, row) -> (state, result tuple); state is None at the start of a group.
 Step = Callable[[object, object], tuple[object, tuple]]
@@ -16,25 +19,29 @@ def fold_sorted(df: DataFrame, group: list[str], order: list[str], results: str,
 
     Groups are spread by hash and sorted on the executors; a task walks its
     sorted rows batch by batch and keeps one group's state at a time, so a
-    long group streams through and is never held in memory.
+    long group streams through and is never held in memory. Values come as
+    they are typed: a null is None, an integer stays one, and a null key is a
+    group like any other.
     """
+    added = _parse_datatype_string(results)
+    shape = StructType([*df.schema.fields, *added.fields])
+    arrow = to_arrow_schema(added)
     columns = df.columns
-    names = [part.split()[0] for part in results.split(",")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + results
     at = [columns.index(g) for g in group]
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = namedtuple("line", columns)
         current, state = None, None
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.itertuples(index=False):
-                key = tuple(row[i] for i in at)
+            for values in zip(*[c.to_pylist() for c in batch.columns]):
+                key = tuple(values[i] for i in at)
                 if key != current:
                     current, state = key, None
-                state, result = step(state, row)
+                state, result = step(state, line(*values))
                 out.append(result)
-            added = pd.DataFrame(out, columns=names, index=batch.index)
-            yield pd.concat([batch, added], axis=1)
+            new = [pa.array([r[i] for r in out], field.type) for i, field in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*columns, *arrow.names])
 
     spread = df.repartition(*group).sortWithinPartitions(*group, *order)
-    return spread.mapInPandas(walk, schema)
+    return spread.mapInArrow(walk, shape)

@@ -11,7 +11,6 @@ from foliant.functions.ordering import Key, running_sum
 from foliant.functions.people import author_sort
 from foliant.functions.text import let, lookup, strip
 
-SUBJECT_LIMIT = 8
 CATALOG_ROW = ("key string, title string, author_name array<string>, publisher array<string>, isbn array<string>, language array<string>, "
                "subject array<string>, first_publish_year int, publish_year array<int>, cover_i bigint")
 VOLUME_ROW = ("id string, volumeInfo struct<title:string, subtitle:string, authors:array<string>, publisher:string, publishedDate:string, "
@@ -38,8 +37,11 @@ def unique_trimmed(values: Column, limit: int | None = None) -> Column:
     return let(F.filter(F.transform(_list(values), lambda v: strip(v)), lambda v: v != ""), firsts)
 
 
-def normalize_catalog_rows(rows: DataFrame) -> DataFrame:
-    """Candidates from open-catalogue search rows; ``rows`` is (query_id, idx, json)."""
+def normalize_catalog_rows(rows: DataFrame, subjects: int | None = None) -> DataFrame:
+    """Candidates from open-catalogue search rows; ``rows`` is (query_id, idx, json).
+
+    ``subjects`` keeps that many genres of a candidate; None keeps all.
+    """
     d = F.from_json("json", CATALOG_ROW)
     doc = rows.select("query_id", "idx", d.alias("d"))
     isbns = F.filter(F.transform(_list(F.col("d.isbn")), lambda v: clean_isbn(v)), lambda v: valid_isbn(v))
@@ -49,12 +51,12 @@ def normalize_catalog_rows(rows: DataFrame) -> DataFrame:
         "query_id", "idx", F.lit("openlibrary").alias("provider"), F.col("d.key").alias("provider_id"), F.col("d.title").alias("title"),
         unique_trimmed(F.col("d.author_name")).alias("authors"), first_filled(F.col("d.publisher")).alias("publisher"),
         F.coalesce(normalize_metadata_date(year.cast("string")), F.lit("")).alias("date"), first_filled(F.col("d.language")).alias("language"),
-        format_identifiers(external_identifiers(ids)).alias("identifier"), unique_trimmed(F.col("d.subject"), SUBJECT_LIMIT).alias("genres"),
+        format_identifiers(external_identifiers(ids)).alias("identifier"), unique_trimmed(F.col("d.subject"), subjects).alias("genres"),
         (F.coalesce(F.col("d.cover_i"), F.lit(0)) > 0).alias("has_cover"))
 
 
-def normalize_volume_rows(rows: DataFrame) -> DataFrame:
-    """Candidates from volume search rows; ``rows`` is (query_id, idx, json)."""
+def normalize_volume_rows(rows: DataFrame, subjects: int | None = None) -> DataFrame:
+    """Candidates from volume search rows; ``rows`` is (query_id, idx, json); ``subjects`` as above."""
     doc = rows.select("query_id", "idx", F.from_json("json", VOLUME_ROW).alias("d")).select("query_id", "idx", "d.id", "d.volumeInfo.*")
     none = F.array().cast("array<struct<type:string,identifier:string>>")
     isbns = F.filter(F.coalesce("industryIdentifiers", none), lambda i: F.upper(strip(i["type"])).isin("ISBN_10", "ISBN_13") & valid_isbn(clean_isbn(i["identifier"])))
@@ -67,7 +69,7 @@ def normalize_volume_rows(rows: DataFrame) -> DataFrame:
         "query_id", "idx", F.lit("google").alias("provider"), F.col("id").alias("provider_id"), full.alias("title"), unique_trimmed(F.col("authors")).alias("authors"),
         F.coalesce("publisher", F.lit("")).alias("publisher"), F.coalesce(normalize_metadata_date(F.col("publishedDate")), F.lit("")).alias("date"),
         F.coalesce("language", F.lit("")).alias("language"), format_identifiers(external_identifiers(ids)).alias("identifier"),
-        unique_trimmed(F.col("categories"), SUBJECT_LIMIT).alias("genres"), (first_filled(covers) != "").alias("has_cover"))
+        unique_trimmed(F.col("categories"), subjects).alias("genres"), (first_filled(covers) != "").alias("has_cover"))
 
 
 def contains_fold(text: Column, part: Column) -> Column:
@@ -102,7 +104,7 @@ def author_metas(names: Column) -> Column:
 # --- delivery ------------------------------------------------------------------------
 
 MB = 1024 * 1024
-DEFAULT_LIMIT_MB, DEVICE_LIMIT_MB, MESSAGE_OVERHEAD = 25, 50, 4096
+DEFAULT_LIMIT_MB, MESSAGE_OVERHEAD = 25, 4096
 # Formats a device takes as they are, in order, and formats turned into EPUB for it.
 DIRECT = {"kindle": ["epub", "pdf", "docx", "rtf", "txt", "html"],
           "pocketbook": ["epub", "fb2", "pdf", "mobi", "azw", "prc", "djvu", "docx", "rtf", "txt", "html", "cbz"]}
@@ -131,7 +133,7 @@ def plan_delivery(requests: DataFrame, assets: DataFrame, limit_mb: int = DEFAUL
     converted - and the lowest rank wins, default files and low ids first. On
     Kindle an EPUB conversion comes before a fixed-page PDF.
     """
-    limit = min(limit_mb if limit_mb > 0 else DEFAULT_LIMIT_MB, DEVICE_LIMIT_MB) * MB
+    limit = (limit_mb if limit_mb > 0 else DEFAULT_LIMIT_MB) * MB
     size = F.coalesce("current_size", "original_size", F.lit(0))
     files = assets.select("book_id", F.col("id").alias("asset_id"), "format", "is_primary", size.alias("size"))
     rows = requests.join(files, "book_id", "left").withColumn("too_large", (F.col("size") > 0) & (encoded_size(F.col("size")) > limit))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,52 +20,64 @@ TOUCH_EVERY_S = 3600
 # --- sessions ------------------------------------------------------------------------
 
 
+NEVER = float("inf")
+
+
 @dataclass(frozen=True)
 class Session:
-    """What is remembered of one reading session (all times in milliseconds)."""
+    """A reading session as moments in milliseconds.
+
+    ``origin`` is where its segment begins, ``upto`` how far time is counted,
+    ``deadline`` when it falls idle without a further action, ``shut`` when it ended.
+    """
 
     segment: int
-    segment_start: int
-    observed: int
-    active: int
+    origin: int
+    upto: int
+    deadline: int
     counted: int = 0
-    closed: int | None = None
+    shut: float = NEVER
 
 
-def session_event(s: Session | None, row, idle_ms: int = IDLE_MS) -> tuple[Session | None, int, int]:
-    """Apply a start, checkpoint or takeover; returns the session and the newly counted span.
+def _taken_over(s: Session | None, row, idle_ms: int) -> Session | None:
+    """Another session begins: an open one ends now, or at its deadline if that has passed."""
+    if s is None or s.shut < NEVER:
+        return s
+    return replace(s, shut=max(s.upto, min(row.received_at, s.deadline)))
 
-    Spans never overlap: a checkpoint counts from the last observed moment to
-    the reported end, cut at the idle deadline and at a closure.
-    """
-    now = int(row.received_at)
-    if row.kind == "takeover":
-        if s is not None and s.closed is None:
-            s = replace(s, closed=max(s.observed, min(now, s.active + idle_ms)))
-        return s, 0, 0
-    segment = int(row.segment)
-    if row.kind == "start":
-        if s is None:
-            return (Session(segment, now, now, now), 0, 0) if segment == 0 else (None, 0, 0)
-        if segment > s.segment and s.closed is None and now < s.active + idle_ms:
-            at = max(now, s.observed)
-            s = replace(s, segment=segment, segment_start=at, observed=at, active=at)
-        return s, 0, 0
-    if s is None or segment != s.segment:
-        return s, 0, 0
-    elapsed = min(int(row.elapsed_ms), max(0, now - s.segment_start))
-    end = s.segment_start + elapsed
-    action = s.segment_start + min(elapsed, int(row.last_activity_ms))
-    active = max(s.active, action) if action < s.active + idle_ms else s.active
-    deadline, closed = active + idle_ms, s.closed
-    if end >= deadline and (closed is None or deadline < closed):
-        closed = deadline
-    end = min(end, deadline, *([closed] if closed is not None else []))
-    start, observed = s.observed, max(s.observed, end)
-    if bool(row.finished) and s.segment_start + elapsed >= observed:
-        closed = observed
-    s = replace(s, observed=observed, active=active, closed=closed, counted=s.counted + observed - start)
-    return s, start, observed
+
+def _started(s: Session | None, row, idle_ms: int) -> Session | None:
+    """The first segment opens a session; a later one goes on with it while it is alive."""
+    now = row.received_at
+    if s is None:
+        return Session(0, now, now, now + idle_ms) if row.segment == 0 else None
+    if row.segment <= s.segment or s.shut < NEVER or now >= s.deadline:
+        return s
+    origin = max(now, s.upto)
+    return replace(s, segment=row.segment, origin=origin, upto=origin, deadline=origin + idle_ms)
+
+
+def _reported(s: Session | None, row, idle_ms: int) -> Session | None:
+    """Time counts up to the moment reported, but not beyond the deadline or the end."""
+    if s is None or row.segment != s.segment:
+        return s
+    told = s.origin + min(row.elapsed_ms, max(0, row.received_at - s.origin))
+    action = min(told, s.origin + row.last_activity_ms)
+    deadline = max(s.deadline, action + idle_ms) if action < s.deadline else s.deadline
+    shut = min(s.shut, deadline) if told >= deadline else s.shut
+    upto = max(s.upto, int(min(told, deadline, shut)))
+    return replace(s, upto=upto, deadline=deadline, counted=s.counted + upto - s.upto, shut=upto if row.finished and told >= upto else shut)
+
+
+_RULES = {"takeover": _taken_over, "start": _started, "checkpoint": _reported}
+
+
+def session_event(s: Session | None, row, idle_ms: int = IDLE_MS) -> tuple[Session | None, int, int]:
+    """The session after a start, checkpoint or takeover, and the span that newly counts; spans never overlap."""
+    after = _RULES[row.kind](s, row, idle_ms)
+    if row.kind != "checkpoint" or after is None or row.segment != after.segment:
+        return after, 0, 0
+    return after, s.upto, after.upto
 
 
 def with_takeovers(events: DataFrame) -> DataFrame:
@@ -92,7 +104,7 @@ def reading_sessions(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         state, start, end = session_event(state, row, idle_ms)
         if state is None:
             return None, (0, 0, 0, None)
-        return state, (start, end, state.counted, state.closed)
+        return state, (start, end, state.counted, None if state.shut == NEVER else int(state.shut))
 
     rows = with_takeovers(events).select("user_id", "source_id", "kind", F.coalesce("segment", F.lit(0)).alias("segment"),
                                          F.coalesce("elapsed_ms", F.lit(0)).alias("elapsed_ms"),
@@ -213,28 +225,30 @@ def latest_position(writes: DataFrame) -> DataFrame:
         *keys, "p.progress", "p.device_id", "revision", F.col("p.arrived_at").alias("updated_at"))
 
 
-def _write_check(state, row, relative: bool):
-    """state: (progress, address, device, revision, updated_at)."""
-    progress, address, device, revision, updated = state or (0.0, "", "", 0, 0)
-    if device and progress == row.progress and address == row.address:
+def _judged_write(state, row):
+    """state: (progress, address, revision, updated_at) of the position in place; None before the first."""
+    place, revision, updated = (state[:2], *state[2:]) if state else (None, 0, 0)
+    wanted = (row.progress, row.address)
+    if place == wanted:
         return state, ("same", revision)
-    if relative:
-        stale = row.progress < progress and row.modified_at < updated - STALE_AFTER_S
+    if row.expected_revision is not None:
+        refused = row.expected_revision != revision
     else:
-        stale = row.expected_revision != revision
-    if stale:
+        # Device clocks differ a little; only a clearly older and smaller position is a delayed one.
+        refused = place is not None and row.progress < place[0] and row.modified_at < updated - STALE_AFTER_S
+    if refused:
         return state, ("conflict", revision)
-    return (row.progress, row.address, row.device_id, revision + 1, int(row.arrived_at)), ("accepted", revision + 1)
+    return (*wanted, revision + 1, row.arrived_at), ("accepted", revision + 1)
 
 
-def position_conflicts(writes: DataFrame, by_revision: bool = True) -> DataFrame:
+def position_conflicts(writes: DataFrame) -> DataFrame:
     """Outcome of each write: same content, conflict, or accepted with its new revision.
 
-    Writes name the revision they were based on; without one (``by_revision``
-    false) only a smaller position dated well before the last update conflicts.
+    A write that names the revision it was based on (``expected_revision``) needs
+    that revision to be in place. One that names none conflicts only if it is a
+    smaller position dated well before the last update. Every write has a progress.
     """
-    return fold_sorted(writes, ["user_id", "asset_id"], ["arrived_at", "seq"], "outcome string, revision bigint",
-                       lambda state, row: _write_check(state, row, not by_revision))
+    return fold_sorted(writes, ["user_id", "asset_id"], ["arrived_at", "seq"], "outcome string, revision bigint", _judged_write)
 
 
 def fill_position_cache(positions: DataFrame, filled: DataFrame) -> DataFrame:
@@ -248,18 +262,29 @@ def fill_position_cache(positions: DataFrame, filled: DataFrame) -> DataFrame:
 # --- device sync ---------------------------------------------------------------------
 
 
-def _upload(state, row):
-    """state: (current address or None, on the library asset, last address per device)."""
-    current, on_asset, by_device = state or (None, False, {})
-    known = bool(row.known)
-    adopting = known and not on_asset and current is not None
-    repeated = current is not None and by_device.get(row.device_id) == row.address
-    changed = not repeated and current != row.address
-    outcome = "saved" if changed else "adopted" if adopting else "ignored"
-    if changed:
-        current = row.address
-    by_device = {**by_device, row.device_id: row.address}
-    return (current, on_asset or (known and (changed or adopting)), by_device), (outcome, current)
+@dataclass
+class _Document:
+    """What a user's document holds: the address in place, whether the library has it, the last word of each device."""
+
+    address: str | None = None
+    in_library: bool = False
+    said: dict = field(default_factory=dict)
+
+    def take(self, row) -> str:
+        first = self.address is None
+        news = first or row.address not in (self.address, self.said.get(row.device_id))
+        joins = row.known and not self.in_library and not first
+        self.said[row.device_id] = row.address
+        self.in_library = self.in_library or row.known and (news or joins)
+        if news:
+            self.address = row.address
+            return "saved"
+        return "adopted" if joins else "ignored"
+
+
+def _uploaded(state: _Document | None, row):
+    state = state or _Document()
+    return state, (state.take(row), state.address)
 
 
 def sync_uploads(uploads: DataFrame) -> DataFrame:
@@ -268,7 +293,7 @@ def sync_uploads(uploads: DataFrame) -> DataFrame:
     ``uploads`` is (user_id, document, device_id, address, known, arrived_at,
     seq); a position kept for an unknown document is adopted once it is known.
     """
-    return fold_sorted(uploads, ["user_id", "document"], ["arrived_at", "seq"], "outcome string, current_address string", _upload)
+    return fold_sorted(uploads, ["user_id", "document"], ["arrived_at", "seq"], "outcome string, current_address string", _uploaded)
 
 
 def resolve_document(hashes: DataFrame, assets: DataFrame, books: DataFrame) -> DataFrame:
@@ -280,35 +305,60 @@ def resolve_document(hashes: DataFrame, assets: DataFrame, books: DataFrame) ->
         F.when(F.min("book_id") == F.max("book_id"), F.min("book_id")).otherwise(0).alias("book_id"))
 
 
-def _bookmark(state, row):
-    """state: (address, progress, revision, updated_at, status, status_at)."""
-    address, progress, revision, updated, status, status_at = state or ("", 0.0, 0, 0, "unread", 0)
-    now, stamp = int(row.arrived_at), min(int(row.modified_at), int(row.arrived_at))
-    moved = not (revision > 0 and address == row.address) and (revision == 0 or stamp >= updated)
-    if moved:
-        address, progress, revision, updated = row.address, float(row.progress), revision + 1, stamp
-    told = row.status if isinstance(row.status, str) else ""
-    changed = False
-    if told or moved:
-        target = told
-        if not told:
-            target = status if status not in ("unread", "reading") else "finished" if progress >= FINISHED_AT else "reading"
-            when = stamp
+@dataclass(frozen=True)
+class _Bookmark:
+    """A book on a device: its place with a revision and a date, and its status with a date."""
+
+    address: str = ""
+    progress: float = 0.0
+    revision: int = 0
+    placed_at: int = 0
+    status: str = "unread"
+    status_at: int = 0
+
+    def moved_by(self, row) -> _Bookmark:
+        """The place that a row tells, if it is a newer one. Without a full address only progress tells places apart."""
+        if row.address is None:
+            return self
+        at = min(row.modified_at, row.arrived_at)
+        progress = self.progress if row.progress is None else row.progress
+        here = self.revision > 0 and row.address == self.address and (row.address != "" or progress == self.progress)
+        if here or (self.revision > 0 and at < self.placed_at):
+            return self
+        return replace(self, address=row.address, progress=progress, revision=self.revision + 1, placed_at=at)
+
+    def told_by(self, row, moved: bool) -> _Bookmark:
+        """The status that a row tells, or that its new place implies at the place's own date."""
+        if row.status:
+            status, at = row.status, row.status_at
+        elif moved:
+            status, at = self.status, row.modified_at
+            if status in ("unread", "reading"):
+                status = "finished" if self.progress >= FINISHED_AT else "reading"
         else:
-            when = min(int(row.status_at), now)
-        if when >= status_at and not (status == "dropped" and target == "reading") and target != status:
-            status, status_at, changed = target, when, True
-    return (address, progress, revision, updated, status, status_at), (moved, changed, revision, status)
+            return self
+        at = min(at, row.arrived_at)
+        echo = self.status == "dropped" and status == "reading"
+        return self if at < self.status_at or echo or status == self.status else replace(self, status=status, status_at=at)
+
+
+def _bookmarked(state: _Bookmark | None, row):
+    before = state or _Bookmark()
+    placed = before.moved_by(row)
+    after = placed.told_by(row, placed is not before)
+    return after, (placed is not before, after is not placed, after.revision, after.status)
 
 
 def late_updates(updates: DataFrame) -> DataFrame:
     """Device bookmarks arriving late: older ones lose, future stamps are cut to now, equal places are ignored.
 
-    A moved bookmark implies a status with the bookmark's own date; a dropped
-    book is never turned back to reading.
+    A null address is a row without a place (a status alone); an empty one is a place
+    without a full address; a null progress leaves the known one. A moved bookmark
+    implies a status with the bookmark's own date; a dropped book is never turned
+    back to reading.
     """
     return fold_sorted(updates, ["user_id", "asset_id"], ["arrived_at", "seq"],
-                       "moved boolean, status_changed boolean, revision bigint, state string", _bookmark)
+                       "moved boolean, status_changed boolean, revision bigint, state string", _bookmarked)
 
 
 def _annotation(state, row):

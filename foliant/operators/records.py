@@ -89,7 +89,7 @@ def select_page_count(metas: DataFrame) -> DataFrame:
     Input (book_id, idx, key, value, refines); refined metas are ignored.
     """
     key = F.lower(strip(F.col("key")))
-    column = F.when(key.startswith(COLUMN_PREFIX), F.substring(key, len(COLUMN_PREFIX) + 1, 100))
+    column = F.when(key.startswith(COLUMN_PREFIX), F.substr(key, F.lit(len(COLUMN_PREFIX) + 1)))
     single = F.struct(F.coalesce(column, key).alias("name"),
                       F.when(column.isNotNull(), _column_count(F.col("value"))).otherwise(positive_count(F.col("value"))).alias("count"))
     whole = F.array(*[

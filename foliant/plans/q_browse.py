@@ -140,7 +140,7 @@ WITH r AS (
   WHERE b.deleted_at IS NULL AND trim(b.series) <> '')
 SELECT CAST(row_number() OVER (ORDER BY {low('series')}, series) AS BIGINT) AS rn, series, book_count,
        CAST(finished_count AS BIGINT) AS finished_count, id AS cover_book_id, cover_version, author
-FROM r WHERE place = 1""")(lambda c: browse.series_cards(c.books, c.first_author, c.reading_state, 5, 1000))
+FROM r WHERE place = 1""")(lambda c: browse.series_cards(c.books, c.first_author, c.reading_state, 5, None))
 
 query("author_counts", f"""
 SELECT CAST(rn AS BIGINT) AS rn, name, sort_name, book_count FROM (
@@ -198,13 +198,13 @@ query("list_shelves_full", f"""
 SELECT CAST(row_number() OVER (ORDER BY visibility <> 'shared', position, {low('name')}, id) AS BIGINT) AS rn,
        id AS shelf_id, name, kind, visibility, position
 FROM {{shelves}} WHERE visibility = 'shared' OR owner_id = 8""")(
-    lambda c: browse.page(browse.list_shelves(c.users, c.shelves, c.user_scope_shelves, 8), browse.shelf_order(), 1000))
+    lambda c: browse.page(browse.list_shelves(c.users, c.shelves, c.user_scope_shelves, 8), browse.shelf_order(), None))
 query("list_shelves_scoped", f"""
 SELECT CAST(row_number() OVER (ORDER BY visibility <> 'shared', position, {low('name')}, id) AS BIGINT) AS rn,
        id AS shelf_id, name, kind, visibility, position
 FROM {{shelves}} WHERE (visibility = 'personal' AND owner_id = 19)
    OR (visibility = 'shared' AND id IN (SELECT shelf_id FROM {{user_scope_shelves}} WHERE user_id = 19))""")(
-    lambda c: browse.page(browse.list_shelves(c.users, c.shelves, c.user_scope_shelves, 19), browse.shelf_order(), 1000))
+    lambda c: browse.page(browse.list_shelves(c.users, c.shelves, c.user_scope_shelves, 19), browse.shelf_order(), None))
 query("shelf_memberships", """
 SELECT s.id, s.name, s.visibility, s.position, b.book_id IS NOT NULL AS in_shelf
 FROM {shelves} s LEFT JOIN {shelf_books} b ON b.shelf_id = s.id AND b.book_id = 44
@@ -227,7 +227,7 @@ FROM latest l JOIN {{books}} b ON b.id = l.book_id WHERE l.n = 1 QUALIFY rn <= 8
 query("trash_listing", """
 SELECT CAST(row_number() OVER (ORDER BY b.deleted_at DESC, b.id) AS BIGINT) AS rn, b.id, b.title, b.deleted_at,
        coalesce(u.username, '') AS deleted_by_name
-FROM {books} b LEFT JOIN {users} u ON u.id = b.deleted_by WHERE b.deleted_at IS NOT NULL QUALIFY rn <= 1000""")(
+FROM {books} b LEFT JOIN {users} u ON u.id = b.deleted_by WHERE b.deleted_at IS NOT NULL""")(
     lambda c: browse.trash_listing(c.books, c.users))
 query("trashed_ids", "SELECT id FROM {books} WHERE deleted_at IS NOT NULL")(lambda c: browse.trashed_ids(c.books))
 query("trashed_assets", """

@@ -95,7 +95,7 @@ def search_rows(c: Catalog) -> DataFrame:
 
 query("search_in_book", """
 WITH p AS (SELECT doc_id, text, string_split(lower(text), 'the ') AS parts FROM {documents}),
-m AS (SELECT doc_id, text, unnest(generate_series(1, least(len(parts) - 1, 1000))) AS k, parts FROM p WHERE len(parts) > 1),
+m AS (SELECT doc_id, text, unnest(generate_series(1, len(parts) - 1)) AS k, parts FROM p WHERE len(parts) > 1),
 a AS (SELECT doc_id, text, CAST(list_sum(list_transform(parts[1:k], lambda s: length(s))) + (k - 1) * 4 AS BIGINT) AS pos FROM m)
 SELECT doc_id, pos AS at, md5(CASE WHEN pos > 72 THEN '…' ELSE '' END || substr(text, greatest(pos - 72, 0) + 1, pos - greatest(pos - 72, 0))) AS pre, substr(text, pos + 1, 4) AS match,
        md5(substr(text, pos + 5, least(72, length(text) - pos - 4)) || CASE WHEN pos + 76 < length(text) THEN '…' ELSE '' END) AS post FROM a""".replace(" AS at,", ' AS "at",'))(

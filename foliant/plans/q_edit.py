@@ -16,7 +16,7 @@ BINDINGS["author_edits"] = """
 SELECT l_partkey + 1 AS book_id, (l_orderkey * 10 + l_linenumber) * 10000000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 10000000 AS idx,
        CASE WHEN l_suppkey % 3 = 0 THEN 'New ' || CAST(l_suppkey AS STRING) ELSE a.name END AS name,
        'Sort ' || CAST(l_orderkey AS STRING) AS sort_name
-FROM {lineitem} l JOIN {authors} a ON a.id = l.l_suppkey + 1 WHERE l_partkey % 4 = 1
+FROM {lineitem} l JOIN {authors} a ON a.id = l.l_suppkey + 1
 """
 ORACLE_ONLY["upserted"] = """
 WITH once AS (SELECT book_id, name, min(idx) AS idx, min_by(sort_name, idx) AS sort_name FROM {author_edits} GROUP BY book_id, name),
@@ -48,12 +48,16 @@ SELECT book_id, author_id, author_order FROM (
     lambda c: edit.rename_authors(c.author_renames, c.authors, c.book_authors)[1])
 query("set_author_sort", "SELECT DISTINCT book_id FROM {book_authors} WHERE author_id = 16")(
     lambda c: edit.set_author_sort(c.authors, c.book_authors, "Dmitri Moreau 15", "Moreau, D."))
-query("orphan_authors", "SELECT id, name, sort_name FROM {authors} WHERE id NOT IN (SELECT author_id FROM {book_authors} WHERE author_id % 5 <> 0)")(
-    lambda c: edit.orphan_authors(c.authors, c.book_authors.where("author_id % 5 <> 0")))
+# Customers stand for people who have no book.
+BINDINGS["people"] = """
+SELECT id, name, sort_name FROM {authors} UNION ALL SELECT c_custkey + 1000000000000, c_name, c_name FROM {customer}
+"""
+query("orphan_authors", "SELECT id, name, sort_name FROM {people} WHERE id NOT IN (SELECT author_id FROM {book_authors})")(
+    lambda c: edit.orphan_authors(c.people, c.book_authors))
 query("orphan_tags", """
-SELECT id, name FROM {tags} t WHERE NOT EXISTS (SELECT 1 FROM {tags} d JOIN {book_tags} x ON x.tag_id = d.id AND x.book_id % 50 = 1
+SELECT id, name FROM {tags} t WHERE NOT EXISTS (SELECT 1 FROM {tags} d JOIN {book_tags} x ON x.tag_id = d.id
   WHERE d.kind = t.kind AND (d.id = t.id OR starts_with(d.name_key, t.name_key || '.')))""")(
-    lambda c: edit.orphan_tags(c.tags, c.book_tags.where("book_id % 50 = 1")).select("id", "name"))
+    lambda c: edit.orphan_tags(c.tags, c.book_tags).select("id", "name"))
 
 BINDINGS["tag_edits"] = """
 SELECT book_id, idx, name FROM (

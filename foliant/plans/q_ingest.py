@@ -28,10 +28,10 @@ SELECT path, NOT (ends_with(path, 'metadata.opf') OR regexp_extract(path, '([0-9
 
 BINDINGS["import_candidates"] = """
 SELECT id, CASE WHEN id % 4 = 0 THEN original_size + 9000000000 WHEN id % 4 = 1 THEN coalesce(current_size, original_size) ELSE original_size END AS size,
-       CASE WHEN id % 4 = 1 THEN current_hash WHEN id % 4 = 2 THEN md5(CAST(id AS STRING)) ELSE original_hash END AS hash FROM {assets}
+       CASE WHEN id % 4 = 1 THEN current_hash WHEN id % 4 = 2 THEN md5('fresh ' || CAST(book_id AS STRING)) ELSE original_hash END AS hash FROM {assets}
 """
 query("dedupe_import", """
-SELECT i.id, CASE WHEN i.id % 4 IN (0, 2) THEN 'imported' WHEN b.deleted_at IS NOT NULL THEN 'duplicate_trashed' ELSE 'duplicate' END AS status,
+SELECT i.id, CASE WHEN i.id % 4 IN (0, 2) THEN CASE WHEN i.id = min(i.id) OVER (PARTITION BY i.hash) THEN 'imported' ELSE 'duplicate' END WHEN b.deleted_at IS NOT NULL THEN 'duplicate_trashed' ELSE 'duplicate' END AS status,
        CASE WHEN i.id % 4 IN (1, 3) THEN i.id END AS asset_id, CASE WHEN i.id % 4 IN (1, 3) THEN a.book_id END AS book_id
 FROM {import_candidates} i JOIN {assets} a ON a.id = i.id JOIN {books} b ON b.id = a.book_id""")(
     lambda c: files.dedupe_import(c.import_candidates, c.assets, c.books))
@@ -162,7 +162,7 @@ FROM {part}
 """
 CATALOG_SQL = """
 SELECT query_id, idx, 'openlibrary' AS provider, '/works/OL' || CAST(idx AS VARCHAR) || 'W' AS provider_id, p_name AS title, 'Ann Moreau|B' || CAST(p_size AS VARCHAR) AS authors, 'House ' || CAST(p_size AS VARCHAR) AS publisher,
-       CAST(CASE WHEN idx % 2 = 0 THEN 1900 + p_size ELSE 1950 + p_size END AS VARCHAR) AS date, 'eng' AS language, 'isbn:0306406152' AS identifier, 'a|b|c|d|e|f|g|h' AS genres, idx % 3 > 0 AS has_cover
+       CAST(CASE WHEN idx % 2 = 0 THEN 1900 + p_size ELSE 1950 + p_size END AS VARCHAR) AS date, 'eng' AS language, 'isbn:0306406152' AS identifier, 'a|b|c|d|e|f|g|h|i' AS genres, idx % 3 > 0 AS has_cover
 FROM {catalog_rows} WHERE idx % 11 <> 0"""
 ORACLE_ONLY["catalog_candidates"] = CATALOG_SQL
 
@@ -185,7 +185,7 @@ SELECT query_id, idx, 'google' AS provider, 'g' || CAST(idx AS VARCHAR) AS provi
     lambda c: flat(matching.normalize_volume_rows(c.volume_rows.select("query_id", "idx", "json"))))
 BINDINGS["candidate_queries"] = """
 SELECT id - 1 AS query_id, CASE WHEN id % 2 = 0 THEN '0 306-40615-2' ELSE '' END AS isbn, CASE WHEN id % 3 = 0 THEN upper(title) || ' II' ELSE title END AS title,
-       CASE WHEN id % 5 = 0 THEN 'moreau' ELSE 'nobody' END AS author FROM {books} WHERE id <= 400
+       CASE WHEN id % 5 = 0 THEN 'moreau' ELSE 'nobody' END AS author FROM {books}
 """
 query("score_candidates", """
 WITH s AS (SELECT c.query_id, c.idx, CAST(CASE WHEN q.isbn <> '' THEN 70 ELSE 0 END + CASE WHEN contains(lower(c.title), lower(q.title)) OR contains(lower(q.title), lower(c.title)) THEN 18 ELSE 0 END
@@ -200,7 +200,7 @@ SELECT d.id AS request_id, d.id % 2100 + 1 AS book_id, d.preset FROM {delivery_d
 """
 # Sizes are stretched so that the attachment limit matters.
 BINDINGS["sized_assets"] = """
-SELECT id, book_id, format, is_primary, original_size * 6 AS original_size, CAST(NULL AS BIGINT) AS current_size FROM {assets} WHERE book_id % 7 <> 0 OR format IN ('pdf', 'kepub')
+SELECT id, book_id, format, is_primary, original_size * 6 AS original_size, CAST(NULL AS BIGINT) AS current_size FROM {assets}
 """
 query("plan_delivery", """
 WITH r AS (SELECT q.request_id, q.preset, a.id, a.format, a.is_primary, a.original_size AS s, ((a.original_size + 2) // 3) * 4 AS e FROM {delivery_requests} q LEFT JOIN {sized_assets} a ON a.book_id = q.book_id),

@@ -131,20 +131,20 @@ SELECT user_id, asset_id, max_by(CASE WHEN NOT is_reset THEN progress END, n) FI
        CASE WHEN max_by(is_reset, n) THEN '' ELSE max_by(device_id, n) END AS device_id, count(*) AS revision, max_by(arrived_at, n) AS updated_at
 FROM s WHERE NOT idle GROUP BY user_id, asset_id""".replace("max_by(CASE WHEN NOT is_reset THEN progress END, n) FILTER (NOT is_reset) AS p0,\n       ", ""))(
     lambda c: reading.latest_position(c.sync_writes))
-for _mode, _stale in (("revision", "e.expected_revision <> f.revision"), ("stamp", "e.progress < f.progress AND e.modified_at < f.updated - 300")):
+for _mode, _named in (("revision", "expected_revision"), ("stamp", "CAST(NULL AS BIGINT)"), ("mixed", "CASE WHEN seq % 3 = 0 THEN expected_revision END")):
     query(f"position_conflicts_{_mode}", f"""
 WITH RECURSIVE f AS (
   SELECT user_id, asset_id, n, seq, outcome, CASE WHEN outcome = 'accepted' THEN progress ELSE 0.0 END AS progress, CASE WHEN outcome = 'accepted' THEN address ELSE '' END AS address,
          CASE WHEN outcome = 'accepted' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS revision, CASE WHEN outcome = 'accepted' THEN arrived_at ELSE CAST(0 AS BIGINT) END AS updated
-  FROM (SELECT *, CASE WHEN {'expected_revision <> 0' if _mode == 'revision' else 'false'} THEN 'conflict' ELSE 'accepted' END AS outcome FROM {{sync_rows}} WHERE n = 1) x
+  FROM (SELECT *, CASE WHEN coalesce({_named} <> 0, false) THEN 'conflict' ELSE 'accepted' END AS outcome FROM {{sync_rows}} WHERE n = 1) x
   UNION ALL
   SELECT user_id, asset_id, n, seq, outcome, CASE WHEN outcome = 'accepted' THEN np ELSE progress END, CASE WHEN outcome = 'accepted' THEN na ELSE address END,
          CASE WHEN outcome = 'accepted' THEN revision + 1 ELSE revision END, CASE WHEN outcome = 'accepted' THEN arrived_at ELSE updated END
   FROM (SELECT f.user_id, f.asset_id, e.n, e.seq, f.progress, f.address, f.revision, f.updated, e.progress AS np, e.address AS na, e.arrived_at,
-               CASE WHEN f.revision > 0 AND e.progress = f.progress AND e.address = f.address THEN 'same' WHEN {_stale} THEN 'conflict' ELSE 'accepted' END AS outcome
-        FROM f JOIN {{sync_rows}} e ON e.user_id = f.user_id AND e.asset_id = f.asset_id AND e.n = f.n + 1) y)
+               CASE WHEN f.revision > 0 AND e.progress = f.progress AND e.address = f.address THEN 'same' WHEN coalesce(e.named <> f.revision, f.revision > 0 AND e.progress < f.progress AND e.modified_at < f.updated - 300) THEN 'conflict' ELSE 'accepted' END AS outcome
+        FROM f JOIN (SELECT *, {_named} AS named FROM {{sync_rows}}) e ON e.user_id = f.user_id AND e.asset_id = f.asset_id AND e.n = f.n + 1) y)
 SELECT user_id, asset_id, seq, outcome, revision FROM f""")(
-        lambda c, m=_mode: reading.position_conflicts(c.sync_writes, m == "revision").select("user_id", "asset_id", "seq", "outcome", "revision"))
+        lambda c, named=_named: reading.position_conflicts(c.sync_writes.withColumn("expected_revision", F.expr(named))).select("user_id", "asset_id", "seq", "outcome", "revision"))
 BINDINGS["cached_locators"] = """
 SELECT user_id, asset_id, CASE WHEN user_id % 2 = 0 THEN revision ELSE revision + 1 END AS revision, 'cfi' || CAST(asset_id AS STRING) AS locator FROM {reading_positions}
 """
@@ -176,7 +176,8 @@ FROM {assets} h JOIN {books} b ON b.id = h.book_id AND b.deleted_at IS NULL WHER
     lambda c: reading.resolve_document(c.assets.where("sampled_hash IS NOT NULL").select(F.col("id").alias("asset_id"), F.col("sampled_hash").alias("hash")), c.assets, c.books))
 
 BINDINGS["bookmarks"] = """
-SELECT user_id, asset_id, seq, arrived_at, modified_at, progress, address,
+SELECT user_id, asset_id, seq, arrived_at, modified_at, CASE WHEN seq % 7 <> 3 THEN progress END AS progress,
+       CASE WHEN seq % 11 = 4 THEN NULL WHEN seq % 5 = 1 THEN '' ELSE address END AS address,
        CASE seq % 9 WHEN 0 THEN 'dropped' WHEN 1 THEN 'finished' WHEN 2 THEN 'reading' ELSE '' END AS status, modified_at - 86400 AS status_at FROM {sync_writes}
 """
 ORACLE_ONLY["bookmark_rows"] = "SELECT *, row_number() OVER (PARTITION BY user_id, asset_id ORDER BY arrived_at, seq) AS n, least(modified_at, arrived_at) AS stamp FROM {bookmarks}"
@@ -190,8 +191,9 @@ WITH RECURSIVE f AS (
   FROM (SELECT *, (status <> '' OR moved) AND at >= state_at AND NOT (state = 'dropped' AND target = 'reading') AND target <> state AS ch
         FROM (SELECT *, CASE WHEN status <> '' THEN status WHEN state NOT IN ('unread', 'reading') THEN state WHEN (CASE WHEN moved THEN np ELSE progress END) >= 0.995 THEN 'finished' ELSE 'reading' END AS target,
                      CASE WHEN status <> '' THEN least(status_at, arrived_at) ELSE stamp END AS at
-              FROM (SELECT f.user_id, f.asset_id, e.n, e.seq, f.address, f.progress, f.revision, f.updated, f.state, f.state_at, e.address AS na, e.progress AS np, e.stamp, e.status, e.status_at, e.arrived_at,
-                           NOT (f.revision > 0 AND f.address = e.address) AND (f.revision = 0 OR e.stamp >= f.updated) AS moved
+              FROM (SELECT f.user_id, f.asset_id, e.n, e.seq, f.address, f.progress, f.revision, f.updated, f.state, f.state_at, e.address AS na, coalesce(e.progress, f.progress) AS np, e.stamp, e.status, e.status_at, e.arrived_at,
+                           e.address IS NOT NULL AND NOT coalesce(f.revision > 0 AND f.address = e.address AND (e.address <> '' OR coalesce(e.progress, f.progress) = f.progress), false)
+                             AND (f.revision = 0 OR e.stamp >= f.updated) AS moved
                     FROM f JOIN {bookmark_rows} e ON e.user_id = f.user_id AND e.asset_id = f.asset_id AND e.n = f.n + 1) x) y) z)
 SELECT user_id, asset_id, seq, moved, status_changed, revision, state FROM f WHERE n > 0""".replace(" AS at\n", " AS at_\n").replace("THEN at ELSE", "THEN at_ ELSE").replace("AND at >= state_at", "AND at_ >= state_at"))(
     lambda c: reading.late_updates(c.bookmarks).select("user_id", "asset_id", "seq", "moved", "status_changed", "revision", "state"))
@@ -228,7 +230,7 @@ SELECT token, last AS last_used_at, writes FROM f QUALIFY row_number() OVER (PAR
 
 # --- feeds -------------------------------------------------------------------------------
 BINDINGS["feed_shelf_rows"] = """
-SELECT shelf_id AS connection_id, shelf_id + 1 AS user_id, book_id FROM {shelf_books} WHERE shelf_id <= 40
+SELECT shelf_id AS connection_id, shelf_id + 1 AS user_id, book_id FROM {shelf_books}
 """
 ORACLE_ONLY["candidates"] = """
 WITH a AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY format <> 'kepub', NOT is_primary, created_at, id) AS n FROM {assets} WHERE format IN ('kepub', 'epub')),
@@ -286,7 +288,7 @@ SELECT id, user_id, CASE status WHEN 'converting' THEN 'queued' WHEN 'sending' T
 query("delivery_prune", """
 SELECT id, user_id, status FROM {delivery_jobs} WHERE id NOT IN (
   SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS n FROM {delivery_jobs} WHERE status IN ('sent', 'failed')) q WHERE n > 100)""")(
-    lambda c: feed.prune_deliveries(c.delivery_jobs).select("id", "user_id", "status"))
+    lambda c: feed.prune_deliveries(c.delivery_jobs, 100).select("id", "user_id", "status"))
 query("delivery_recent", """
 SELECT CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS BIGINT) AS rn, id, user_id, status FROM {delivery_jobs} WHERE user_id = 7 QUALIFY rn <= 20""")(
     lambda c: feed.recent_deliveries(c.delivery_jobs, 7).select("rn", "id", "user_id", "status"))

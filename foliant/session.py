@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +30,19 @@ def build_session(master: str | None = None, app: str = "foliant", **conf: str)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session that names
-    none (a local test run) gets a temporary folder.
+    It is named in ``spark.checkpoint.dir``. Without a name only a local master,
+    whose driver and executor are one process, gets a folder of its own; on a
+    cluster a folder of one machine would be lost to the other executors.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not named and sc.master.split("[")[0] == "local":
+        named = tempfile.mkdtemp(prefix="foliant-")
     if not named:
-        named = tempfile.mkdtemp(prefix="foliant-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named)
     return named
 
@@ -49,13 +51,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a CPU-heavy step one task per core when the input has fewer splits.
-
-    Meant for scans of few large files; an input with enough splits is left
-    as it is, so a large table is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -68,6 +68,8 @@ def sampled_md5(content: Column) -> Column:
 def dedupe_import(candidates: DataFrame, assets: DataFrame, books: DataFrame) -> DataFrame:
     """Outcome per candidate (id, size, hash): imported, duplicate, or duplicate of a trashed book.
 
+    Of candidates with equal bytes that the catalogue doesn't know, the one with the
+    smallest id is imported and the others are duplicates of it, without an asset yet.
     Sizes are compared first, so that only candidates of a known size need a
     hash; the original and the current hash are matched by two equi-joins.
     """
@@ -79,8 +81,9 @@ def dedupe_import(candidates: DataFrame, assets: DataFrame, books: DataFrame) ->
     first = hashes.groupBy("hash").agg(F.min_by("book_id", "asset_id").alias("book_id"), F.min("asset_id").alias("asset_id"))
     trash = books.select(F.col("id").alias("book_id"), F.col("deleted_at").isNotNull().alias("trashed"))
     known = likely.join(first, "hash").join(trash, "book_id").select("id", "asset_id", "book_id", "trashed")
-    return candidates.select("id").join(known, "id", "left").select(
-        "id", F.when(F.col("asset_id").isNull(), F.lit("imported")).when(F.col("trashed"), F.lit("duplicate_trashed")).otherwise(F.lit("duplicate")).alias("status"),
+    once = candidates.groupBy("hash").agg(F.min("id").alias("first_id"))
+    return candidates.select("id", "hash").join(once, "hash", "left").join(known, "id", "left").select(
+        "id", F.when(F.col("asset_id").isNull(), F.when(F.col("first_id") < F.col("id"), F.lit("duplicate")).otherwise(F.lit("imported"))).when(F.col("trashed"), F.lit("duplicate_trashed")).otherwise(F.lit("duplicate")).alias("status"),
         "asset_id", "book_id")
 
 

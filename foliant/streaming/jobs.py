@@ -16,7 +16,6 @@ from foliant.operators import reading
 from foliant.sources.files import content_hash, dedupe_import, intake_candidate
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
-FORGET_AFTER_MS = 7 * 86_400_000
 
 
 # --- incoming folder -------------------------------------------------------------------
@@ -40,12 +39,7 @@ def intake(candidates: DataFrame, assets: DataFrame, books: DataFrame, output: s
     own folder, so a repeated batch leaves the same files.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
-        usable = batch.where("supported")
-        first = usable.groupBy("hash").agg(F.min("id").alias("first"))
-        judged = dedupe_import(usable.select("id", "size", "hash"), assets, books)
-        repeats = usable.join(first, "hash").select("id", (F.col("id") != F.col("first")).alias("repeat"))
-        status = F.when((F.col("status") == "imported") & F.col("repeat"), F.lit("duplicate")).otherwise(F.col("status"))
-        done = judged.join(repeats, "id").select("id", status.alias("status"))
+        done = dedupe_import(batch.where("supported").select("id", "size", "hash"), assets, books).select("id", "status")
         failed = batch.where("NOT supported").select("id", F.lit("failed").alias("status"))
         done.unionByName(failed).write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
 
@@ -57,12 +51,14 @@ def intake(candidates: DataFrame, assets: DataFrame, books: DataFrame, output: s
 SPANS = "user_id bigint, source_id string, received_at bigint, seq bigint, span_from bigint, span_to bigint, counted_ms bigint"
 
 
-def session_spans(events: DataFrame, idle_ms: int = reading.IDLE_MS) -> DataFrame:
+def session_spans(events: DataFrame, idle_ms: int = reading.IDLE_MS, forget_after_ms: int | None = None) -> DataFrame:
     """Newly counted spans of reading time, with the sessions of a user as keyed state.
 
-    A new session closes the user's open ones. Reports more than a week late
-    are dropped by the watermark, and a user without events for that long is
-    forgotten; nothing can count for such sessions any more.
+    A new session closes the user's open ones. A session that has ended and got no
+    event in a micro-batch leaves the state only with its user: a caller who names
+    ``forget_after_ms`` lets the watermark drop reports that much late and forgets
+    users without events for as long. Without it nothing is dropped, as in the
+    batch operator.
     """
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -83,12 +79,14 @@ def session_spans(events: DataFrame, idle_ms: int = reading.IDLE_MS) -> DataFram
                 if end > start:
                     out.append((key[0], row.source_id, row.received_at, row.seq, start, end, session.counted))
         state.update((json.dumps({k: asdict(s) for k, s in sessions.items()}),))
-        state.setTimeoutTimestamp(max(int(rows["received_at"].max()), state.getCurrentWatermarkMs()) + FORGET_AFTER_MS)
+        if forget_after_ms:
+            state.setTimeoutTimestamp(max(int(rows["received_at"].max()), state.getCurrentWatermarkMs()) + forget_after_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SPANS.split(", ")])
 
-    timed = events.withColumn("event_time", F.timestamp_millis("received_at")).withWatermark("event_time", "7 days")
-    return timed.groupBy("user_id").applyInPandasWithState(
-        advance, SPANS, "sessions string", "append", GroupStateTimeout.EventTimeTimeout)
+    if forget_after_ms:
+        events = events.withColumn("event_time", F.timestamp_millis("received_at")).withWatermark("event_time", f"{forget_after_ms} milliseconds")
+    timeout = GroupStateTimeout.EventTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("user_id").applyInPandasWithState(advance, SPANS, "sessions string", "append", timeout)
 
 
 # --- latest values as versioned snapshots ---------------------------------------------------

@@ -1,5 +1,7 @@
 """Small catalogues: search, hierarchy, series, duplicates, exports, pages."""
 
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,9 +85,15 @@ def test_markup_helpers(spark):
     page = ("<html><head><title>x</title><style>b{}</style></head><body><p onclick=x>Hi <b>there</b><script>alert(1)</script>"
             "<p><a href='javascript:1'>a</a><a href='https://x.y?a=1&amp;b'>l</a><div>d<br></div></body></html>")
     assert markup.sanitize(page) == ('<p>Hi <b>there</b></p><p><a>a</a><a href="https://x.y?a=1&amp;b" rel="noopener noreferrer">l</a>d<br></p>')
-    assert markup.extent_pages("<p>" + "word " * 14 * 37 + "</p>") == 2
-    assert markup.extent_pages("<div hidden>" + "word " * 5000 + "</div><p>x</p>") == 1
-    assert markup.extent_pages("<img>" * 4) == 2 and markup.extent_pages("") == 0
+    cases = {"<p>" + "word " * 14 * 37 + "</p>": 2, "<div hidden>" + "word " * 5000 + "</div><p>x</p>": 1, "<img>" * 4: 2, "": 0,
+             "<ul><li hidden>" + "word " * 5000 + "<li>x</ul>": 1, "<div style='Display: none'><div>" + "word " * 5000 + "</div>w</div>x": 1,
+             "<pre>" + "a\n" * 40 + "</pre>": 2, "<head><title>" + "word " * 5000 + "</title><body>x": 1, "<p>a&amp;b</p>" * 37: 2,
+             "<svg viewBox='0 0 480 7200'><text>" + "word " * 5000 + "</text></svg>x": 2, "<img width=20 height=20>" * 100: 1}
+    found = markup.estimate_pages_html(spark.createDataFrame(list(enumerate(cases)), "page_id int, html string"), "page_id", "html")
+    assert [r["pages"] for r in found.orderBy("page_id").collect()] == list(cases.values())
+    texts = ["&amp;&lt;&eacute;&notit;&#65;&#x1F600;&#128;&copy &nope; a & b", "plain", "&amp"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(markup.unescape(F.col("t")))
+    assert [r[0] for r in df.collect()] == [html.unescape(t) for t in texts]
     df = spark.createDataFrame([("<p>A&amp;B</p><!-- c --><li>x",)], "h string")
     assert df.select(markup.html_to_text(F.col("h"))).first()[0] == "A&B x"
 
