@@ -48,17 +48,26 @@ def visible_books(user_id: int, users: DataFrame, shelves: DataFrame, user_scope
     return everything.unionByName(scoped)
 
 
-def can_access(requests: DataFrame, users: DataFrame, visible_all: DataFrame, books: DataFrame,
+def can_access(requests: DataFrame, users: DataFrame, granted: DataFrame, contents: DataFrame, books: DataFrame,
                assets: DataFrame) -> DataFrame:
-    """Decide requests (user_id, kind, target_id); kind is live, trashed or asset."""
+    """Decide requests (user_id, kind, target_id); kind is live, trashed or asset.
+
+    ``granted`` is (user_id, shelf_id) and ``contents`` (shelf_id, book_id). Only the
+    requests of limited readers meet their shelves, and a shelf's books are looked up
+    for these books alone; what a reader may see is never listed.
+    """
     owner = assets.select(F.col("id").alias("target_id"), F.col("book_id").alias("asset_book"))
     files = requests.where("kind = 'asset'").join(owner, "target_id", "left")
     direct = requests.where("kind <> 'asset'").withColumn("asset_book", F.col("target_id"))
     asked = files.unionByName(direct).withColumnRenamed("asset_book", "book_id")
+    limited = scoped_readers(users)
+    wanted = asked.join(limited, "user_id", "left_semi").select("user_id", "book_id").distinct()
+    places = wanted.join(granted.select("user_id", "shelf_id"), "user_id")
+    seen = places.join(contents.select("shelf_id", "book_id"), ["shelf_id", "book_id"], "left_semi").select(
+        "user_id", "book_id").distinct().withColumn("seen", F.lit(True))
     state = books.select(F.col("id").alias("book_id"), F.col("deleted_at").isNotNull().alias("gone"))
     limits = users.select(F.col("id").alias("user_id"), F.lit(True).alias("known")).join(
-        scoped_readers(users).withColumn("limited", F.lit(True)), "user_id", "left")
-    seen = visible_all.withColumn("seen", F.lit(True))
+        limited.withColumn("limited", F.lit(True)), "user_id", "left")
     decided = asked.join(state, "book_id", "left").join(limits, "user_id", "left").join(seen, ["user_id", "book_id"], "left")
     fits = F.col("gone") == (F.col("kind") == "trashed")
     may = F.col("known") & (F.col("limited").isNull() | F.col("seen").isNotNull())

@@ -14,7 +14,7 @@ from foliant.functions.tagging import path_prefixes, tag_key
 from foliant.functions.text import SPACE, strip
 from foliant.functions.tokens import python_tokens, tokens
 from foliant.operators.browse import blank, live
-from foliant.session import cut_lineage
+from foliant.session import complete, cut_lineage
 
 # Relevance weight of each indexed field, and the BM25 constants.
 WEIGHTS = {"title": 10.0, "authors": 8.0, "series": 4.0, "genres": 1.0, "tags": 1.0, "description": 1.0,
@@ -29,6 +29,8 @@ TOKEN = rf'(?:{QUOTED}|[^\s"])+'
 CLOSED = r'^(?:"(?:[^"]|"")*"|[^\s"])+$'
 QUALIFIED = r'^("?)(author|series|tag|genre|title|no|status)\1:'
 
+POSTINGS = "book_id bigint, field string, term string, pos bigint"
+LENGTHS = "book_id bigint, length bigint"
 SLICE = 4096  # author orders and tag positions per slice of a long book
 
 
@@ -46,13 +48,16 @@ class SearchIndex:
             "overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
-    def settled(self) -> "SearchIndex":
-        """The index written to the checkpoint folder, for several passes over it in one job."""
-        return SearchIndex(cut_lineage(self.postings), cut_lineage(self.lengths))
-
     @classmethod
     def read(cls, spark, path: str) -> "SearchIndex":
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        return cls(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(LENGTHS).parquet(f"{path}/lengths"))
+
+    @classmethod
+    def stored(cls, spark, path: str, build) -> "SearchIndex":
+        """The index in ``path``; the first caller has it built and written there."""
+        if not complete(spark, f"{path}/lengths"):  # written last
+            build().write(path)
+        return cls.read(spark, path)
 
 
 def field_values(books: DataFrame, authors: DataFrame, book_authors: DataFrame, tags: DataFrame,
@@ -256,8 +261,8 @@ def search(cat, index: SearchIndex, q: str, user_id: int = 0, visible: DataFrame
         return rows.where(F.lit(False)).withColumn("score", F.lit(None).cast("double"))
     if not worded:
         return rows.withColumn("score", F.lit(None).cast("double"))
-    # The hits are counted per clause and then scored: two passes over one result.
-    scores = rank_bm25(index, cut_lineage(match_terms(index, worded)), len(worded))
+    # The hits are counted per clause and then scored. A written index is sorted by term, so either pass reads few row groups.
+    scores = rank_bm25(index, match_terms(index, worded), len(worded))
     return rows.join(scores.withColumnRenamed("book_id", "id"), "id")
 
 
@@ -325,11 +330,15 @@ def saved_query_terms(shelves: DataFrame) -> DataFrame:
 
 def vocabulary_matches(index: SearchIndex, words: DataFrame) -> DataFrame:
     """Dictionary terms filling each wanted word: equal ones, and for prefixes every term
-    starting with it, found by an equi-join on the terms' own leading parts."""
-    vocabulary = index.postings.select("term").distinct()
+    starting with it, found by an equi-join on the terms' own leading parts.
+
+    Only leading parts as long as some wanted prefix are made; tag keys are no words.
+    """
+    vocabulary = index.postings.where("field <> 'tag_keys'").select("term").distinct()
     whole = words.where(~F.col("is_prefix")).withColumn("term", F.col("word"))
-    lead = vocabulary.select("term", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("word"))
+    sizes = words.where("is_prefix").agg(F.collect_set(F.length("word"))).scalar()
+    lead = vocabulary.withColumn("sizes", sizes).select("term", F.explode(F.transform(
+        F.filter("sizes", lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("word"))
     open_ended = words.where("is_prefix").join(lead, "word")
     return whole.unionByName(open_ended.select(*whole.columns))
 

@@ -10,13 +10,20 @@ from foliant.functions.tokens import ACCENTED, PLAIN
 from foliant.operators import browse, scope, search
 from foliant.plans.bindings import ORACLE_ONLY
 from foliant.plans.registry import query
+from foliant.session import ensure_checkpoint_dir, version_of
 from foliant.sources.catalog import Catalog
 
 
-def index_of(c: Catalog) -> search.SearchIndex:
+def build_index(c: Catalog) -> search.SearchIndex:
     return search.build_search_index(c.books, c.authors, c.book_authors, c.tags, c.book_tags, c.assets)
 
 
+def index_of(c: Catalog) -> search.SearchIndex:
+    """The catalogue's index, written once for each state of the tables in the shared folder."""
+    name = version_of([c.part, c.lineitem, c.supplier, c.region, c.nation])
+    return search.SearchIndex.stored(c.spark, f"{ensure_checkpoint_dir(c.spark)}/search-{name}", lambda: build_index(c))
+
+
 def document_index(c: Catalog) -> search.SearchIndex:
     """The provided documents as one long field each."""
     pieces = c.documents.select(F.col("doc_id").alias("book_id"), F.lit("description").alias("field"),
@@ -208,7 +215,13 @@ GROUP BY h.shelf_id, h.book_id HAVING count(*) = max(n.need)"""
 
 
 def matches_of(c: Catalog) -> DataFrame:
-    return search.evaluate_saved_queries(index_of(c).settled(), c.shelves, c.tags, c.book_tags)
+    return search.evaluate_saved_queries(index_of(c), c.shelves, c.tags, c.book_tags)
+
+
+def matches_for(c: Catalog, user_id: int) -> DataFrame:
+    """The matches of the saved searches that one account is assigned to."""
+    assigned = scope.scope_shelves(c.users.where(F.col("id") == user_id), c.shelves, c.user_scope_shelves).select(F.col("shelf_id").alias("id"))
+    return search.evaluate_saved_queries(index_of(c), c.shelves.join(assigned, "id", "left_semi"), c.tags, c.book_tags)
 
 
 query("evaluate_saved_queries", "SELECT shelf_id, book_id FROM {query_matches}")(matches_of)
@@ -229,6 +242,10 @@ JOIN {shelves} s ON s.id = g.shelf_id AND (s.visibility = 'shared' OR s.owner_id
 JOIN (SELECT shelf_id, book_id FROM {shelf_books} UNION ALL SELECT shelf_id, book_id FROM {query_matches}) x ON x.shelf_id = s.id"""
 
 
+def grants(c: Catalog) -> DataFrame:
+    return scope.scope_shelves(c.users, c.shelves, c.user_scope_shelves)
+
+
 def visible_all(c: Catalog) -> DataFrame:
     return scope.visible_books_all(c.users, c.shelves, c.user_scope_shelves, c.shelf_books, matches_of(c))
 
@@ -238,7 +255,7 @@ for _name, _user in (("scoped", 19), ("full", 8)):
     query(f"visible_books_{_name}", f"""
 SELECT book_id FROM {{visible_all}} WHERE user_id = {_user}
 UNION ALL SELECT b.id FROM {{books}} b, {{users}} u WHERE u.id = {_user} AND NOT (u.role = 'reader' AND u.content_scope = 'shelves')""")(
-        lambda c, u=_user: scope.visible_books(u, c.users, c.shelves, c.user_scope_shelves, c.shelf_books, matches_of(c), c.books))
+        lambda c, u=_user: scope.visible_books(u, c.users, c.shelves, c.user_scope_shelves, c.shelf_books, matches_for(c, u), c.books))
 
 REQUESTS = """
 SELECT u AS user_id, kind, target_id FROM (
@@ -257,16 +274,13 @@ SELECT r.user_id, r.kind, r.target_id,
 FROM {access_requests} r LEFT JOIN {assets} a ON r.kind = 'asset' AND a.id = r.target_id
 LEFT JOIN {books} b ON b.id = CASE WHEN r.kind = 'asset' THEN a.book_id ELSE r.target_id END
 LEFT JOIN {users} u ON u.id = r.user_id LEFT JOIN {visible_all} v ON v.user_id = r.user_id AND v.book_id = b.id""")(
-    lambda c: scope.can_access(c.access_requests, c.users, visible_all(c), c.books, c.assets))
+    lambda c: scope.can_access(c.access_requests, c.users, grants(c), scope.shelf_contents(c.shelf_books, matches_of(c)), c.books, c.assets))
 
 
 def search_ranked(c: Catalog) -> DataFrame:
     """The flagship: search, rank and page within one scoped reader's visible books."""
-    index = index_of(c).settled()
-    assigned = scope.scope_shelves(c.users.where("id = 19"), c.shelves, c.user_scope_shelves).select(F.col("shelf_id").alias("id"))
-    matches = search.evaluate_saved_queries(index, c.shelves.join(assigned, "id", "left_semi"), c.tags, c.book_tags)
-    seen = scope.visible_books(19, c.users, c.shelves, c.user_scope_shelves, c.shelf_books, matches, c.books)
-    return hit_list(search.search(c, index, "gear author:moreau", 19, seen), 100)
+    seen = scope.visible_books(19, c.users, c.shelves, c.user_scope_shelves, c.shelf_books, matches_for(c, 19), c.books)
+    return hit_list(search.search(c, index_of(c), "gear author:moreau", 19, seen), 100)
 
 
 query("search_ranked", f"""

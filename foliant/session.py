@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write left its mark in ``path``, seen through the file system of the path."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def version_of(tables: list[DataFrame]) -> str:
+    """A name for the state of file tables: of their files with sizes and times of change."""
+    spark = tables[0].sparkSession
+    known = []
+    for name in sorted({name for table in tables for name in table.inputFiles()}):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        known.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.md5("\n".join(known).encode()).hexdigest()
