@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe
-from foliant.llm.chat import format_conversations, read_back
+from foliant.llm.chat import CONTROLS, TAIL, format_conversations, read_back
 from foliant.llm.decontaminate import leaked_documents
 from foliant.llm.licenses import scan_licenses
 from foliant.llm.pii import BASE_KINDS, find_pii
@@ -110,3 +110,44 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linked_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
                         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+# --- SQL twins, where SQL can say the same over whole tables ------------------------------
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+ORACLES["op1_chat"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+loss AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learnt FROM turns GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       max(length(learnt)) AS loss_chars, max(sha256(learnt)) AS loss_sha256,
+       CAST(sum(length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {len('<|' + '|>') + 1 + len(TAIL)}) AS BIGINT) AS formatted_chars
+FROM turns JOIN loss USING (conv_id) GROUP BY conv_id"""
+
+ORACLES["op9_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM reached r JOIN links l ON l.x = r.n),
+least AS (SELECT n, min(c) AS component_id FROM reached GROUP BY n), degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON n = vec_id LEFT JOIN degree ON x = vec_id"""
+
+ORACLES["op10_substrings"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, pos, md5(array_to_string(words[pos:(pos + 34)], ' ')) AS name FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 34)) AS pos FROM d WHERE len(words) >= 35) x),
+again AS (SELECT name FROM w GROUP BY name HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 34)) AS pos FROM w SEMI JOIN again USING (name)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d) y
+         ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
