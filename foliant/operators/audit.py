@@ -20,10 +20,15 @@ CHECKS = {
 }
 UNIQUE = [("books", ["id"], None), ("assets", ["original_hash"], None), ("assets", ["storage_path"], None), ("authors", ["name"], None),
           ("tags", ["kind", "name_key"], None), ("book_authors", ["book_id", "author_id"], None), ("book_tags", ["book_id", "tag_id"], None),
-          ("shelf_books", ["shelf_id", "book_id"], None), ("users", ["username"], None), ("assets", ["book_id"], "is_primary")]
+          ("shelf_books", ["shelf_id", "book_id"], None), ("users", ["username"], None), ("assets", ["book_id"], "is_primary"),
+          ("user_scope_shelves", ["user_id", "shelf_id"], None), ("reading_positions", ["user_id", "asset_id"], None), ("reading_state", ["user_id", "book_id"], None),
+          ("feed_items", ["connection_id", "asset_id"], None), ("feed_items", ["connection_id", "revision"], None), ("delivery_devices", ["user_id"], "is_default")]
 FOREIGN = [("assets", "book_id", "books"), ("book_authors", "book_id", "books"), ("book_authors", "author_id", "authors"), ("book_tags", "tag_id", "tags"),
            ("tags", "parent_id", "tags"), ("shelf_books", "shelf_id", "shelves"), ("shelves", "owner_id", "users"), ("user_scope_shelves", "user_id", "users"),
-           ("reading_positions", "asset_id", "assets")]
+           ("reading_positions", "asset_id", "assets"), ("book_tags", "book_id", "books"), ("shelf_books", "book_id", "books"),
+           ("user_scope_shelves", "shelf_id", "shelves"), ("reading_positions", "user_id", "users"), ("reading_state", "user_id", "users"),
+           ("reading_state", "book_id", "books"), ("annotations", "user_id", "users"), ("annotations", "asset_id", "assets"), ("books", "deleted_by", "users"),
+           ("delivery_devices", "user_id", "users"), ("delivery_jobs", "user_id", "users"), ("feed_items", "asset_id", "assets"), ("feed_items", "book_id", "books")]
 
 
 def audit_constraints(catalog) -> DataFrame:
@@ -38,7 +43,7 @@ def audit_constraints(catalog) -> DataFrame:
         rows = getattr(catalog, table)
         rows = rows.where(only) if only else rows
         doubled = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("violations"))
-        rule = "one primary per book" if only else "unique " + ", ".join(keys)
+        rule = {"is_primary": "one primary per book", "is_default": "one default per user"}.get(only, "unique " + ", ".join(keys))
         parts.append(doubled.select(F.lit(table).alias("tbl"), F.lit(rule).alias("rule"), "violations"))
     for table, column, target in FOREIGN:
         owner = getattr(catalog, target).select(F.col("id").alias(column))

@@ -121,6 +121,11 @@ FROM (SELECT book_id, count(*) FILTER (deleted = 0) AS n FROM {{notes}} GROUP BY
     lambda c: exports.export_annotations_markdown(c.notes, c.books).select("book_id", "place", F.md5("block").alias("block")))
 
 # --- model audit -----------------------------------------------------------------------
+_RULES = {"is_primary": "one primary per book", "is_default": "one default per user"}
+_MORE = [f"UNION ALL SELECT '{t}', '{_RULES.get(only, 'unique ' + ', '.join(keys))}', count(*) FROM (SELECT {keys[0]} FROM {{{t}}} {'WHERE ' + only if only else ''} GROUP BY {', '.join(keys)} HAVING count(*) > 1) q\n"
+         for t, keys, only in audit.UNIQUE]
+_MORE += [f"UNION ALL SELECT '{t}', '{column} in {target}', count(*) FROM {{{t}}} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {{{target}}})\n"
+          for t, column, target in audit.FOREIGN]
 query("audit_constraints", """
 SELECT * FROM (
 SELECT 'assets' AS tbl, 'page_count > 0' AS rule, count(*) FILTER (page_count <= 0) AS violations FROM {assets}
@@ -131,26 +136,7 @@ UNION ALL SELECT 'users', 'scope is known', count(*) FILTER (content_scope NOT I
 UNION ALL SELECT 'shelves', 'query only on query shelves', count(*) FILTER (NOT ((kind = 'manual' AND query IS NULL AND query_match IS NULL) OR (kind = 'query' AND query IS NOT NULL AND query_match IS NOT NULL))) FROM {shelves}
 UNION ALL SELECT 'reading_positions', 'progress within 0..1', count(*) FILTER (progress < 0 OR progress > 1) FROM {reading_positions}
 UNION ALL SELECT 'reading_state', 'status is known', count(*) FILTER (status NOT IN ('unread', 'reading', 'finished', 'dropped')) FROM {reading_state}
-UNION ALL SELECT 'books', 'unique id', count(*) FROM (SELECT id FROM {books} GROUP BY id HAVING count(*) > 1) q
-UNION ALL SELECT 'assets', 'unique original_hash', count(*) FROM (SELECT original_hash FROM {assets} GROUP BY original_hash HAVING count(*) > 1) q
-UNION ALL SELECT 'assets', 'unique storage_path', count(*) FROM (SELECT storage_path FROM {assets} GROUP BY storage_path HAVING count(*) > 1) q
-UNION ALL SELECT 'assets', 'one primary per book', count(*) FROM (SELECT book_id FROM {assets} WHERE is_primary GROUP BY book_id HAVING count(*) > 1) q
-UNION ALL SELECT 'authors', 'unique name', count(*) FROM (SELECT name FROM {authors} GROUP BY name HAVING count(*) > 1) q
-UNION ALL SELECT 'tags', 'unique kind, name_key', count(*) FROM (SELECT kind FROM {tags} GROUP BY kind, name_key HAVING count(*) > 1) q
-UNION ALL SELECT 'book_authors', 'unique book_id, author_id', count(*) FROM (SELECT book_id FROM {book_authors} GROUP BY book_id, author_id HAVING count(*) > 1) q
-UNION ALL SELECT 'book_tags', 'unique book_id, tag_id', count(*) FROM (SELECT book_id FROM {book_tags} GROUP BY book_id, tag_id HAVING count(*) > 1) q
-UNION ALL SELECT 'shelf_books', 'unique shelf_id, book_id', count(*) FROM (SELECT shelf_id FROM {shelf_books} GROUP BY shelf_id, book_id HAVING count(*) > 1) q
-UNION ALL SELECT 'users', 'unique username', count(*) FROM (SELECT username FROM {users} GROUP BY username HAVING count(*) > 1) q
-UNION ALL SELECT 'assets', 'book_id in books', count(*) FROM {assets} WHERE book_id NOT IN (SELECT id FROM {books})
-UNION ALL SELECT 'book_authors', 'book_id in books', count(*) FROM {book_authors} WHERE book_id NOT IN (SELECT id FROM {books})
-UNION ALL SELECT 'book_authors', 'author_id in authors', count(*) FROM {book_authors} WHERE author_id NOT IN (SELECT id FROM {authors})
-UNION ALL SELECT 'book_tags', 'tag_id in tags', count(*) FROM {book_tags} WHERE tag_id NOT IN (SELECT id FROM {tags})
-UNION ALL SELECT 'tags', 'parent_id in tags', count(*) FROM {tags} WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM {tags})
-UNION ALL SELECT 'shelf_books', 'shelf_id in shelves', count(*) FROM {shelf_books} WHERE shelf_id NOT IN (SELECT id FROM {shelves})
-UNION ALL SELECT 'shelves', 'owner_id in users', count(*) FROM {shelves} WHERE owner_id NOT IN (SELECT id FROM {users})
-UNION ALL SELECT 'user_scope_shelves', 'user_id in users', count(*) FROM {user_scope_shelves} WHERE user_id NOT IN (SELECT id FROM {users})
-UNION ALL SELECT 'reading_positions', 'asset_id in assets', count(*) FROM {reading_positions} WHERE asset_id NOT IN (SELECT id FROM {assets})
-) r""")(lambda c: audit.audit_constraints(c))
+"""+"".join(_MORE)+""") r""")(lambda c: audit.audit_constraints(c))
 
 # --- provider candidates -----------------------------------------------------------------
 BINDINGS["catalog_rows"] = """
