@@ -251,6 +251,20 @@ def position_conflicts(writes: DataFrame) -> DataFrame:
     return fold_sorted(writes, ["user_id", "asset_id"], ["arrived_at", "seq"], "outcome string, revision bigint", _judged_write)
 
 
+def status_after_writes(writes: DataFrame, states: DataFrame) -> DataFrame:
+    """(user_id, book_id, status) after position writes: those accepted or saved advance the status, each from the one before.
+
+    ``writes`` is (user_id, book_id, progress, outcome), ``states`` (user_id, book_id,
+    status). Finished and dropped stay, and progress only ever leads from reading to
+    finished, so the largest progress of the counted writes decides.
+    """
+    moved = writes.where(F.col("outcome").isin("accepted", "saved", "adopted")).groupBy("user_id", "book_id").agg(F.max("progress").alias("reached"))
+    both = states.select("user_id", "book_id", "status").join(moved, ["user_id", "book_id"], "full_outer")
+    status = F.coalesce("status", F.lit("unread"))
+    return both.select("user_id", "book_id", F.when(F.col("reached").isNull(), status).otherwise(
+        status_after_progress(status, F.col("reached"))).alias("status"))
+
+
 def fill_position_cache(positions: DataFrame, filled: DataFrame) -> DataFrame:
     """Fill an empty locator only while the revision is still the one it was computed for."""
     extra = filled.select("user_id", "asset_id", "revision", F.col("locator").alias("new_locator"))

@@ -132,7 +132,7 @@ SELECT user_id, asset_id, max_by(CASE WHEN NOT is_reset THEN progress END, n) FI
 FROM s WHERE NOT idle GROUP BY user_id, asset_id""".replace("max_by(CASE WHEN NOT is_reset THEN progress END, n) FILTER (NOT is_reset) AS p0,\n       ", ""))(
     lambda c: reading.latest_position(c.sync_writes))
 for _mode, _named in (("revision", "expected_revision"), ("stamp", "CAST(NULL AS BIGINT)"), ("mixed", "CASE WHEN seq % 3 = 0 THEN expected_revision END")):
-    query(f"position_conflicts_{_mode}", f"""
+    ORACLE_ONLY[f"conflicts_{_mode}"] = f"""
 WITH RECURSIVE f AS (
   SELECT user_id, asset_id, n, seq, outcome, CASE WHEN outcome = 'accepted' THEN progress ELSE 0.0 END AS progress, CASE WHEN outcome = 'accepted' THEN address ELSE '' END AS address,
          CASE WHEN outcome = 'accepted' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS revision, CASE WHEN outcome = 'accepted' THEN arrived_at ELSE CAST(0 AS BIGINT) END AS updated
@@ -143,8 +143,23 @@ WITH RECURSIVE f AS (
   FROM (SELECT f.user_id, f.asset_id, e.n, e.seq, f.progress, f.address, f.revision, f.updated, e.progress AS np, e.address AS na, e.arrived_at,
                CASE WHEN f.revision > 0 AND e.progress = f.progress AND e.address = f.address THEN 'same' WHEN coalesce(e.named <> f.revision, f.revision > 0 AND e.progress < f.progress AND e.modified_at < f.updated - 300) THEN 'conflict' ELSE 'accepted' END AS outcome
         FROM f JOIN (SELECT *, {_named} AS named FROM {{sync_rows}}) e ON e.user_id = f.user_id AND e.asset_id = f.asset_id AND e.n = f.n + 1) y)
-SELECT user_id, asset_id, seq, outcome, revision FROM f""")(
+SELECT user_id, asset_id, seq, outcome, revision FROM f"""
+    query(f"position_conflicts_{_mode}", f"SELECT user_id, asset_id, seq, outcome, revision FROM {{conflicts_{_mode}}}")(
         lambda c, named=_named: reading.position_conflicts(c.sync_writes.withColumn("expected_revision", F.expr(named))).select("user_id", "asset_id", "seq", "outcome", "revision"))
+
+
+def written_status(c: Catalog) -> DataFrame:
+    """Assets 1 to 40 stand for the books of the same numbers."""
+    outcomes = reading.position_conflicts(c.sync_writes).select("user_id", F.col("asset_id").alias("book_id"), "progress", "outcome")
+    return reading.status_after_writes(outcomes, c.reading_state)
+
+
+query("status_after_writes", """
+WITH m AS (SELECT c.user_id, c.asset_id AS book_id, max(w.progress) AS reached FROM {conflicts_revision} c JOIN {sync_writes} w ON w.seq = c.seq AND w.user_id = c.user_id AND w.asset_id = c.asset_id
+           WHERE c.outcome = 'accepted' GROUP BY c.user_id, c.asset_id)
+SELECT coalesce(m.user_id, s.user_id) AS user_id, coalesce(m.book_id, s.book_id) AS book_id,
+       CASE WHEN m.reached IS NULL OR s.status IN ('finished', 'dropped') THEN s.status WHEN m.reached >= 0.995 THEN 'finished' ELSE 'reading' END AS status
+FROM m FULL OUTER JOIN {reading_state} s ON s.user_id = m.user_id AND s.book_id = m.book_id""")(written_status)
 BINDINGS["cached_locators"] = """
 SELECT user_id, asset_id, CASE WHEN user_id % 2 = 0 THEN revision ELSE revision + 1 END AS revision, 'cfi' || CAST(asset_id AS STRING) AS locator FROM {reading_positions}
 """
