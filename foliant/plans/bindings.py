@@ -98,7 +98,7 @@ FROM {lineitem} GROUP BY l_partkey, l_suppkey
 """
 
 BINDINGS["assets"] = """
-SELECT (p.l_partkey + 1) * 100000 + p.l_suppkey + 1 AS id, p.l_partkey + 1 AS book_id,
+SELECT (p.l_partkey + 1) * 10000000000 + p.l_suppkey + 1 AS id, p.l_partkey + 1 AS book_id,
        CASE WHEN p.l_suppkey % 3 = 0 THEN 1 + p.cents % 500 END AS page_count,
        'b/' || CAST(p.l_partkey AS STRING) || '/' || CAST(p.l_suppkey AS STRING) || '.' || f.fmt AS storage_path,
        CAST(p.l_suppkey AS STRING) || '.' || f.fmt AS filename,
@@ -224,7 +224,7 @@ SELECT c_custkey + 1, CAST(901 + c_custkey % 14 AS BIGINT) FROM {customer} WHERE
 
 BINDINGS["user_lines"] = """
 SELECT o.o_custkey + 1 AS user_id, l.l_partkey + 1 AS book_id,
-       (l.l_partkey + 1) * 100000 + l.l_suppkey + 1 AS asset_id,
+       (l.l_partkey + 1) * 10000000000 + l.l_suppkey + 1 AS asset_id,
        @EPOCH(l.l_shipdate) AS at_s, l.l_orderkey AS order_id, CAST(l.l_linenumber AS BIGINT) AS line_no,
        CAST(round(l.l_extendedprice * 100) AS BIGINT) AS cents, round(l.l_discount * 10, 1) AS progress,
        l.l_returnflag AS flag
@@ -249,7 +249,8 @@ FROM {user_lines} GROUP BY user_id, book_id
 
 # A denser stream of device writes: few users and assets, many writes each.
 BINDINGS["sync_writes"] = """
-SELECT o.o_custkey % 50 + 1 AS user_id, l.l_partkey % 40 + 1 AS asset_id,
+SELECT o.o_custkey % (SELECT greatest(50, CAST(floor(count(*) / 30) AS BIGINT)) FROM {customer}) + 1 AS user_id,
+       l.l_partkey % (SELECT greatest(40, CAST(floor(count(*) / 50) AS BIGINT)) FROM {part}) + 1 AS asset_id,
        (l.l_orderkey * 10 + l.l_linenumber) * 10000000 + CAST(round(l.l_extendedprice * 100) AS BIGINT) % 10000000 AS seq,
        @EPOCH(l.l_shipdate) AS modified_at, @EPOCH(o.o_orderdate) AS arrived_at,
        round(l.l_discount * 10, 1) AS progress,
@@ -271,8 +272,9 @@ FROM {events}
 """
 
 BINDINGS["annotations"] = """
-SELECT conv_id * 100 + turn AS id, conv_id % 150 + 1 AS user_id, (conv_id % 2000 + 1) * 100000 + turn + 1 AS asset_id,
-       conv_id % 2000 + 1 AS book_id, role, text AS quote,
+SELECT conv_id * 100 + turn AS id, conv_id % (SELECT greatest(150, CAST(floor(count(*) / 10) AS BIGINT)) FROM {customer}) + 1 AS user_id,
+       (conv_id % (SELECT count(*) FROM {part}) + 1) * 10000000000 + turn + 1 AS asset_id,
+       conv_id % (SELECT count(*) FROM {part}) + 1 AS book_id, role, text AS quote,
        CAST(CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END AS BIGINT) AS deleted,
        CAST(conv_id * 10 + CAST(floor(turn / 2) AS BIGINT) AS BIGINT) AS created_at
 FROM {conversations}

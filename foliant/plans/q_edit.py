@@ -164,7 +164,7 @@ SELECT book_id, id AS asset_id, format, NOT is_primary AS promoted FROM (
     lambda c: edit.choose_primary_assets(c.assets))
 
 BINDINGS["shelf_requests"] = """
-SELECT c_custkey % 130 + 1 AS shelf_id, o_orderkey AS idx, o_orderkey % 2100 + 1 AS book_id FROM {orders} JOIN {customer} ON c_custkey = o_custkey
+SELECT c_custkey % 130 + 1 AS shelf_id, o_orderkey AS idx, o_orderkey % (SELECT CAST(floor(count(*) * 1.05) AS BIGINT) FROM {part}) + 1 AS book_id FROM {orders} JOIN {customer} ON c_custkey = o_custkey
 """
 query("shelf_add", """
 WITH f AS (SELECT shelf_id, book_id, min(idx) AS idx FROM {shelf_requests} r

@@ -140,7 +140,7 @@ UNION ALL SELECT 'reading_state', 'status is known', count(*) FILTER (status NOT
 
 # --- provider candidates -----------------------------------------------------------------
 BINDINGS["catalog_rows"] = """
-SELECT p_partkey % 400 AS query_id, p_partkey AS idx, p_name, p_size,
+SELECT p_partkey % (SELECT greatest(400, CAST(floor(count(*) / 5) AS BIGINT)) FROM {part}) AS query_id, p_partkey AS idx, p_name, p_size,
        '{{"key":"/works/OL' || CAST(p_partkey AS STRING) || 'W","title":"' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END || '","author_name":["Ann Moreau"," ann moreau ","B' || CAST(p_size AS STRING)
        || '"],"publisher":[""," House ' || CAST(p_size AS STRING) || '"],"isbn":["123","0-306-40615-2","9780306406157"],"language":["eng"],"subject":["a","A","b","c","d","e","f","g","h","i"],"first_publish_year":'
        || CAST(CASE WHEN p_partkey % 2 = 0 THEN 1900 + p_size ELSE 0 END AS STRING) || ',"publish_year":[' || CAST(1950 + p_size AS STRING) || '],"cover_i":' || CAST(p_partkey % 3 AS STRING) || '}}' AS json
@@ -159,7 +159,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 query("normalize_candidates", CATALOG_SQL)(lambda c: flat(matching.normalize_catalog_rows(c.catalog_rows.select("query_id", "idx", "json"))))
 BINDINGS["volume_rows"] = """
-SELECT p_partkey % 400 AS query_id, p_partkey AS idx, p_name, p_size,
+SELECT p_partkey % (SELECT greatest(400, CAST(floor(count(*) / 5) AS BIGINT)) FROM {part}) AS query_id, p_partkey AS idx, p_name, p_size,
        '{{"id":"g' || CAST(p_partkey AS STRING) || '","volumeInfo":{{"title":"' || p_name || '","subtitle":"' || CASE WHEN p_partkey % 3 = 0 THEN 'more' WHEN p_partkey % 3 = 1 THEN p_name ELSE '' END
        || '","authors":["Ann Moreau"],"publishedDate":"' || CAST(1950 + p_size AS STRING) || '-03","industryIdentifiers":[{{"type":"OTHER","identifier":"x"}},{{"type":"isbn_13","identifier":"978-0306406157"}}],"imageLinks":{{"'
        || CASE WHEN p_partkey % 2 = 0 THEN 'thumbnail' ELSE 'unknown' END || '":"http://i/1"}}}}}}' AS json
@@ -182,7 +182,7 @@ SELECT query_id, idx, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sco
 
 # --- delivery ------------------------------------------------------------------------------
 BINDINGS["delivery_requests"] = """
-SELECT d.id AS request_id, d.id % 2100 + 1 AS book_id, d.preset FROM {delivery_devices} d
+SELECT d.id AS request_id, d.id % (SELECT CAST(floor(count(*) * 1.05) AS BIGINT) FROM {part}) + 1 AS book_id, d.preset FROM {delivery_devices} d
 """
 # Sizes are stretched so that the attachment limit matters.
 BINDINGS["sized_assets"] = """

@@ -283,16 +283,16 @@ WITH t AS (SELECT *, row_number() OVER (ORDER BY revision) AS n FROM (SELECT f.*
 SELECT CAST(rn AS BIGINT) AS rn, asset_id, book_id, revision, first_revision, present, title, format, more FROM (
   SELECT row_number() OVER (ORDER BY i.asset_id) AS rn, i.asset_id, i.book_id, i.asset_id AS revision, i.first_revision, i.present, coalesce(b.title, '') AS title, coalesce(a.format, '') AS format,
          count(*) OVER () > 50 AS more
-  FROM {feed_items} i LEFT JOIN {books} b ON b.id = i.book_id LEFT JOIN {assets} a ON a.id = i.asset_id WHERE i.connection_id = 8 AND i.asset_id > 50000000) q WHERE rn <= 50""".replace(
+  FROM {feed_items} i LEFT JOIN {books} b ON b.id = i.book_id LEFT JOIN {assets} a ON a.id = i.asset_id WHERE i.connection_id = 8 AND i.asset_id > 5000000000000) q WHERE rn <= 50""".replace(
     "WITH t AS (SELECT *, row_number() OVER (ORDER BY revision) AS n FROM (SELECT f.*, asset_id * 7 AS rev FROM {feed_items} f WHERE connection_id = 8) x)\n", ""))(
-    lambda c: feed.feed_page(c.feed_items.withColumn("revision", F.col("asset_id")), c.books, c.assets, 8, 50000000, 50))
+    lambda c: feed.feed_page(c.feed_items.withColumn("revision", F.col("asset_id")), c.books, c.assets, 8, 5000000000000, 50))
 query("feed_asset_access", """
 SELECT i.connection_id, i.asset_id, a.book_id FROM {feed_items} i JOIN {assets} a ON a.id = i.asset_id JOIN {books} b ON b.id = a.book_id AND b.deleted_at IS NULL WHERE i.present""")(
     lambda c: feed.feed_asset_access(c.feed_items, c.assets, c.books).select("connection_id", "asset_id", "book_id"))
 
 # --- delivery queue ------------------------------------------------------------------------
 BINDINGS["delivery_jobs"] = """
-SELECT o_orderkey AS id, o_custkey % 20 + 1 AS user_id, @EPOCH(o_orderdate) AS created_at, '' AS error,
+SELECT o_orderkey AS id, o_custkey % (SELECT greatest(20, CAST(floor(count(*) / 75) AS BIGINT)) FROM {customer}) + 1 AS user_id, @EPOCH(o_orderdate) AS created_at, '' AS error,
        CASE o_orderkey % 9 WHEN 0 THEN 'queued' WHEN 1 THEN 'converting' WHEN 2 THEN 'sending' WHEN 3 THEN 'failed' ELSE 'sent' END AS status FROM {orders}
 """
 query("delivery_next", "SELECT id FROM {delivery_jobs} WHERE status = 'queued' ORDER BY created_at, id LIMIT 1")(lambda c: feed.next_delivery(c.delivery_jobs))

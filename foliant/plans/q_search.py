@@ -259,9 +259,9 @@ UNION ALL SELECT b.id FROM {{books}} b, {{users}} u WHERE u.id = {_user} AND NOT
 
 REQUESTS = """
 SELECT u AS user_id, kind, target_id FROM (
-  SELECT o_custkey + 1 AS u, 'live' AS kind, o_orderkey % 2000 + 1 AS target_id FROM {orders}
-  UNION ALL SELECT o_custkey + 1, 'trashed', (o_orderkey % 120) * 17 + 1 FROM {orders}
-  UNION ALL SELECT o.o_custkey + 1, 'asset', (l.l_partkey + 1) * 100000 + l.l_suppkey + 1 FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey) q
+  SELECT o_custkey + 1 AS u, 'live' AS kind, o_orderkey % (SELECT count(*) FROM {part}) + 1 AS target_id FROM {orders}
+  UNION ALL SELECT o_custkey + 1, 'trashed', (o_orderkey % (SELECT CAST(floor(count(*) / 17) AS BIGINT) + 3 FROM {part})) * 17 + 1 FROM {orders}
+  UNION ALL SELECT o.o_custkey + 1, 'asset', (l.l_partkey + 1) * 10000000000 + l.l_suppkey + 1 FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey) q
 GROUP BY u, kind, target_id"""
 ORACLE_ONLY["access_requests"] = REQUESTS
 from foliant.plans.bindings import BINDINGS  # noqa: E402  (the request table is bound for both engines)
