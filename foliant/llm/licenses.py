@@ -9,10 +9,12 @@ is suppressed, and of two that overlap in part the rule that comes first wins.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
 from foliant.llm.shared import empty_if_null
 
 # The phrases that always count, and their labels.
@@ -20,7 +22,7 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
-# Fixed values: (label, keyword in lower case, name as a pattern, short name, versions).
+# Fixed values: (label, keyword in lower case, name as a pattern, short name, versions). Parts of a keyword joined by + are all needed.
 FAMILIES = (
     ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", "gpl", ("1.0", "2.0", "3.0")),
     ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "lgpl", ("2.0", "2.1", "3.0")),
@@ -38,12 +40,12 @@ FAMILIES = (
     ("ofl", "open font", r"(?:sil )?open font licen[sc]e", "ofl", ("1.0", "1.1")),
     ("bsl", "boost", r"boost software licen[sc]e", "bsl", ("1.0",)),
     ("odbl", "open database", r"open (?:data commons )?(?:open )?database licen[sc]e", "odbl", ("1.0",)),
-    ("mit", "mit", r"(?:the )?mit licen[sc]e", "mit", ()),
+    ("mit", "mit+licen", r"(?:the )?mit licen[sc]e", "mit", ()),
     ("bsd-2", "bsd", r"(?:2|two)[ -]clause bsd licen[sc]e|simplified bsd licen[sc]e|bsd[ -]2[ -]clause(?: licen[sc]e)?", "bsd-2-clause", ()),
     ("bsd-3", "bsd", r"(?:3|three)[ -]clause bsd licen[sc]e|new bsd licen[sc]e|bsd[ -]3[ -]clause(?: licen[sc]e)?", "bsd-3-clause", ()),
-    ("bsd", "bsd", r"bsd licen[sc]e", "bsd", ()),
-    ("isc", "isc", r"isc licen[sc]e", "isc", ()),
-    ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", "zlib", ()),
+    ("bsd", "bsd+licen", r"bsd licen[sc]e", "bsd", ()),
+    ("isc", "isc+licen", r"isc licen[sc]e", "isc", ()),
+    ("zlib", "zlib+licen", r"zlib(?:/libpng)? licen[sc]e", "zlib", ()),
     ("unlicense", "unlicense", r"the unlicense", "unlicense", ()),
     ("wtfpl", "do what the", r"do what the f[\w*]+ you want to public licen[sc]e", "wtfpl", ()),
     ("psf", "python software", r"python software foundation licen[sc]e", "psf", ("2.0",)),
@@ -57,6 +59,8 @@ FAMILIES = (
     ("cc-by-nc-nd", "cc", r"cc[ -]by[ -]nc[ -]nd", "cc-by-nc-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc", "creative commons", r"creative commons(?: attribution)?(?: [a-z]{2,13}){0,3} licen[sc]e", "cc", ()),
 )
+# Short names that are license names wherever a version follows them.
+SHORT = ("gpl", "lgpl", "agpl", "gfdl", "apache", "cddl", "eupl", "odbl")
 # What stands before a name in a notice.
 NOTICE = r"(?:licen[sc]ed|released|distributed|published|available|provided|dual[ -]licen[sc]ed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?"
 # Notices that name no license.
@@ -65,7 +69,7 @@ GENERAL = (
     ("public-domain", "public domain", r"(?:placed|dedicated|released|is) (?:in|to|into) the public domain"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
     ("redistribution", "redistribution", r"redistribution and use in source and binary forms"),
-    ("as-is", "as is", r"provided [\"'“]?as is[\"'”]?,? without warranty"),
+    ("as-is", "without+warranty", r"provided [\"'“]?as is[\"'”]?,? without warranty"),
     ("permission", "permission is hereby", r"permission is hereby granted,? free of charge"),
 )
 
@@ -108,7 +112,7 @@ def signature_rules() -> list[dict]:
     for label, keyword, name, _, _ in FAMILIES:
         add(label, keyword, rf"(?:{name})")
     for label, _, _, short, versions in FAMILIES:
-        for v in versions if not label.startswith("cc-") else ():
+        for v in versions if short in SHORT else ():
             add(f"{label}-{v}", short, rf"{short}(?: |-)?v?{_version(v)}")
     for label, keyword, pattern in GENERAL:
         add(label, keyword, pattern)
@@ -128,21 +132,30 @@ def _one_is(places: str, pattern: str) -> Column:
 
 
 def _words(text) -> Column:
-    return F.regexp_count(text, F.lit(f"{WORD}+")).cast("long")
+    """How many words a text has: the pieces between gaps, less an empty one at either end."""
+    def count(pieces: Column) -> Column:
+        ends = F.when(F.get(pieces, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), 1).otherwise(0)
+        return (F.size(pieces) - ends).cast("long")
 
+    return let(F.split(text, f"{GAP}+", -1), count)
 
-def _found(text: Column, rules: list[dict]) -> Column:
+
+def _found(text: Column, small: Column, rules: list[dict]) -> Column:
     """Detections of all rules whose keyword the text contains, ordered by start, then by length, then by rule."""
     by_keyword: dict[str, list[dict]] = {}
     for rule in rules:
         by_keyword.setdefault(rule["keyword"], []).append({k: rule[k] for k in ("rank", "label", "regex")})
     table = F.from_json(F.lit(json.dumps(by_keyword)), "map<string, array<struct<rank: int, label: string, regex: string>>>")
-    small = F.lower(text)
-    tried = F.flatten(F.transform(F.filter(F.map_keys(table), lambda k: F.contains(small, k)), lambda k: F.element_at(table, k)))
+    held = F.filter(F.map_keys(table), lambda k: F.forall(F.split(k, r"\+"), lambda part: F.contains(small, part)))
+    tried = F.flatten(F.transform(held, lambda k: F.element_at(table, k)))
 
     def spans(rule: Column) -> Column:
+        found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
+        return let(found, lambda matches: F.when(F.size(matches) > 0, located(rule, F.split(text, rule["regex"], -1), matches)).otherwise(
+            F.array().cast("array<struct<start: int, back: int, rank: int, label: string, stop: int>>")))
+
+    def located(rule: Column, pieces: Column, matches: Column) -> Column:
         # What stands between the matches and the matches themselves add up to the places.
-        pieces, matches = F.split(text, rule["regex"], -1), F.regexp_extract_all(text, rule["regex"], F.lit(0))
         none = F.array().cast("array<struct<start: int, back: int, rank: int, label: string, stop: int>>")
         return F.aggregate(
             F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("p"), matches.alias("m")), F.struct(F.lit(0).alias("at"), none.alias("out")),
@@ -186,14 +199,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrase = "(?:" + "|".join(_phrase(p) for p, _ in PHRASES) + ")"
     rows = docs.select(F.col(id_col).alias("id"), empty_if_null(F.col(text_col).cast("string")).alias("text"))
     text = F.col("text")
-    gate = "(?i)" + "|".join(sorted({r["keyword"] for r in rules if r["keyword"] != "cc"}) + ["cc[ -]by"]) if rules else "(?!)"
     none = "array<struct<start: int, back: int, rank: int, label: string, stop: int>>"
+    # Plain containment decides which texts meet a regular expression at all. Most rules need "licen".
+    small = F.col("small")
+    has = lambda *words: reduce(lambda a, b: a & b, [F.contains(small, F.lit(w)) for w in words])
+    keys = sorted({("licen",) if "licen[sc]e" in r["regex"] and "clause" not in r["regex"] else ("cc", "by") if r["keyword"] == "cc" else tuple(r["keyword"].split("+")) for r in rules})
+    gate = reduce(lambda a, b: a | b, [has(*k) for k in keys], F.lit(False))
+    likely = has("license") | has("cc", "by")
+    rows = rows.select("id", "text", F.lower("text").alias("small")).select("id", "text", "small", gate.alias("gate"), likely.alias("likely"))
     rows = rows.select(
         "id", "text", _words(text).alias("n_words"),
-        F.when(text.rlike(phrase), F.regexp_extract_all(text, F.lit(phrase), F.lit(0))).alias("places"),
-        F.when(text.rlike(gate), _resolved(_found(text, rules))).otherwise(F.array().cast(none)).alias("kept"))
+        F.when(F.col("likely") & text.rlike(phrase), F.regexp_extract_all(text, F.lit(phrase), F.lit(0))).alias("places"),
+        F.when(F.col("gate"), _resolved(_found(text, small, rules))).otherwise(F.array().cast(none)).alias("kept"))
+    rows = rows.select("id", "text", "n_words", "kept", "places", F.when(F.col("places").isNotNull(), F.split("text", phrase, -1)).alias("pieces"))
     here = F.col("places").isNotNull()
-    pieces = F.split("text", phrase, -1)
+    pieces = F.col("pieces")
     rows = rows.select(
         "id", "n_words", "kept", F.char_length("text").alias("size"),
         F.when(here, F.size("places")).otherwise(0).cast("long").alias("n_base"),
