@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEQUENCE = 1024  # tokens of a sequence
-PER_SHARD = 16384  # records of a shard
+SEQUENCE = 2048  # tokens of a sequence
+PER_SHARD = 8192  # records of a shard
 ROUNDS = 6
 HEAD = 4  # bytes before the tokens of a record: how many of them count
 
@@ -67,10 +67,6 @@ class Permutation:
         return self._walked(slots, True)
 
 
-def _count_sequences(size: int, tokens: int) -> int:
-    return -(-size // tokens)
-
-
 def _filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
 
@@ -93,11 +89,13 @@ def write_shards(sequences: DataFrame, folder: str, id_col: str = "id", tokens_c
                  sequence: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
     """Writes the rows' tokens in training order and returns where they went.
 
-    ``tokens_col`` is binary: token ids of ``width`` bytes each, little-endian. A row
-    is cut into sequences of ``sequence`` tokens, the last one padded with zeros; its
-    record says how many tokens count. Rows without tokens (null or empty) have no
-    sequence. The result has a row for each sequence: id, part (from 0), number, slot,
-    shard, record, n_tokens, sha256 (of the shard). ``folder`` has to be seen by all
+    ``tokens_col`` is binary: token ids of ``width`` bytes each, little-endian. The
+    rows of a partition follow each other in one stream, which is cut into sequences
+    of ``sequence`` tokens; only a partition's last one is padded, with zeros, and a
+    record says how many tokens count. The result has a row for each part of a row
+    that stands in one sequence: id, part (from 0), number, slot, shard, record,
+    start (its first token in the sequence), n_tokens, sha256 (of the shard). Rows
+    without tokens (null or empty) have none. ``folder`` has to be seen by all
     executors; a shard is written under its name only when it is whole, and writing it
     again gives the same bytes.
 
@@ -106,14 +104,13 @@ def write_shards(sequences: DataFrame, folder: str, id_col: str = "id", tokens_c
     driver keeps one count for each partition.
     """
     record = sequence * width
-    stride = HEAD + record
     rows = sequences.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(tokens_col), F.lit(b"")).alias("tokens"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(_count_sequences(x, record) for batch in batches for x in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], names=["part", "n"])
+        size = sum(x for batch in batches for x in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-size // record)], pa.int64())], names=["part", "n"])
 
-    counted = rows.select(F.octet_length("tokens").alias("size")).mapInArrow(count, "part int, n long").collect()
+    counted = rows.select(F.octet_length("tokens").cast("long").alias("size")).mapInArrow(count, "part int, n long").collect()
     held = {r["part"]: r["n"] for r in counted}
     total, base = 0, {}
     for part in sorted(held):
@@ -122,50 +119,69 @@ def write_shards(sequences: DataFrame, folder: str, id_col: str = "id", tokens_c
     order = Permutation(total, key)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        start = at = base.get(part, 0)
+        at_partition = TaskContext.get().partitionId()
+        start = at = base.get(at_partition, 0)
+        done: list[tuple] = []  # whole sequences: tokens, and the id, part and length of each piece
+        pieces: list[tuple] = []
+        room = record
+
+        def closed() -> None:
+            nonlocal pieces, room
+            done.append((b"".join(p[3] for p in pieces), [p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces]))
+            pieces, room = [], record
+
+        def ready() -> pa.RecordBatch:
+            nonlocal at
+            numbers = np.arange(at, at + len(done))
+            at += len(done)
+            columns = [pa.array(numbers), pa.array(order.slots(numbers)), pa.array([d[0] for d in done], pa.binary())]
+            columns += [pa.array([d[i] for d in done], pa.list_(pa.int64())) for i in (1, 2, 3)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["number", "slot", "tokens", "ids", "parts", "sizes"])
+
         for batch in batches:
-            ids, parts, sizes, values = [], [], [], []
             for row, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = tokens.as_py()
-                for i in range(0, len(raw), record):
-                    piece = raw[i: i + record]
-                    ids.append(row)
-                    parts.append(i // record)
-                    sizes.append(len(piece) // width)
-                    values.append(piece)
-            numbers = np.arange(at, at + len(ids))
-            at += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(numbers), pa.array(order.slots(numbers)), pa.array(sizes, pa.int64()),
-                 pa.array(values, pa.binary())], names=["id", "part", "number", "slot", "n_tokens", "tokens"])
-        if at - start != held.get(part, 0):
+                raw, taken, part = tokens.as_py(), 0, 0
+                while taken < len(raw):
+                    piece = raw[taken: taken + room]
+                    pieces.append((row, part, len(piece) // width, piece))
+                    taken, part, room = taken + len(piece), part + 1, room - len(piece)
+                    if not room:
+                        closed()
+            if done:
+                yield ready()
+        if pieces:
+            closed()
+        if done:
+            yield ready()
+        if at - start != held.get(at_partition, 0):
             raise ValueError("the rows of a partition have changed between two reads; write them to files first")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "part", "number", "slot", "shard", "record", "n_tokens", "sha256"]
+        names = ["id", "part", "number", "slot", "shard", "record", "start", "n_tokens", "sha256"]
 
         def finished(held: list[pa.RecordBatch], shard: int) -> pa.RecordBatch:
             digest = hashlib.sha256()
+            out = []
 
-            def write(out):
+            def write(file):
                 for batch in held:
-                    for size, tokens in zip(batch.column(4).to_pylist(), batch.column(5)):
-                        raw = tokens.as_py()
-                        line = size.to_bytes(HEAD, "little") + raw + bytes(record - len(raw))
+                    for number, slot, raw, *rest in zip(*[c.to_pylist() for c in batch.columns]):
+                        line = (len(raw) // width).to_bytes(HEAD, "little") + raw + bytes(record - len(raw))
                         digest.update(line)
-                        out.write(line)
+                        file.write(line)
+                        at = 0
+                        for row, part, size in zip(*rest):
+                            out.append((row, part, number, slot, shard, slot % per_shard, at, size))
+                            at += size
 
             _store(folder, shard_name(shard), write)
-            table = pa.Table.from_batches(held).drop_columns(["tokens"])
-            slots = table["slot"].to_numpy()
-            out = [*(table[c] for c in ("id", "part", "number", "slot")), pa.array(slots // per_shard), pa.array(slots % per_shard), table["n_tokens"],
-                   pa.array([digest.hexdigest()] * len(slots), pa.string())]
-            return pa.table(out, names=names).combine_chunks().to_batches()[0]
+            columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(8)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([digest.hexdigest()] * len(out), pa.string())], names=names)
 
         held, current = [], None
         for batch in batches:  # the rows come by slot, and so shard by shard
-            shards = batch.column(3).to_numpy() // per_shard
+            shards = batch.column(1).to_numpy() // per_shard
             edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True]) if len(shards) else []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if held and shards[lo] != current:
@@ -176,11 +192,11 @@ def write_shards(sequences: DataFrame, folder: str, id_col: str = "id", tokens_c
         if held:
             yield finished(held, int(current))
 
-    placed = rows.mapInArrow(place, "id long, part long, number long, slot long, n_tokens long, tokens binary")
+    placed = rows.mapInArrow(place, "number long, slot long, tokens binary, ids array<long>, parts array<long>, sizes array<long>")
     shards = max(1, -(-total // per_shard))
     # Partition i is the range of slots of shard i; no sampling is needed to find the bounds.
     dealt = placed.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(store, "id long, part long, number long, slot long, shard long, record long, n_tokens long, sha256 string")
+    return dealt.mapInArrow(store, "id long, part long, number long, slot long, shard long, record long, start long, n_tokens long, sha256 string")
 
 
 def read_records(folder: str, first: int, count: int, width: int = 1, sequence: int = SEQUENCE, per_shard: int = PER_SHARD) -> Iterator[bytes]:
