@@ -92,7 +92,7 @@ def _budgets(shares: list[float], threshold: float) -> np.ndarray:
     return (2 - 2 * threshold) * np.array(shares) * (1 + SLACK) + 1e-12
 
 
-def _cells(shares: dict[int, list[float]], threshold: float):
+def _cells(shares: dict[int, list[float]], threshold: float, kind: str):
     """(cls, copies, size, vector as bytes, block, x, y) for each block of each usable vector."""
     names = ["cls", "copies", "size", "raw", "block", "x", "y"]
 
@@ -105,7 +105,7 @@ def _cells(shares: dict[int, list[float]], threshold: float):
                     continue
                 size = x.shape[1]
                 turned = _unit(x) @ _rotation(size)
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
+                raw = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
                 keep = [batch.column(i).take(pa.array(rows)) for i in (0, 1)]
                 for b, (block, budget) in enumerate(zip(_blocks(size), _budgets(shares[size], threshold))):
                     width = np.sqrt(budget) * (1 + 1e-6)
@@ -128,13 +128,13 @@ def _lifted(a: np.ndarray, left: bool) -> np.ndarray:
     return np.concatenate([a, norm, one] if left else [-2 * a, one, norm], axis=1).astype(np.float32)
 
 
-def _tile(shares: dict[int, list[float]], threshold: float):
+def _tile(shares: dict[int, list[float]], threshold: float, kind: str):
     """Links between two chunks, or within one: for each vector how many, and the smallest vector it reaches in the tile."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         size, block = int(part["size"].iloc[0]), int(part["block"].iloc[0])
         budgets, cuts = _budgets(shares[size], threshold), _blocks(size)
-        unit = _unit(np.frombuffer(b"".join(part["raw"]), np.float64).reshape(-1, size))
+        unit = _unit(np.frombuffer(b"".join(part["raw"]), kind).astype(np.float64).reshape(-1, size))
         turned = unit @ _rotation(size)
         side, ids, copies = part["side"].to_numpy(), part["cls"].to_numpy(), part["copies"].to_numpy()
         same = not (side == 1).any()
@@ -206,7 +206,9 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     classes = rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()))
     shares = _shares(classes)
-    run, shape = _cells(shares, threshold)
+    # Single-precision vectors travel as such; they are compared in double precision all the same.
+    kind = "f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "f8"
+    run, shape = _cells(shares, threshold, kind)
     cells = written(classes.select("cls", "copies", "vector").mapInArrow(run, shape))
     chunked, tiles = _chunked(cells)
     tiles = written(tiles)
@@ -218,7 +220,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     # Tiles of one chunk have no second side; those of two whose second one is empty do not exist.
     columns = ["tile", "side", "cls", "copies", "size", "block", "raw"]
     found = written(ones.select(*columns).union(twos.select(*columns)).groupBy("tile").applyInPandas(
-        _tile(shares, threshold), "cls long, links long, reach long"))
+        _tile(shares, threshold, kind), "cls long, links long, reach long"))
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = connected_components(found, "cls", "reach")
     held = classes.select("cls", "k1", "k2", "first", "copies").join(counts, "cls", "left").join(
