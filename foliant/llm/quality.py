@@ -31,6 +31,7 @@ CALIBRATION = 4  # one labelled text in so many is kept for calibration
 THRESHOLD = 0.5
 META_COLUMNS = (("lang", 8), ("source", 32))
 LENGTHS = 22
+ROWS = 1000
 RIDGE = 1e-3
 
 # Frequent words of English, French, German and Spanish.
@@ -91,6 +92,18 @@ def _views(batch: pa.RecordBatch, first: int, buckets: tuple[int, ...]) -> tuple
     return content, meta
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ROWS rows, so that a task holds the figures of a few texts only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+
+
 def _inputs(docs: DataFrame, text_col: str, length_col: str, meta_columns) -> tuple[list[Column], tuple[int, ...]]:
     """Text, length and metadata columns; those that are absent count as null."""
     def there(name, kind):
@@ -106,10 +119,9 @@ def features(docs: DataFrame, id_col: str, text_col: str, length_col: str, meta_
     inputs, buckets = _inputs(docs, text_col, length_col, meta_columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             content, meta = _views(batch, 3, buckets)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(content.tolist(), pa.list_(pa.float64())),
-                                              pa.array(meta.tolist(), pa.list_(pa.float64()))], names=["id", "k1", "k2", "content", "meta"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(content), _lists(meta)], names=["id", "k1", "k2", "content", "meta"])
 
     frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *text_key(empty_if_null(F.col(f"`{text_col}`").cast("string"))), *inputs)
     return written(frame.mapInArrow(run, "id long, k1 long, k2 long, content array<double>, meta array<double>"))
@@ -236,7 +248,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = model.scores(*_views(batch, len(columns), buckets))[2] >= threshold
             yield batch.filter(pa.array(keep)).select(columns)
 
