@@ -34,8 +34,8 @@ WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 SHORT_TAILS, LONG_TAILS = "stmd", ("re", "ve", "ll")
 
 BLOCK = 256
-CHUNK = 1 << 20  # code points scanned at once; a longer text is scanned whole
-CACHED = 250_000
+CHUNK = 1 << 19  # code points scanned at once; a longer text is scanned whole
+CACHED = 100_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
