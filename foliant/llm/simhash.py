@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,8 +164,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Of rows equal in id and fingerprint one stays. A null id counts as the largest.
     Only ids move, not texts, except for ids that several rows have.
     """
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, max_bits, shingle), lambda text: fingerprint(text, shingle), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, print_of_text: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that come first, by id and then by fingerprint, in their component of ``groups`` (id, fp, component)."""
     last = F.lit((1 << 63) - 1)
-    found = written(near_duplicates(docs, id_col, text_col, max_bits, shingle).select(F.coalesce("id", last).alias("_id"), F.col("fp").alias("_fp"), "component"))
+    found = written(groups.select(F.coalesce("id", last).alias("_id"), F.col("fp").alias("_fp"), "component"))
     best = found.groupBy("component").agg(F.min(F.struct("_id", "_fp")).alias("best")).select("best._id", "best._fp")
     rows = found.groupBy("_id").agg(F.count("*").alias("n"))
     gone = rows.join(best.select("_id").distinct(), "_id", "left_anti").select("_id").union(rows.where("n > 1").select("_id")).distinct()
@@ -175,7 +180,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     if again.isEmpty():
         return kept
     # Ids that several rows have: the fingerprint tells the rows apart.
-    print_of = F.udf(lambda text: fingerprint(text, shingle), "long")
+    print_of = F.udf(print_of_text, "long")
     several = docs.join(again.select("_id").distinct(), own == F.col("_id"), "left_semi").withColumn("_fp", print_of(F.col(text_col)))
     several = several.join(again.withColumnRenamed("_fp", "_best"), (own == F.col("_id")) & (F.col("_fp") == F.col("_best")))
     return kept.union(several.dropDuplicates(["_id", "_fp"]).select(docs.columns))
