@@ -1,8 +1,9 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 Rules are regular expressions made from license names, versions and the forms in
-which texts state them. A keyword that every match of a rule contains decides
-whether the rule is tried on a text. Of overlapping detections one inside another
+which texts state them. Keywords that every match of a rule contains, each without
+spaces as any white space may stand between words, decide whether the rule is
+tried on a text. Of overlapping detections one inside another
 is suppressed, and of two that overlap in part the rule that comes first wins.
 """
 
@@ -24,22 +25,22 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 # Fixed values: (label, keyword in lower case, name as a pattern, short name, versions). Parts of a keyword joined by + are all needed.
 FAMILIES = (
-    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", "gpl", ("1.0", "2.0", "3.0")),
-    ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "lgpl", ("2.0", "2.1", "3.0")),
+    ("gpl", "general+public+licen", r"(?:gnu )?general public licen[sc]e", "gpl", ("1.0", "2.0", "3.0")),
+    ("lgpl", "general+public+licen", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "lgpl", ("2.0", "2.1", "3.0")),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", "agpl", ("1.0", "3.0")),
-    ("fdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", "gfdl", ("1.1", "1.2", "1.3")),
+    ("fdl", "free+documentation", r"(?:gnu )?free documentation licen[sc]e", "gfdl", ("1.1", "1.2", "1.3")),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", "apache", ("1.0", "1.1", "2.0")),
     ("mpl", "mozilla", r"mozilla public licen[sc]e", "mpl", ("1.0", "1.1", "2.0")),
     ("epl", "eclipse", r"eclipse public licen[sc]e", "epl", ("1.0", "2.0")),
-    ("cddl", "common development", r"common development and distribution licen[sc]e", "cddl", ("1.0", "1.1")),
-    ("cpl", "common public", r"common public licen[sc]e", "cpl", ("1.0",)),
-    ("eupl", "european union", r"european union public licen[sc]e", "eupl", ("1.0", "1.1", "1.2")),
-    ("osl", "open software", r"open software licen[sc]e", "osl", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", "academic free", r"academic free licen[sc]e", "afl", ("1.1", "2.0", "2.1", "3.0")),
+    ("cddl", "common+development", r"common development and distribution licen[sc]e", "cddl", ("1.0", "1.1")),
+    ("cpl", "common+public", r"common public licen[sc]e", "cpl", ("1.0",)),
+    ("eupl", "european+union", r"european union public licen[sc]e", "eupl", ("1.0", "1.1", "1.2")),
+    ("osl", "open+software", r"open software licen[sc]e", "osl", ("1.0", "2.0", "2.1", "3.0")),
+    ("afl", "academic+free", r"academic free licen[sc]e", "afl", ("1.1", "2.0", "2.1", "3.0")),
     ("artistic", "artistic", r"artistic licen[sc]e", "artistic", ("1.0", "2.0")),
-    ("ofl", "open font", r"(?:sil )?open font licen[sc]e", "ofl", ("1.0", "1.1")),
+    ("ofl", "open+font", r"(?:sil )?open font licen[sc]e", "ofl", ("1.0", "1.1")),
     ("bsl", "boost", r"boost software licen[sc]e", "bsl", ("1.0",)),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database licen[sc]e", "odbl", ("1.0",)),
+    ("odbl", "open+database", r"open (?:data commons )?(?:open )?database licen[sc]e", "odbl", ("1.0",)),
     ("mit", "mit+licen", r"(?:the )?mit licen[sc]e", "mit", ()),
     ("bsd-2", "bsd", r"(?:2|two)[ -]clause bsd licen[sc]e|simplified bsd licen[sc]e|bsd[ -]2[ -]clause(?: licen[sc]e)?", "bsd-2-clause", ()),
     ("bsd-3", "bsd", r"(?:3|three)[ -]clause bsd licen[sc]e|new bsd licen[sc]e|bsd[ -]3[ -]clause(?: licen[sc]e)?", "bsd-3-clause", ()),
@@ -47,8 +48,8 @@ FAMILIES = (
     ("isc", "isc+licen", r"isc licen[sc]e", "isc", ()),
     ("zlib", "zlib+licen", r"zlib(?:/libpng)? licen[sc]e", "zlib", ()),
     ("unlicense", "unlicense", r"the unlicense", "unlicense", ()),
-    ("wtfpl", "do what the", r"do what the f[\w*]+ you want to public licen[sc]e", "wtfpl", ()),
-    ("psf", "python software", r"python software foundation licen[sc]e", "psf", ("2.0",)),
+    ("wtfpl", "what+want+public+licen", r"do what the f[\w*]+ you want to public licen[sc]e", "wtfpl", ()),
+    ("psf", "python+software", r"python software foundation licen[sc]e", "psf", ("2.0",)),
     ("ms-pl", "microsoft", r"microsoft public licen[sc]e", "ms-pl", ()),
     ("cc0", "cc0", r"cc0(?: universal)?", "cc0", ("1.0",)),
     ("cc-by", "cc", r"cc[ -]by", "cc-by", ("1.0", "2.0", "2.5", "3.0", "4.0")),
@@ -57,7 +58,7 @@ FAMILIES = (
     ("cc-by-nd", "cc", r"cc[ -]by[ -]nd", "cc-by-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc-sa", "cc", r"cc[ -]by[ -]nc[ -]sa", "cc-by-nc-sa", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc-nd", "cc", r"cc[ -]by[ -]nc[ -]nd", "cc-by-nc-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc", "creative commons", r"creative commons(?: attribution)?(?: [a-z]{2,13}){0,3} licen[sc]e", "cc", ()),
+    ("cc", "creative+commons", r"creative commons(?:[ -]attribution)?(?:[ -][a-z]{2,13}){0,4}(?: v?\d(?:\.\d)?(?: [a-z]{2,13}){0,3})? licen[sc]e", "cc", ()),
 )
 # Short names that are license names wherever a version follows them.
 SHORT = ("gpl", "lgpl", "agpl", "gfdl", "apache", "cddl", "eupl", "odbl")
@@ -65,19 +66,19 @@ SHORT = ("gpl", "lgpl", "agpl", "gfdl", "apache", "cddl", "eupl", "odbl")
 NOTICE = r"(?:licen[sc]ed|released|distributed|published|available|provided|dual[ -]licen[sc]ed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?"
 # Notices that name no license.
 GENERAL = (
-    ("all-rights-reserved", "rights reserved", r"all rights reserved"),
-    ("public-domain", "public domain", r"(?:placed|dedicated|released|is) (?:in|to|into) the public domain"),
+    ("all-rights-reserved", "rights+reserved", r"all rights reserved"),
+    ("public-domain", "public+domain", r"(?:placed|dedicated|released|is) (?:in|to|into) the public domain"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
     ("redistribution", "redistribution", r"redistribution and use in source and binary forms"),
     ("as-is", "without+warranty", r"provided [\"'“]?as is[\"'”]?,? without warranty"),
-    ("permission", "permission is hereby", r"permission is hereby granted,? free of charge"),
+    ("permission", "permission+hereby", r"permission is hereby granted,? free of charge"),
 )
 
 
 def _loose(pattern: str) -> str:
-    """Any white space where the pattern has a space outside of a character class."""
+    """Any white space where the pattern has a space, alone or as the choice of a space or a hyphen."""
     out, inside = [], False
-    for c in pattern:
+    for c in pattern.replace("[ -]", "(?: |-)"):
         inside = c == "[" or inside and c != "]"
         out.append(r"(?:\s{1,9})" if c == " " and not inside else c)
     return "".join(out)

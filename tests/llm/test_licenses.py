@@ -59,3 +59,53 @@ def test_rules_are_ordered_and_many():
     rules = signature_rules()
     assert len(rules) > 200 and [r["rank"] for r in rules] == list(range(len(rules)))
     assert all(re.compile(r["regex"]) for r in rules)
+
+
+def samples(parsed):
+    """Texts that a parsed pattern matches: every alternative and optional part occurs in one of them."""
+    choices = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            choices.append([chr(arg)])
+        elif name == "IN":
+            kind, value = arg[0] if str(arg[0][0]) != "NEGATE" else arg[1]
+            choices.append([{"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "1"}.get(str(value), "x") if str(kind) == "CATEGORY" else chr(value if str(kind) == "LITERAL" else value[0])])
+        elif name == "MAX_REPEAT":
+            low, _, inner = arg
+            choices.append([""] * (low == 0) + [x * max(1, low) for x in samples(inner)])
+        elif name == "SUBPATTERN":
+            choices.append(samples(arg[3]))
+        elif name == "BRANCH":
+            choices.append([x for part in arg[1] for x in samples(part)])
+        else:
+            assert name in ("ASSERT_NOT", "AT"), name
+    first = [c[0] for c in choices]
+    return ["".join(first)] + ["".join(first[:i] + [x] + first[i + 1:]) for i, c in enumerate(choices) for x in c[1:]]
+
+
+def test_keywords_are_in_every_match():
+    from re import _parser
+
+    for rule in signature_rules():
+        found = samples(_parser.parse(rule["regex"]))
+        for text in (x.replace(" ", gap) for x in found for gap in (" ", "\n", "  ")):
+            assert re.search(rule["regex"], text), (rule, text)
+            assert all(part in text.lower() for part in rule["keyword"].split("+")), (rule, text)
+
+
+WRAPPED = {
+    "This is licensed under the GNU General\nPublic License, version 3.": ["gpl-3.0"],
+    "the GNU Library General Public License": ["lgpl"],
+    "Open  Software\nLicense 3.0; All rights\n  reserved.": ["osl-3.0", "all-rights-reserved"],
+    "Open Data Commons Database License": ["odbl"],
+    "Placed in the public\ndomain. Python\nSoftware Foundation License": ["public-domain", "psf"],
+    "a Creative\nCommons Attribution-ShareAlike 4.0 International License": ["cc"],
+    "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0\nInternational License": ["cc"],
+    "licensed under CC\nBY-NC-SA 4.0, or the 3\nclause BSD license": ["cc-by-nc-sa-4.0", "bsd-3"],
+}
+
+
+def test_wrapped_names_are_found(spark):
+    got = scan_licenses(spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")).collect()
+    assert [[d["label"] for d in r["detections"]] for r in sorted(got)] == list(WRAPPED.values())
