@@ -4,7 +4,8 @@ Each view has a logistic classifier. In every round each one is fitted to the
 labelled documents and to those documents that the other view was sure of, and is
 calibrated on labelled documents that no fit has seen. The calibrated views are
 combined by a third logistic fit on these. All documents take part, whatever their
-number: fits are distributed, and only coefficients reach the driver.
+number: fits are distributed, and only coefficients reach the driver. Copies of a text
+count once for the content view and each with its own metadata and label for the other.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,33 +178,48 @@ def fit(found: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col
         sure: float = SURE) -> Model | None:
     """The co-trained model of the features ``found``; None if the labels don't show two classes."""
     y = _clear_labels(labels, label_id, label_col)
-    marked = found.join(y, found["id"] == y["label_id"], "left").groupBy("k1", "k2").agg(
-        F.first("content").alias("content"), F.first("meta").alias("meta"), F.avg("y").alias("mean"))
-    marked = written(marked.select("content", "meta", F.when(F.col("mean") != 0.5, (F.col("mean") > 0.5).cast("int")).alias("label"),
-                                   (F.pmod(F.xxhash64("k1", "k2"), F.lit(CALIBRATION)) == 0).alias("held")))
-    classes = marked.where("label is not null").groupBy("label").count().collect()
-    if len(classes) < 2:
+    decided = lambda mean: F.when(mean != 0.5, (mean > 0.5).cast("int"))
+    # Rows of one text and one metadata are one row that weighs as much: its labels count for it, and its open rows are taught.
+    alike = found.join(y, found["id"] == y["label_id"], "left").groupBy("k1", "k2", "meta").agg(
+        F.first("content").alias("content"), F.count("*").alias("n"), F.count("y").alias("marks"), F.sum("y").alias("goods"))
+    label = decided(F.col("goods") / F.when(F.col("marks") > 0, F.col("marks")))
+    alike = written(alike.select("k1", "k2", "content", "meta", "n", "marks", "goods", label.alias("label"),
+                                 (F.col("n") - F.when(label.isNull(), 0).otherwise(F.col("marks"))).alias("open"),
+                                 (F.pmod(F.xxhash64("k1", "k2"), F.lit(CALIBRATION)) == 0).alias("held")))
+    # The content view has one row a text; its metadata is the mean of all its rows, whose odds are the mean of theirs.
+    texts = alike.groupBy("k1", "k2").agg(
+        F.first("content").alias("content"), vector_to_array(Summarizer.mean(array_to_vector("meta"), F.col("n").cast("double"))).alias("meta"),
+        F.sum("marks").alias("marks"), F.sum("goods").alias("goods"), F.first("held").alias("held"))
+    texts = written(texts.select("content", "meta", decided(F.col("goods") / F.when(F.col("marks") > 0, F.col("marks"))).alias("label"), "held"))
+    labelled = alike.where("label is not null")
+    if labelled.select("label").distinct().count() < 2:
         return None
-    widths = tuple(marked.where("label is not null").select(F.size("content"), F.size("meta")).first())
-    known = sum(r["count"] for r in classes)
+    widths = tuple(labelled.select(F.size("content"), F.size("meta")).first())
+    # Of each view: its labelled rows, and those that the other view may teach it.
+    own = (texts.where("label is not null").select("content", "label", "held", F.lit(1.0).alias("w")),
+           labelled.select("meta", "label", "held", F.col("marks").cast("double").alias("w")))
+    others = (texts.where("label is null").select("content", "meta", F.lit(1.0).alias("w")),
+              alike.where("open > 0").select("content", "meta", F.col("open").cast("double").alias("w")))
+    known = [{r["label"]: r["w"] for r in rows.groupBy("label").agg(F.sum("w").alias("w")).collect()} for rows in own]
     taught: list[tuple[Linear, Linear] | None] = [None, None]  # what each view was taught by: the other and its scale
     for turn in range(rounds + 1):
         views = []
         for i, column in enumerate(("content", "meta")):
-            rows = marked.where("label is not null and not held").select(column, F.col("label").alias("y"), F.lit(1.0).alias("w"))
+            rows = own[i].where("not held").select(column, F.col("label").alias("y"), "w")
             if taught[i]:
                 other, scale = taught[i]
                 odds = other.column(("meta", "content")[i]) * scale.weights[0] + scale.bias
                 edge = float(np.log(sure / (1 - sure)))
-                new = marked.where("label is null").select(column, odds.alias("odds")).where(F.abs("odds") >= edge)
-                new = new.select(column, (F.col("odds") > 0).cast("int").alias("y"))
+                new = others[i].select(column, odds.alias("odds"), "w").where(F.abs("odds") >= edge)
+                new = new.select(column, (F.col("odds") > 0).cast("int").alias("y"), "w")
                 # Together they weigh no more than the labels do, and each class as much as among the labels at most.
-                share = {r["y"]: r["count"] for r in new.groupBy("y").count().collect()}
-                weight = {r["label"]: min(1.0, r["count"] / share[r["label"]]) for r in classes if share.get(r["label"])}
-                rows = rows.union(new.select(column, "y", F.when(F.col("y") == 1, weight.get(1, 0.0)).otherwise(weight.get(0, 0.0))))
+                share = {r["y"]: r["w"] for r in new.groupBy("y").agg(F.sum("w").alias("w")).collect()}
+                weight = {c: min(1.0, w / share[c]) for c, w in known[i].items() if share.get(c)}
+                rows = rows.union(new.select(column, "y", F.col("w") * F.when(F.col("y") == 1, weight.get(1, 0.0)).otherwise(weight.get(0, 0.0))))
             views.append(_fitted(rows, column, widths[i]))
-        held = written(marked.where("label is not null and held").select(
-            F.array(views[0].column("content")).alias("a"), F.array(views[1].column("meta")).alias("b"), F.col("label").alias("y"), F.lit(1.0).alias("w")))
+        held = written(labelled.where("held").select(
+            F.array(views[0].column("content")).alias("a"), F.array(views[1].column("meta")).alias("b"), F.col("label").alias("y"),
+            F.col("marks").cast("double").alias("w")))
         scales = tuple(_fitted(held, c, 1, 1e-6) for c in ("a", "b"))
         taught = [(views[1], scales[1]), (views[0], scales[0])]
     pair = held.select(F.array(*[F.col(c)[0] * s.weights[0] + s.bias for c, s in zip("ab", scales)]).alias("ab"), "y", "w")

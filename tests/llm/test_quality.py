@@ -44,3 +44,20 @@ def test_nothing_to_learn(spark):
         assert len(got) == 12 and all(r["keep"] and r["score"] is None for r in got)
         assert keep_good(frame, marks).count() == 12
     assert score_documents(frame.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_copies_count_with_their_own_metadata(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(80):  # the same texts from two sources, with a label each and with more copies that have none
+        text = " ".join(rng.choice(["river", "stone", "light", "wind"]) for _ in range(30))
+        for j in range(4):
+            docs.append((4 * i + j, text, "en", ("good.example", "bad.example")[j % 2], 100, 1))
+        labels += [(4 * i, 1, 0), (4 * i + 1, 0, 0)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    runs = []
+    for order in (docs, docs[::-1]):
+        got = score_documents(spark.createDataFrame(order, SHAPE).repartition(3), marks).collect()
+        runs.append({r["id"]: r["score"] for r in got})
+        assert len(got) == len(docs) and all(r["keep"] == (r["id"] % 2 == 0) and abs(r["p_meta"] - (r["id"] % 2 == 0)) < 0.2 for r in got)
+    assert all(abs(runs[0][i] - runs[1][i]) < 1e-3 for i in runs[0])
