@@ -21,19 +21,33 @@ from foliant.llm.shared import empty_if_null, text_key, written
 WINDOW = 15
 SUBSTITUTIONS = 2
 SPACED = "1001001001001"
-# Items shorter than a window have to occur whole; they are found by their first words. Items below
-# that many words are too short to tell anything and match nothing.
+# Items shorter than a window have to occur whole, found by their first words; below that many words
+# they match nothing. With ``every_length`` they may have substitutions in the same proportion
+# (short_mask) and the shortest ones match by the hash of all their words.
 SOLID = "11111"
 # So many test seeds (24 bytes each) may be broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
 
-WORD = r"[\p{L}\p{N}]+"
+# Scripts that are written without spaces: each letter is a word.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+|[\p{{L}}\p{{N}}&&[{UNSPACED}]]"
 
 
 def _hashed_words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
+def short_mask(n: int, allowed: int, solid: int = len(SOLID)) -> str:
+    """The mask for an item of ``n`` words: of its seeds at the first ``allowed + 1`` words, so many substitutions leave one whole.
+
+    Its ones are ``allowed + 1`` apart, so that no two of these seeds share a word.
+    Few different masks serve all lengths.
+    """
+    ones = n // (allowed + 1)
+    ones = min(ones, solid) if allowed == 0 else max(1, ones - ones % 2)
+    return ("1" + "0" * allowed) * (ones - 1) + "1"
+
+
 def _seed(h: Column, at: Column, mask: str) -> Column:
     """Hash of the words under the mask's ones; null where the mask passes the end."""
     picked = [F.get(h, at + i) for i, bit in enumerate(mask) if bit == "1"]
@@ -52,22 +66,30 @@ def _seeds(words: DataFrame, masks: list[str], keys: list[str]) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
           window: int = WINDOW, substitutions: int = SUBSTITUTIONS, spaced: str = SPACED, solid: str = SOLID,
-          broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+          broadcast_seeds: int = BROADCAST_SEEDS, every_length: bool = False) -> DataFrame:
     """A row for each different text and test item that overlap: k1, k2 (see ``text_key``), item, item_words,
     matched_words (of the item, within leaked windows, at the best alignment) and doc_word (where the item's
     first word would stand in the text).
 
-    Words are runs of letters and digits in lower case. Null texts and items have no
+    Words are runs of letters and digits in lower case, and single letters of scripts
+    without spaces. With ``every_length`` items shorter than ``window`` words have to
+    occur whole, with substitutions in proportion (n * substitutions // window), down to
+    a single word; without it 5 words or more have to occur unchanged. Null texts and items have no
     words. Repeated items count once each; a null item id is an item as well. Copies
     of a text are compared once. Empty tables give no rows.
     """
     items = written(benchmark.select(F.col(item_col).alias("item"), _hashed_words(empty_if_null(F.col(item_text))).alias("b"))
                     .select("item", "b", F.xxhash64("item", "b").alias("bench")).dropDuplicates(["bench"]))
-    whole = items.where(F.size("b") >= window).select("bench", F.col("b").alias("h"))
-    short = items.where(F.size("b").between(len(solid), window - 1)).select("bench", F.slice("b", 1, len(solid)).alias("h"))
+    spread = {n: n * substitutions // window if every_length else 0 for n in range(1 if every_length else len(solid), window)}
+    masks: dict[tuple[str, int], list[int]] = {}  # the lengths of short items that have a mask and so many seeds
+    for n, few in spread.items():
+        masks.setdefault((short_mask(n, few, len(solid)), few), []).append(n)
+    families = [(items.where(F.size("b") >= window).select("bench", F.col("b").alias("h")), spaced)]
+    families += [(items.where(F.size("b").isin(lengths)).select("bench", F.slice("b", 1, len(mask) + few).alias("h")), mask)
+                 for (mask, few), lengths in masks.items()]
     tested = written(reduce(DataFrame.union, [_seeds(rows, [mask], ["bench"]).select("bench", F.col("at").alias("j"), "seed", F.lit(mask).alias("mask"))
-                                              for rows, mask in ((whole, spaced), (short, solid))]))
-    sizes = {r["mask"]: r["count"] for r in tested.groupBy("mask").count().collect()}  # two rows at most
+                                              for rows, mask in families]))
+    sizes = {r["mask"]: r["count"] for r in tested.groupBy("mask").count().collect()}  # a row for each mask
     total = sum(sizes.values())
 
     text = empty_if_null(F.col(text_col))
@@ -82,7 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     texts = docs.select(*text_key(text), text.alias("text")).join(found, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     aligned = places.join(texts.select("k1", "k2", _hashed_words(F.col("text")).alias("h")), ["k1", "k2"]).join(items, "bench")
     size = F.least(F.lit(window), F.size("b"))
-    allowed = F.when(F.size("b") >= window, substitutions).otherwise(0)
+    allowed = F.when(F.size("b") >= window, substitutions).otherwise(F.floor(F.size("b") * substitutions / window).cast("int") if every_length else 0)
     # Windows that hold a hit and lie within both the item and the text.
     first = F.greatest(F.lit(0), F.col("low") - size + 1, -F.col("shift"))
     last = F.least(F.col("high"), F.size("b") - size, F.size("h") - F.col("shift") - size)

@@ -36,7 +36,7 @@ def query(job: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = leaked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), every_length=True)
     return found.withColumnRenamed("id", "doc_id")
 
 

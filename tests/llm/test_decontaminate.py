@@ -64,3 +64,53 @@ def test_mask_survives_every_allowed_substitution():
     ones = [i for i, bit in enumerate(SPACED) if bit == "1"]
     for spoiled in combinations(range(WINDOW), SUBSTITUTIONS):
         assert any(not {s + i for i in ones} & set(spoiled) for s in range(WINDOW - len(SPACED) + 1))
+
+
+def plain_every_length(docs, items):
+    def split(text):
+        return re.findall(r"[^\W_぀-ヿ一-鿿]+|[぀-ヿ一-鿿]", (text or "").lower())
+
+    out = {}
+    for i, text in docs:
+        d = split(text)
+        hit = set()
+        for item, b in items:
+            b = split(b)
+            size = min(len(b), WINDOW)
+            if size and any(sum(x != y for x, y in zip(d[p:p + size], b[q:q + size])) <= size * SUBSTITUTIONS // WINDOW
+                            for p in range(len(d) - size + 1) for q in range(len(b) - size + 1)):
+                hit.add(item)
+        if hit:
+            out[i] = sorted(hit)
+    return out
+
+
+def test_items_of_every_length_match_brute_force(spark):
+    rng = random.Random(8)
+    docs = fixture()[0]
+    items = [(n, " ".join(f"q{n}x{i}" for i in range(n))) for n in range(1, 20)] + [(50, "水は何度で沸騰しますか、摂氏で答えよ"), (51, "天地玄黄")]
+    at = 300
+    for item, text in items:
+        for changes in range(4):
+            part = list(text) if item >= 50 else text.split()
+            for j in rng.sample(range(len(part)), min(changes, len(part))):
+                part[j] = "变" if item >= 50 else "other"
+            docs.append((at, "before " + ("" if item >= 50 else " ").join(part) + " after"))
+            at += 1
+    want = plain_every_length(docs, items)
+    assert sum(14 in v for v in want.values()) == 2 and sum(3 in v for v in want.values()) == 1 and any(50 in v for v in want.values())
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    right = spark.createDataFrame(items, "item_id long, text string")
+    got = leaked_documents(left, right, every_length=True).collect()
+    assert {r["id"]: r["item_ids"] for r in got} == want
+
+
+def test_short_masks_survive_every_allowed_substitution():
+    from foliant.llm.decontaminate import short_mask
+
+    for n in range(1, WINDOW):
+        allowed = n * SUBSTITUTIONS // WINDOW
+        mask = short_mask(n, allowed)
+        assert len(mask) + allowed <= n
+        for spoiled in combinations(range(n), allowed):
+            assert any(not {s + i for i, bit in enumerate(mask) if bit == "1"} & set(spoiled) for s in range(allowed + 1))
