@@ -3,8 +3,8 @@
 Rules are regular expressions made from license names, versions and the forms in
 which texts state them. Keywords that every match of a rule contains, each without
 spaces as any white space may stand between words, decide whether the rule is
-tried on a text. Of overlapping detections one inside another
-is suppressed, and of two that overlap in part the rule that comes first wins.
+tried on a text. A detection inside another is suppressed, and of
+those that overlap in part the rule that comes first wins.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from foliant.llm.shared import empty_if_null
 
 # The phrases that always count, and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+BLOCK = 256
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -157,34 +158,59 @@ def _found(text: Column, small: Column, rules: list[dict]) -> Column:
 
     def located(rule: Column, pieces: Column, matches: Column) -> Column:
         # What stands between the matches and the matches themselves add up to the places.
-        none = F.array().cast("array<struct<start: int, back: int, rank: int, label: string, stop: int>>")
-        return F.aggregate(
-            F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("p"), matches.alias("m")), F.struct(F.lit(0).alias("at"), none.alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("at"),
-                F.array_append(acc["out"], F.struct(
-                    (acc["at"] + F.char_length(x["p"])).alias("start"), (-acc["at"] - F.char_length(x["p"]) - F.char_length(x["m"])).alias("back"),
-                    rule["rank"].alias("rank"), rule["label"].alias("label"),
-                    (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("stop"))).alias("out")),
-            lambda acc: acc["out"])
+        sizes = F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("p"), matches.alias("m")), lambda x: F.struct(
+            F.char_length(x["p"]).alias("gap"), F.char_length(x["m"]).alias("size")))
+        return let(sizes, lambda known: F.transform(
+            F.arrays_zip(running(known, F.lit(0), "int", lambda at, x: at + x["gap"] + x["size"]).alias("stop"), known.alias("d")),
+            lambda x: F.struct((x["stop"] - x["d"]["size"]).alias("start"), (-x["stop"]).alias("back"), rule["rank"].alias("rank"),
+                               rule["label"].alias("label"), x["stop"].alias("stop"))))
 
     return F.array_sort(F.flatten(F.transform(tried, spans)))
 
 
+def running(items: Column, first: Column, kind: str, step) -> Column:
+    """What ``step(state, item)`` is after each of ``items``, as an array.
+
+    Arrays grow by whole blocks, so that a text with many matches is not copied once for each.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(acc: Column, x: Column) -> Column:
+        return let(step(acc["state"], x), lambda state: F.struct(state.alias("state"), F.array_append(acc["out"], state).alias("out")))
+
+    def block(acc: Column, at: Column) -> Column:
+        part = F.aggregate(F.slice(items, at, F.lit(BLOCK)), F.struct(acc["state"].alias("state"), none.alias("out")), within)
+        return let(part, lambda p: F.struct(p["state"].alias("state"), F.concat(acc["out"], p["out"]).alias("out")))
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(starts, F.struct(first.cast(kind).alias("state"), none.alias("out")), block, lambda acc: acc["out"])
+
+
 def _resolved(found: Column) -> Column:
-    """Detections that no other one suppresses; one pass over them in order."""
+    """Detections that hold, of ``found`` ordered by start, then by length, then by rule.
+
+    One that lies within another goes, whichever rules they are of. The others are
+    taken in the order of their rules, each if it overlaps none that was taken.
+    """
     shape = "struct<start: int, back: int, rank: int, label: string, stop: int>"
-    first = F.struct(F.lit(None).cast(shape).alias("last"), F.array().cast(f"array<{shape}>").alias("kept"))
 
-    def step(acc: Column, d: Column) -> Column:
-        last, kept = acc["last"], acc["kept"]
-        inside = d["stop"] <= last["stop"]
-        apart = last.isNull() | (d["start"] >= last["stop"])
-        return F.struct(
-            F.when(last.isNull() | apart, d).when(inside | (last["rank"] <= d["rank"]), last).otherwise(d).alias("last"),
-            F.when(last.isNotNull() & apart, F.array_append(kept, last)).otherwise(kept).alias("kept"))
+    def outermost(held: Column) -> Column:
+        reach = running(held, F.lit(0), "int", lambda far, d: F.greatest(far, d["stop"]))
+        return F.filter(held, lambda d, i: (i == 0) | (F.get(reach, i - 1) < d["stop"]))
+
+    def taken(cluster: Column) -> Column:
+        ranked = F.array_sort(F.transform(cluster, lambda d: F.struct(d["rank"].alias("by"), d["start"].alias("at"), d.alias("d"))))
+        none = F.array().cast(f"array<{shape}>")
+        return F.array_sort(F.aggregate(ranked, none, lambda acc, x: F.when(
+            F.exists(acc, lambda t: (t["start"] < x["d"]["stop"]) & (x["d"]["start"] < t["stop"])), acc).otherwise(F.array_append(acc, x["d"]))))
+
+    def clustered(held: Column) -> Column:
+        # None lies within another, so stops are in the order of starts, and what overlaps is a run of neighbours.
+        begins = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i)["start"] >= F.get(held, i - 1)["stop"]))
+        return let(begins, lambda b: F.flatten(F.transform(b, lambda lo, i: let(
+            F.slice(held, lo + 1, F.coalesce(F.get(b, i + 1), F.size(held)) - lo), lambda run: F.when(F.size(run) == 1, run).otherwise(taken(run))))))
 
-    return F.aggregate(found, first, step, lambda acc: F.when(acc["last"].isNull(), acc["kept"]).otherwise(F.array_append(acc["kept"], acc["last"])))
+    return let(found, lambda f: F.when(F.size(f) < 2, f).otherwise(let(outermost(f), clustered)))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[dict] | None = None) -> DataFrame:

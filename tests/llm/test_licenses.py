@@ -109,3 +109,24 @@ WRAPPED = {
 def test_wrapped_names_are_found(spark):
     got = scan_licenses(spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")).collect()
     assert [[d["label"] for d in r["detections"]] for r in sorted(got)] == list(WRAPPED.values())
+
+
+def plain_resolved(text, rules):
+    found = [(m.start(), m.end(), r["rank"], r["label"]) for r in rules for m in re.finditer(r["regex"], text)]
+    found = [d for d in found if not any(e is not d and e[0] <= d[0] and d[1] <= e[1] and ((e[0], e[1]) != (d[0], d[1]) or e[2] < d[2]) for e in found)]
+    taken = []
+    for d in sorted(found, key=lambda d: (d[2], d[0])):
+        if not any(e[0] < d[1] and d[0] < e[1] for e in taken):
+            taken.append(d)
+    return sorted(taken)
+
+
+def test_overlaps_are_resolved_in_rule_order_against_what_holds(spark):
+    rules = [{"rank": i, "label": f"l{i}", "keyword": "a", "regex": p} for i, p in enumerate(
+        ("cc dd", "bb cc", "aa bb", "aa", "dd ee ff", "ff aa", "bb cc dd ee", "ee", "a+"))]
+    rng = random.Random(4)
+    texts = ["aa bb cc dd", "aa bb cc dd ee ff aa bb"] + [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "a"]) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    texts.append("aa bb cc dd ee " * 300)  # many times the block of a running sum
+    got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules=rules).collect()
+    for r in got:
+        assert [tuple(d) for d in r["detections"]] == (plain_resolved(texts[r["id"]], rules) if "a" in texts[r["id"]] else [])
