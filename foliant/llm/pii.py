@@ -12,12 +12,15 @@ is trained on the resulting probabilities.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +56,7 @@ CUES = re.compile(r"(?i)(?:\b(?:call|phone|tel|telefon|téléphone|teléfono|mob
 QUANTITIES = re.compile(r"(?i)\s?(?:%|€|\$|km\b|kg\b|m\b|pages?\b|items?\b|years?\b|euros?\b|dollars?\b)")
 DATE = re.compile(r"(?:1[0-9]|20)[0-9]{2}[ .-][0-9]{1,2}[ .-][0-9]{1,2}|[0-9]{1,2}[ .-][0-9]{1,2}[ .-](?:1[0-9]|20)[0-9]{2}")
 NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|0[0-9]{2,4}[ ./-][0-9]{5,8}")
+NATIONAL_HERE = re.compile(rf"(?<![\w.+-])(?:{NATIONAL.pattern})(?![\w-])")
 LABELERS = ("pattern", "gazetteer", "cue_before", "quantity_after", "mixture", "shape")
 
 
@@ -103,7 +107,8 @@ def _wide_spans(text: str) -> set[tuple[int, str, int]]:
         for m in KEY.finditer(text):
             if DIGIT.search(m[0]) and not m[0].isdigit():
                 found.add((m.start(), "secret", m.end()))
-        found.update((m.start(), "number", m.end()) for m in NUMBER.finditer(text))
+        for shape in (NUMBER, NATIONAL_HERE):  # a national number may stand beside other digits, so it is a candidate of its own
+            found.update((m.start(), "number", m.end()) for m in shape.finditer(text))
     if any(t in text for t in TITLES):
         found.update((m.start(1), "person", m.end(1)) for m in PERSON.finditer(text))
     if "at]" in text or "at)" in text:
@@ -130,13 +135,16 @@ def votes(text: str, start: int, kind: str, end: int, base: bool) -> tuple[int,
 
 
 def candidates(text: str) -> list[tuple[int, str, int, str]]:
-    """Base spans and the wide ones that touch none of them: (start, kind, end, pattern of kind, length and votes)."""
+    """Base spans and the wide ones that touch none of them: (start, kind, end, pattern of kind, length and votes).
+
+    Wide ones may overlap each other; they are judged before that is resolved.
+    """
     base = base_spans(text)
-    taken = base
+    starts, reach = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
     more = []
-    for span in sorted(_wide_spans(text), key=lambda s: (s[0], RANK[s[1]], -s[2])):
-        if not any(a < span[2] and span[0] < b for a, _, b in _around(taken, span[0], span[2])) and (
-                not more or more[-1][2] <= span[0]):
+    for span in _wide_spans(text):
+        before = bisect_left(starts, span[2])  # base spans that begin before its end; reach is how far any of them goes
+        if not before or reach[before - 1] <= span[0]:
             more.append(span)
     out = []
     for is_base, spans in ((True, base), (False, more)):
@@ -146,15 +154,6 @@ def candidates(text: str) -> list[tuple[int, str, int, str]]:
     return sorted(out, key=lambda s: (s[0], RANK[s[1]]))
 
 
-def _around(spans: list[tuple[int, str, int]], start: int, end: int) -> list[tuple[int, str, int]]:
-    """The spans, ordered by start, that may touch [start, end): at most a few for each kind lie so near."""
-    lo, hi = 0, len(spans)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if spans[mid][0] < end else (lo, mid)
-    return [s for s in spans[max(0, lo - 8): lo] if s[2] > start]
-
-
 @dataclass
 class Model:
     """Probability that a candidate with a vote pattern is personal data, by pattern, and each labeler's reliability."""
@@ -216,11 +215,25 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 def personal_spans(text: str | None, model: Model, threshold: float = 0.5) -> list[tuple[int, str, int, bool]]:
-    """(start, kind, end, base) of a whole text: base spans, and candidates that the classifier accepts."""
+    """(start, kind, end, base) of a whole text: base spans, and candidates that the classifier accepts.
+
+    Of accepted candidates that overlap the likeliest stays, then the first, then the longest.
+    """
     if not text:
         return []
-    return [(start, kind, end, kind in BASE_KINDS) for start, kind, end, pattern in candidates(text)
-            if kind in BASE_KINDS or model.probability.get(pattern, 0.0) >= threshold]
+    out, judged = [], []
+    for start, kind, end, pattern in candidates(text):
+        if kind in BASE_KINDS:
+            out.append((start, kind, end, True))
+        elif (p := model.probability.get(pattern, 0.0)) >= threshold:
+            judged.append((-p, start, -end, RANK[kind], kind))
+    held: list[tuple[int, int]] = []  # accepted places, apart from each other and in order
+    for _, start, end, _, kind in sorted(judged):
+        i = bisect_left(held, (start, 0))
+        if (i == 0 or held[i - 1][1] <= start) and (i == len(held) or held[i][0] >= -end):
+            held.insert(i, (start, -end))
+            out.append((start, kind, -end, False))
+    return sorted(out, key=lambda s: (s[0], RANK[s[1]]))
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()),
@@ -272,16 +285,17 @@ def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     model = model or fit(docs, text_col)
     columns = docs.columns
     place = columns.index(text_col)
+    size = columns.index(length_col) if length_col in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [masked(v, personal_spans(v, model, threshold)) for v in (x.as_py() for x in batch.column(place))]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns)],
-                                             names=columns)
-
-    out = docs.mapInArrow(run, docs.schema)
-    if length_col in columns:
-        old = docs.schema[length_col].dataType
-        changed = F.col(text_col).rlike("<(" + "|".join(k.upper() for k in RANK) + ")>")
-        out = out.withColumn(length_col, F.when(changed, F.char_length(text_col).cast(old)).otherwise(F.col(length_col)))
-    return out
+            spans = [personal_spans(x.as_py(), model, threshold) for x in batch.column(place)]
+            texts = [masked(x.as_py(), s) for x, s in zip(batch.column(place), spans)]
+            out = list(batch.columns)
+            out[place] = pa.array(texts, pa.string())
+            if size is not None:
+                lengths = pa.array([len(t or "") for t in texts], pa.int64()).cast(out[size].type)
+                out[size] = pc.if_else(pa.array([bool(s) for s in spans]), lengths, out[size])
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return docs.mapInArrow(run, docs.schema)
