@@ -126,21 +126,22 @@ def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", tu
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Turns and losses of each conversation from its nodes, which come by conversation and depth."""
     conv, state = object(), None
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "positions_sha256", "attended_chars"]
 
     def closed(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i in (2, 4) else pa.int64()) for i in range(6)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i in (2, 4, 6) else pa.int64()) for i in range(8)], names=names)
 
     def line():
-        return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
+        return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5].hexdigest(), state[6]
 
     for batch in batches:
         rows = []
-        for key, text, start, lo, hi in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "text", "start", "loss_start", "loss_stop")]):
+        for key, text, start, lo, hi, position, attended in zip(*[batch.column(c).to_pylist() for c in (
+                "conv_id", "text", "start", "loss_start", "loss_stop", "position", "attended")]):
             if state is None or key != conv:
                 if state is not None:
                     rows.append(line())
-                conv, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                conv, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             role, body = TURN.fullmatch(text).groups()
             state[0] += 1
             state[1].update(f"{unescaped(role)}\n{unescaped(body)}\n".encode())
@@ -149,6 +150,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[2] += len(learnt)
                 state[3].update(learnt.encode())
             state[4] += len(text)
+            state[5].update(f"{position},".encode())
+            state[6] += attended
         yield closed(rows)
     if state is not None:
         yield closed([line()])
@@ -156,8 +159,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(trees: Trees) -> DataFrame:
     """A row for each conversation, read from the trees alone: conv_id, n_turns, turns_sha256 (role, newline, text, newline
-    for each turn), loss_chars and loss_sha256 (all text under the loss mask, unescaped), formatted_chars."""
-    nodes = trees.nodes.select("node", "text", "start", "loss_start", "loss_stop")
-    turns = trees.paths.join(nodes, "node").select("conv_id", "depth", "text", "start", "loss_start", "loss_stop")
+    for each turn), loss_chars and loss_sha256 (all text under the loss mask, unescaped), formatted_chars,
+    positions_sha256 (each turn's first position id and a comma) and attended_chars (the tokens that the attention
+    intervals of its turns cover, summed over the turns)."""
+    attended = F.aggregate("ancestors", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    columns = ["text", "start", "loss_start", "loss_stop", "position", "attended"]
+    nodes = trees.nodes.withColumn("attended", attended).select("node", *columns)
+    turns = trees.paths.join(nodes, "node").select("conv_id", "depth", *columns)
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(
-        _read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        _read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
+        "positions_sha256 string, attended_chars long")

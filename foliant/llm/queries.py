@@ -57,10 +57,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, offsets=False), path)
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                        F.sha2("bytes", 256).alias("decoded_sha256"))
+                        F.sha2("bytes", 256).alias("decoded_sha256"),
+                        F.sha2(F.array_join(F.col("starts").cast("array<string>"), " "), 256).alias("starts_sha256"))
 
 
 @query
@@ -126,11 +127,14 @@ ORACLES["op1_chat"] = rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-loss AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learnt FROM turns GROUP BY conv_id)
+loss AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learnt FROM turns GROUP BY conv_id),
+sized AS (SELECT *, length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {len('<|' + '|>') + 1 + len(TAIL)} AS size FROM turns),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - size AS position FROM sized)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        max(length(learnt)) AS loss_chars, max(sha256(learnt)) AS loss_sha256,
-       CAST(sum(length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {len('<|' + '|>') + 1 + len(TAIL)}) AS BIGINT) AS formatted_chars
-FROM turns JOIN loss USING (conv_id) GROUP BY conv_id"""
+       CAST(sum(size) AS BIGINT) AS formatted_chars, sha256(string_agg(CAST(position AS BIGINT) || ',', '' ORDER BY turn, role, text)) AS positions_sha256,
+       CAST(sum(position) AS BIGINT) AS attended_chars
+FROM placed JOIN loss USING (conv_id) GROUP BY conv_id"""
 
 ORACLES["op9_vectors"] = """
 WITH RECURSIVE v AS (

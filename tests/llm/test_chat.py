@@ -3,6 +3,14 @@ import random
 
 from foliant.llm.chat import CONTROLS, format_conversations, read_back
 
+
+def plain_escaped(text):
+    text = text.replace("\\", "\\\\")
+    for control in CONTROLS:
+        text = text.replace(control, control[0] + "\\" + control[1:])
+    return text
+
+
 SHAPE = "conv_id long, turn long, role string, text string, node string"
 
 
@@ -27,13 +35,17 @@ def plain(rows):
         loss = "".join(t for _, role, t in turns if role == "assistant")
         whole = "".join(f"{role}\n{t}\n" for _, role, t in turns)
         out[conv] = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        places = [0]
+        for _, role, t in turns:
+            places.append(places[-1] + len(plain_escaped(role) + plain_escaped(t)) + len("<||>\n<|end|>\n"))
+        out[conv] += (places[-1], hashlib.sha256("".join(f"{p}," for p in places[:-1]).encode()).hexdigest(), sum(places[:-1]))
     return out
 
 
 def test_round_trip_and_layout(spark):
     rows = fixture()
     trees = format_conversations(spark.createDataFrame([(*r, "x") for r in rows], SHAPE).repartition(4))
-    got = {r["conv_id"]: tuple(r)[1:5] for r in read_back(trees).collect()}
+    got = {r["conv_id"]: tuple(r)[1:] for r in read_back(trees).collect()}
     assert got == plain(rows)
 
     nodes = {bytes(r["node"]): r for r in trees.nodes.collect()}
