@@ -20,6 +20,7 @@ from foliant.llm.shared import empty_if_null, shared_folder, text_key
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.substrings import repeated_passages
 from foliant.llm.vectors import linked_vectors
+from foliant.llm.whitening import whitened_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,6 +114,14 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null."""
+    found = whitened_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained",
+                        "identity_error")
+
+
 # --- SQL twins, where SQL can say the same over whole tables ------------------------------
 
 
