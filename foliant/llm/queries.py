@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe
+from foliant.llm import bpe, secrets
 from foliant.llm.chat import CONTROLS, TAIL, format_conversations, read_back
 from foliant.llm.decontaminate import leaked_documents
 from foliant.llm.licenses import scan_licenses
@@ -35,6 +35,18 @@ def query(job: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return job
 
 
+def span_digests(found: DataFrame, base_kinds: tuple[str, ...], end: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans as text."""
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s[end])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("id").alias("doc_id"), *map(count, base_kinds),
+                        F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), every_length=True)
@@ -67,16 +79,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents"))
-
-    def listed(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-    def count(kind):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-    return found.select(F.col("id").alias("doc_id"), *map(count, BASE_KINDS),
-                        F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return span_digests(find_pii(table(spark, sf_dir, "documents")), BASE_KINDS, "end")
 
 
 @query
@@ -122,6 +125,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "identity_error")
 
 
+@query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS, "stop")
+
+
 # --- SQL twins, where SQL can say the same over whole tables ------------------------------
 
 
@@ -164,3 +172,28 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS
          ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secret_matches(rule: dict) -> str:
+    """All matches of one rule in all texts, by plain scans."""
+    regex, group = _quoted(rule["regex"]), rule["group"]
+    return f"""SELECT doc_id, {rule["rank"]} AS rank, {_quoted(rule["kind"])} AS kind, {rule["base"]} AS base, regexp_extract_all(t, {regex}, 0) AS m,
+       regexp_extract_all(t, {regex}, {group}) AS g, string_split_regex(t, {regex}) AS p, {rule["least"]} AS least FROM d WHERE regexp_matches(t, {regex})"""
+
+
+ORACLES["op12_secrets"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(map(_secret_matches, secrets.RULES))}),
+s AS (SELECT doc_id, rank, kind, base, least, length(m[i]) AS size, length(g[i]) AS judged,
+        CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m) x),
+held AS (SELECT *, start + size AS stop, kind || ':' || start || ':' || (start + size) AS name FROM s WHERE judged >= least),
+kept AS (SELECT * FROM held a WHERE base OR NOT EXISTS (SELECT 1 FROM held b WHERE b.base AND b.doc_id = a.doc_id AND b.start <= a.start AND a.stop <= b.stop)),
+listed AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE_KINDS)},
+             coalesce(string_agg(name, ',' ORDER BY start, rank) FILTER (base), '') AS base, string_agg(name, ',' ORDER BY start, rank, stop) AS spans FROM kept GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)"""
