@@ -15,6 +15,7 @@ from foliant.llm.decontaminate import leaked_documents
 from foliant.llm.licenses import scan_licenses
 from foliant.llm.pii import BASE_KINDS, find_pii
 from foliant.llm.quality import score_documents
+from foliant.llm.repair import repair_conversations
 from foliant.llm.shards import write_shards
 from foliant.llm.shared import empty_if_null, shared_folder, text_key
 from foliant.llm.simhash import near_duplicates
@@ -130,6 +131,11 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS, "stop")
 
 
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 # --- SQL twins, where SQL can say the same over whole tables ------------------------------
 
 
