@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import empty_if_null, text_key, written
+from foliant.llm.shared import empty_if_null, free_names, text_key, written
 
 # A passage of WINDOW words of a test item counts as leaked with at most SUBSTITUTIONS other words.
 # The mask's positions are three apart: of the three seeds that start at the first three words of a
@@ -135,5 +135,6 @@ def leaked_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with their columns, whose text overlaps no test item."""
     k1, k2 = text_key(empty_if_null(F.col(text_col)))
-    found = leaks(docs, benchmark, text_col, **options).select(F.col("k1").alias("_leak_1"), F.col("k2").alias("_leak_2")).distinct()
-    return docs.join(found, (k1 == F.col("_leak_1")) & (k2 == F.col("_leak_2")), "left_anti")
+    one, two = free_names(docs.columns, "_leak_1", "_leak_2")
+    found = leaks(docs, benchmark, text_col, **options).select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct()
+    return docs.join(found, (k1 == F.col(one)) & (k2 == F.col(two)), "left_anti")

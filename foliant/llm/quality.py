@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.shared import empty_if_null, text_key, written
+from foliant.llm.shared import empty_if_null, free_names, text_key, written
 
 ROUNDS = 2
 SURE = 0.97  # calibrated probability from which a view teaches the other
@@ -262,11 +262,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     if model is None:
         return docs
     inputs, buckets = _inputs(docs, text_col, length_col, meta_columns)
-    columns = docs.columns
+    own = len(docs.columns)
+    inputs = [c.alias(name) for c, name in zip(inputs, free_names(docs.columns, *[f"_in_{i}" for i in range(len(inputs))]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            keep = model.scores(*_views(batch, len(columns), buckets))[2] >= threshold
-            yield batch.filter(pa.array(keep)).select(columns)
+            keep = model.scores(*_views(batch, own, buckets))[2] >= threshold
+            yield batch.filter(pa.array(keep)).select(list(range(own)))
 
     return docs.select("*", *inputs).mapInArrow(run, T.StructType(docs.schema.fields))

@@ -25,17 +25,40 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     The readers get pushdown, column pruning and statistics, and a lost executor
     costs no more than the tasks it was running.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove written tables that nothing reads any more, so that a long session keeps only what it still needs."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores added until none of ``columns`` has the name, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def empty_if_null(column) -> F.Column:
     return F.coalesce(column, F.lit(""))
 
@@ -59,7 +82,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     rounds grows with the logarithm of the longest path. Nodes without an edge are
     not in the result; loops and repeated edges do no harm.
     """
-    edges = written(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    spark, path = edges.sparkSession, new_path(edges.sparkSession)
+    edges = written(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), path)
     seen = _signature(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -67,8 +91,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, both["a"] == least["u"]).where("b > u").select(F.col("m").alias("a"), "b").distinct()
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(least, large["b"] == least["u"]).select(F.col("m").alias("x"), F.col("a").alias("y"))
+        before, path = path, new_path(spark)
         edges = written(small.union(least.select("m", "u")).where("x <> y").select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), path)
+        discard(spark, before)
         now = _signature(edges)
         if now == seen:
             break

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import connected_components, written
+from foliant.llm.shared import connected_components, free_names, written
 
 SEED = 42
 SHINGLE = 4
@@ -170,17 +170,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 def first_of_each(docs: DataFrame, groups: DataFrame, print_of_text: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that come first, by id and then by fingerprint, in their component of ``groups`` (id, fp, component)."""
     last = F.lit((1 << 63) - 1)
-    found = written(groups.select(F.coalesce("id", last).alias("_id"), F.col("fp").alias("_fp"), "component"))
-    best = found.groupBy("component").agg(F.min(F.struct("_id", "_fp")).alias("best")).select("best._id", "best._fp")
-    rows = found.groupBy("_id").agg(F.count("*").alias("n"))
-    gone = rows.join(best.select("_id").distinct(), "_id", "left_anti").select("_id").union(rows.where("n > 1").select("_id")).distinct()
+    key, own_print, best_print = free_names(docs.columns, "_id", "_fp", "_best")
+    found = written(groups.select(F.coalesce("id", last).alias(key), F.col("fp").alias(own_print), "component"))
+    best = found.groupBy("component").agg(F.min(F.struct(key, own_print)).alias("best")).select("best.*")
+    rows = found.groupBy(key).agg(F.count("*").alias("n"))
+    several = rows.where("n > 1").select(key)
+    gone = rows.join(best.select(key).distinct(), key, "left_anti").select(key).union(several).distinct()
     own = F.coalesce(F.col(id_col).cast("long"), last)
-    kept = docs.join(gone, own == F.col("_id"), "left_anti")
-    again = best.join(rows.where("n > 1").select("_id"), "_id", "left_semi")
+    kept = docs.join(gone, own == F.col(key), "left_anti")
+    again = best.join(several, key, "left_semi")
     if again.isEmpty():
         return kept
     # Ids that several rows have: the fingerprint tells the rows apart.
-    print_of = F.udf(print_of_text, "long")
-    several = docs.join(again.select("_id").distinct(), own == F.col("_id"), "left_semi").withColumn("_fp", print_of(F.col(text_col)))
-    several = several.join(again.withColumnRenamed("_fp", "_best"), (own == F.col("_id")) & (F.col("_fp") == F.col("_best")))
-    return kept.union(several.dropDuplicates(["_id", "_fp"]).select(docs.columns))
+    print_of = F.pandas_udf(lambda texts: pd.Series([print_of_text(t) for t in texts], dtype="int64"), "long")
+    tried = docs.join(again.select(key).distinct(), own == F.col(key), "left_semi").select("*", own.alias(key), print_of(F.col(text_col)).alias(own_print))
+    chosen = tried.join(again.withColumnRenamed(own_print, best_print), key).where(F.col(own_print) == F.col(best_print))
+    return kept.union(chosen.dropDuplicates([key, own_print]).select(docs.columns))

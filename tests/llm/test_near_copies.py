@@ -1,6 +1,8 @@
 import random
 
-from foliant.llm.near_copies import keep_one, near_copies
+import numpy as np
+
+from foliant.llm.near_copies import _common, _ties, keep_one, near_copies
 
 
 def plain_shingles(text):
@@ -56,9 +58,40 @@ def test_groups_are_those_of_all_pairs(spark):
     assert any(len(g) > 1 for g in want[3:]) and len(want) > 20
     assert partition((r["id"], r["component"]) for r in near_copies(docs).collect()) == want
     assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == sorted(g[0] for g in want)
+    for limits in ({"rows": 4}, {"rows": 3, "shingles_": 500}):  # buckets cut into many tiles
+        assert partition((r["id"], r["component"]) for r in near_copies(docs, **limits).collect()) == want
     assert near_copies(docs.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
 
 
+def test_tiles_find_all_pairs_of_a_family_without_a_centre():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 90).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(90) < 0.05, rng.integers(0, 1 << 62, 90).astype(np.uint64), base)) for _ in range(120)] + [np.empty(0, np.uint64)]
+    common = _common(sets[:50], sets[50:])
+    assert common.tolist() == [[len(np.intersect1d(a, b)) for b in sets[50:]] for a in sets[:50]]
+    names = np.arange(len(sets))
+    for side in (np.zeros(len(sets), int), (names % 3 == 0).astype(int)):
+        want = list(names)
+        for i in names:
+            for j in names[:i]:
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (side[i] != side[j] or not side.any()) and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    want = [want[j] if g == want[i] else g for g in want]
+        got = list(names)
+        for a, b in zip(*_ties(names, sets, side)):
+            got = [got[a] if g == got[b] else g for g in got]
+        assert len(set(want)) < 100 and partition(enumerate(got)) == partition(enumerate(want))
+
+
+def test_columns_may_have_any_names_and_ids_repeat(spark):
+    rows = [(1, "a b c d e f", 1, "x"), (1, "a b c d e f", 1, "x"), (1, "other words are here now ok", 2, "y"), (None, "a b c d e f", 3, "z"), (4, None, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _fp string").selectExpr(
+        "*", "1 as component", "2 as k1", "3 as bytes", "4 as _best", "5 as _text", "6 as key")
+    got = sorted(map(str, keep_one(docs).select(docs.columns).collect()))
+    want = sorted(map(str, docs.dropDuplicates().where("doc_id is not null").collect()))
+    assert got == want
+
+
 def test_pipeline_stage_finds_copies_that_four_bits_miss(spark):
     import corpus_pipeline
 

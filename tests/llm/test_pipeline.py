@@ -6,10 +6,11 @@ import tiktoken
 
 import corpus_pipeline
 from foliant.llm import bpe, pii
+from foliant.llm.near_copies import name_of, shingles
 from foliant.llm.quality import score_documents
 from tests.llm.test_decontaminate import plain as plain_leaks
+from tests.llm.test_near_copies import plain as plain_groups
 from tests.llm.test_pii import plain as plain_spans
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,10 +56,9 @@ def test_stages_match_plain_versions(spark, tmp_path):
     assert set(map(key, out[0])) <= set(map(key, rows))
 
     ids = [r["doc_id"] if r["doc_id"] is not None else 1 << 62 for r in out[0]]
-    prints = [plain_fingerprint(r["text"]) for r in out[0]]
-    groups = plain_components(ids, prints)
-    want = sorted((i, p) for i, p in {(g): (g, min(p for j, p, h in zip(ids, prints, groups) if j == g and h == g)) for g in groups}.values())
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else 1 << 62, plain_fingerprint(r["text"])) for r in out[1]) == want
+    groups = plain_groups([r["text"] for r in out[0]])
+    first = {g: min((i, name_of(shingles(r["text"]))) for i, r, h in zip(ids, out[0], groups) if h == g) for g in groups}
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else 1 << 62, name_of(shingles(r["text"]))) for r in out[1]) == sorted(first.values())
 
     leaked = plain_leaks(list(enumerate(r["text"] for r in out[1])), items)
     assert leaked and sorted(map(key, out[2])) == sorted(key(r) for i, r in enumerate(out[1]) if i not in leaked)
