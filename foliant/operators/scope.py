@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import cut_lineage
+
 
 def scoped_readers(users: DataFrame) -> DataFrame:
     """Accounts limited to their assigned shelves; every other account sees the whole catalogue."""
@@ -30,11 +34,18 @@ def visible_books_all(users: DataFrame, shelves: DataFrame, user_scope_shelves:
                       shelf_books: DataFrame, query_matches: DataFrame) -> DataFrame:
     """(user_id, book_id) for every scoped reader; readers without usable shelves have no rows.
 
-    Accounts sharing the same shelf multiply that shelf's books, so pairs are
-    only made for scoped readers, never for accounts with full access.
+    Readers with the same shelves are one access group. Books of several shelves are
+    told apart for each group, and only the result has a row for each reader and book.
     """
-    granted = scope_shelves(users, shelves, user_scope_shelves)
-    return granted.join(shelf_contents(shelf_books, query_matches), "shelf_id").select("user_id", "book_id").distinct()
+    members = access_groups(scope_shelves(users, shelves, user_scope_shelves))
+    groups = members.select("shelves").distinct()
+    seen = groups.select("shelves", F.explode("shelves").alias("shelf_id")).join(shelf_contents(shelf_books, query_matches), "shelf_id")
+    return members.join(seen.select("shelves", "book_id").distinct(), "shelves").select("user_id", "book_id")
+
+
+def access_groups(granted: DataFrame) -> DataFrame:
+    """(user_id, shelves): each reader's usable shelves as a sorted array, which is the same for all readers of a group."""
+    return granted.groupBy("user_id").agg(F.array_sort(F.collect_set("shelf_id")).alias("shelves"))
 
 
 def visible_books(user_id: int, users: DataFrame, shelves: DataFrame, user_scope_shelves: DataFrame,
@@ -48,23 +59,29 @@ def visible_books(user_id: int, users: DataFrame, shelves: DataFrame, user_scope
     return everything.unionByName(scoped)
 
 
-def can_access(requests: DataFrame, users: DataFrame, granted: DataFrame, contents: DataFrame, books: DataFrame,
-               assets: DataFrame) -> DataFrame:
+def can_access(requests: DataFrame, users: DataFrame, granted: DataFrame, shelf_books: DataFrame,
+               matches: Callable[[DataFrame, DataFrame], DataFrame], books: DataFrame, assets: DataFrame) -> DataFrame:
     """Decide requests (user_id, kind, target_id); kind is live, trashed or asset.
 
-    ``granted`` is (user_id, shelf_id) and ``contents`` (shelf_id, book_id). Only the
-    requests of limited readers meet their shelves, and a shelf's books are looked up
-    for these books alone; what a reader may see is never listed.
+    ``granted`` is (user_id, shelf_id, kind). ``matches`` gives (shelf_id, book_id) for
+    some query shelves (shelf_id) and some books (book_id). The work starts from the
+    requests: only shelves of the limited readers among them are looked at, and these
+    for the requested books alone; what a reader may see is never listed.
     """
     owner = assets.select(F.col("id").alias("target_id"), F.col("book_id").alias("asset_book"))
     files = requests.where("kind = 'asset'").join(owner, "target_id", "left")
     direct = requests.where("kind <> 'asset'").withColumn("asset_book", F.col("target_id"))
     asked = files.unionByName(direct).withColumnRenamed("asset_book", "book_id")
     limited = scoped_readers(users)
-    wanted = asked.join(limited, "user_id", "left_semi").select("user_id", "book_id").distinct()
-    places = wanted.join(granted.select("user_id", "shelf_id"), "user_id")
-    seen = places.join(contents.select("shelf_id", "book_id"), ["shelf_id", "book_id"], "left_semi").select(
-        "user_id", "book_id").distinct().withColumn("seen", F.lit(True))
+    wanted = cut_lineage(asked.join(limited, "user_id", "left_semi").where("book_id is not null").select("user_id", "book_id").distinct())
+    places = granted.join(wanted, "user_id", "left_semi")
+    found = matches(places.where("kind <> 'manual'").select("shelf_id").distinct(), wanted.select("book_id").distinct())
+    # A group is a set of shelves; requests of its readers for one book are one lookup.
+    members = access_groups(places)
+    pairs = wanted.join(members, "user_id")
+    lookups = pairs.select("shelves", "book_id").distinct().select("shelves", "book_id", F.explode("shelves").alias("shelf_id"))
+    open_to = lookups.join(shelf_contents(shelf_books, found), ["shelf_id", "book_id"], "left_semi").select("shelves", "book_id").distinct()
+    seen = pairs.join(open_to, ["shelves", "book_id"], "left_semi").select("user_id", "book_id").withColumn("seen", F.lit(True))
     state = books.select(F.col("id").alias("book_id"), F.col("deleted_at").isNotNull().alias("gone"))
     limits = users.select(F.col("id").alias("user_id"), F.lit(True).alias("known")).join(
         limited.withColumn("limited", F.lit(True)), "user_id", "left")

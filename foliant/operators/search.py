@@ -14,7 +14,7 @@ from foliant.functions.tagging import path_prefixes, tag_key
 from foliant.functions.text import SPACE, strip
 from foliant.functions.tokens import python_tokens, tokens
 from foliant.operators.browse import blank, live
-from foliant.session import complete, cut_lineage
+from foliant.session import complete, cut_lineage, if_small
 
 # Relevance weight of each indexed field, and the BM25 constants.
 WEIGHTS = {"title": 10.0, "authors": 8.0, "series": 4.0, "genres": 1.0, "tags": 1.0, "description": 1.0,
@@ -31,26 +31,44 @@ QUALIFIED = r'^("?)(author|series|tag|genre|title|no|status)\1:'
 
 POSTINGS = "book_id bigint, field string, term string, pos bigint"
 LENGTHS = "book_id bigint, length bigint"
+FREQUENCIES = "field string, term string, books bigint"
+FORMAT = 2  # of a written index
 SLICE = 4096  # author orders and tag positions per slice of a long book
 
 
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    """(field, term, books): how many books hold a term in a field."""
+    return postings.groupBy("field", "term").agg(F.count_distinct("book_id").alias("books"))
+
+
 @dataclass
 class SearchIndex:
-    """``postings`` (book_id, field, term, pos) and ``lengths`` (book_id, length)."""
+    """``postings`` (book_id, field, term, pos), ``lengths`` (book_id, length) and, if written, ``frequencies`` (field, term, books)."""
 
     postings: DataFrame
     lengths: DataFrame
+    frequencies: DataFrame | None = None
+
+    def terms(self) -> DataFrame:
+        return term_frequencies(self.postings) if self.frequencies is None else self.frequencies
+
+    def within(self, books: DataFrame) -> "SearchIndex":
+        """The same index for lookups of some books (book_id) only; term statistics stay those of all books."""
+        return SearchIndex(self.postings.join(books.select("book_id").distinct(), "book_id", "left_semi"), self.lengths, self.terms())
 
     def write(self, path: str, partitions: int | None = None) -> None:
         """Persist with terms range-partitioned and sorted, so a term lookup prunes files and row groups."""
         parts = (partitions,) if partitions else ()
         self.postings.repartitionByRange(*parts, "term", "book_id").sortWithinPartitions("term", "book_id").write.mode(
             "overwrite").parquet(f"{path}/postings")
+        held = self.postings.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
+        term_frequencies(held).write.mode("overwrite").parquet(f"{path}/frequencies")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @classmethod
     def read(cls, spark, path: str) -> "SearchIndex":
-        return cls(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(LENGTHS).parquet(f"{path}/lengths"))
+        return cls(*[spark.read.schema(shape).parquet(f"{path}/{name}") for name, shape in (
+            ("postings", POSTINGS), ("lengths", LENGTHS), ("frequencies", FREQUENCIES))])
 
     @classmethod
     def stored(cls, spark, path: str, build) -> "SearchIndex":
@@ -334,7 +352,7 @@ def vocabulary_matches(index: SearchIndex, words: DataFrame) -> DataFrame:
 
     Only leading parts as long as some wanted prefix are made; tag keys are no words.
     """
-    vocabulary = index.postings.where("field <> 'tag_keys'").select("term").distinct()
+    vocabulary = index.terms().where("field <> 'tag_keys'").select("term").distinct()
     whole = words.where(~F.col("is_prefix")).withColumn("term", F.col("word"))
     sizes = words.where("is_prefix").agg(F.collect_set(F.length("word"))).scalar()
     lead = vocabulary.withColumn("sizes", sizes).select("term", F.explode(F.transform(
@@ -343,51 +361,79 @@ def vocabulary_matches(index: SearchIndex, words: DataFrame) -> DataFrame:
     return whole.unionByName(open_ended.select(*whole.columns))
 
 
-def match_saved_words(index: SearchIndex, terms: DataFrame) -> DataFrame:
-    """(shelf_id, pos, book_id) for the word clauses of all saved searches at once."""
+def saved_clause_terms(index: SearchIndex, terms: DataFrame) -> DataFrame:
+    """(shelf_id, pos, want, n, place, term): the dictionary terms that may fill each place of each clause.
+
+    ``want`` is the field, or empty for any field of text. Quoted and exact tag
+    selectors are clauses of one place over the tag keys: the tag itself or, unless
+    exact, a tag below it.
+    """
+    selector = F.col("key").isin("tag", "genre") & (F.col("quoted") | F.col("exact"))
     field = F.create_map(*[F.lit(x) for pair in FIELD_OF.items() for x in pair])[F.col("key")]
-    spread = terms.withColumn("words", tokens(F.col("value"))).select(
+    spread = terms.where(~selector).withColumn("words", tokens(F.col("value"))).select(
         "shelf_id", "pos", F.coalesce(field, F.lit("")).alias("want"), F.size("words").alias("n"), "prefix",
         F.posexplode("words").alias("place", "word"))
     words = spread.withColumn("is_prefix", F.col("prefix") & (F.col("place") == F.col("n") - 1)).drop("prefix")
-    filled = vocabulary_matches(index, words).join(index.postings.withColumnRenamed("pos", "at"), "term")
-    filled = filled.where(F.when(F.col("want") == "", F.col("field") != "tag_keys").otherwise(F.col("field") == F.col("want")))
-    return (
-        filled.withColumn("start", F.col("at") - F.col("place"))
-        .groupBy("shelf_id", "pos", "book_id", "field", "start")
-        .agg(F.count_distinct("place").alias("got"), F.max("n").alias("n")).where("got = n")
-        .select("shelf_id", "pos", "book_id").distinct()
-    )
+    token = F.concat(F.substring("key", 1, 1), F.sha2(tag_key(F.col("value")), 256))
+    keys = terms.where(selector).select(
+        "shelf_id", "pos", F.lit("tag_keys").alias("want"), F.lit(1).alias("n"), F.lit(0).alias("place"),
+        F.explode(F.when(F.col("exact"), F.array(token)).otherwise(F.array(token, F.concat(F.lit("b"), token)))).alias("term"))
+    return vocabulary_matches(index, words).select(*keys.columns).unionByName(keys)
+
+
+def _in_field() -> Column:
+    return F.when(F.col("want") == "", F.col("field") != "tag_keys").otherwise(F.col("field") == F.col("want"))
+
 
+def _standing(filled: DataFrame) -> DataFrame:
+    """(shelf_id, pos, book_id) of the clauses whose places are all filled, one after the other in one field.
+
+    A position of a field holds one term, so a start has each place at most once.
+    """
+    right = filled.where(_in_field())
+    single = right.where("n = 1").select("shelf_id", "pos", "book_id")
+    phrases = right.where("n > 1").groupBy("shelf_id", "pos", "book_id", "field", (F.col("at") - F.col("place")).alias("start"), "n").agg(
+        F.count("*").alias("got")).where("got = n").select("shelf_id", "pos", "book_id")
+    return single.unionByName(phrases).distinct()
 
-def match_saved_tags(terms: DataFrame, tags: DataFrame, book_tags: DataFrame) -> DataFrame:
-    """(shelf_id, pos, book_id) for the quoted and exact tag selectors."""
-    nodes = tags.select(F.col("id").alias("tag_id"), F.col("kind").alias("key"), "name_key")
-    wanted = terms.withColumn("path", tag_key(F.col("value"))).select("shelf_id", "pos", "key", "exact", "path")
-    leads = nodes.select("tag_id", "key", "name_key", F.explode(path_prefixes(F.col("name_key"))).alias("path"))
-    reached = wanted.join(leads, ["key", "path"]).where(~F.col("exact") | (F.col("name_key") == F.col("path")))
-    return reached.select("shelf_id", "pos", "tag_id").join(book_tags, "tag_id").select("shelf_id", "pos", "book_id").distinct()
 
+def clause_costs(index: SearchIndex, filled: DataFrame) -> DataFrame:
+    """(shelf_id, pos, cost): the most books that a clause can match, by the frequencies of its rarest place; 0 if a place has no term."""
+    known = filled.join(index.terms(), "term", "left").withColumn("books", F.when(_in_field(), F.col("books")))
+    places = known.groupBy("shelf_id", "pos", "place", "n").agg(F.coalesce(F.sum("books"), F.lit(0)).alias("books"))
+    return places.groupBy("shelf_id", "pos").agg(
+        F.when(F.count("*") == F.max("n"), F.min("books")).otherwise(0).cast("long").alias("cost"))
 
-def evaluate_saved_queries(index: SearchIndex, shelves: DataFrame, tags: DataFrame, book_tags: DataFrame,
-                           eligible_only: bool = True) -> DataFrame:
+
+def evaluate_saved_queries(index: SearchIndex, shelves: DataFrame, eligible_only: bool = True) -> DataFrame:
     """(shelf_id, book_id): books for which every clause of a saved search holds.
 
     Only searches made of words and tag selectors can define access; searches
     with lint errors match nothing. Equal searches of different shelves are
-    evaluated once, for the lowest shelf, and then given to all of them.
+    evaluated once, for the lowest shelf, and then given to all of them. Each search
+    starts from the clause that the fewest books can match, by the index's term
+    frequencies; its other clauses are looked up for the books found.
     """
     stored = shelves.where(F.col("kind") == "query").select(F.col("id").alias("shelf_id"), strip(F.col("query")).alias("query"))
     once = stored.groupBy("query").agg(F.min("shelf_id").alias("first_shelf"))
     leads = shelves.join(once.select(F.col("first_shelf").alias("id")), "id", "left_semi")
     terms = saved_query_terms(leads).where(F.col("may_grant_access") if eligible_only else F.col("error") == "")
-    terms = terms.where(~F.col("is_filter"))
-    selector = F.col("key").isin("tag", "genre") & (F.col("quoted") | F.col("exact"))
-    matched = match_saved_words(index, terms.where(~selector)).unionByName(
-        match_saved_tags(terms.where(selector), tags, book_tags))
-    need = terms.groupBy("shelf_id").agg(F.count(F.lit(1)).alias("need"))
-    got = matched.groupBy("shelf_id", "book_id").agg(F.count(F.lit(1)).alias("got"))
-    found = got.join(need, "shelf_id").where("got = need").select(F.col("shelf_id").alias("first_shelf"), "book_id")
+    terms = cut_lineage(terms.where(~F.col("is_filter")).select("shelf_id", "pos", "key", "value", "quoted", "exact", "prefix"))
+    filled = cut_lineage(saved_clause_terms(index, terms))
+    # A clause without words in it has no row in ``filled`` and matches nothing, like one whose words the index lacks.
+    costs = terms.select("shelf_id", "pos").join(clause_costs(index, filled), ["shelf_id", "pos"], "left").select(
+        "shelf_id", "pos", F.coalesce("cost", F.lit(0)).alias("cost"))
+    order = costs.groupBy("shelf_id").agg(F.min_by("pos", F.struct("cost", "pos")).alias("first"), F.min("cost").alias("least"),
+                                          F.count(F.lit(1)).alias("need")).where("least > 0").select("shelf_id", "first", "need")
+    planned = cut_lineage(filled.join(order, "shelf_id"))
+    postings = index.postings.withColumnRenamed("pos", "at")
+    begun = cut_lineage(_standing(postings.join(if_small(planned.where("pos = first")), "term")).select("shelf_id", "book_id"))
+    # The other clauses look up the books found so far; their postings are not read as a whole.
+    others = planned.where("pos <> first").select("shelf_id", "pos", "want", "n", "place", "term")
+    named = postings.join(if_small(others.select("term").distinct()), "term", "left_semi")
+    more = _standing(begun.join(if_small(others), "shelf_id").join(named, ["term", "book_id"])).groupBy("shelf_id", "book_id").agg(F.count(F.lit(1)).alias("got"))
+    held = begun.join(order.select("shelf_id", "need"), "shelf_id").join(more, ["shelf_id", "book_id"], "left")
+    found = held.where(F.coalesce("got", F.lit(0)) + 1 == F.col("need")).select(F.col("shelf_id").alias("first_shelf"), "book_id")
     return stored.join(once, "query").join(found, "first_shelf").select("shelf_id", "book_id")
 
 

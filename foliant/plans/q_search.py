@@ -21,7 +21,7 @@ def build_index(c: Catalog) -> search.SearchIndex:
 def index_of(c: Catalog) -> search.SearchIndex:
     """The catalogue's index, written once for each state of the tables in the shared folder."""
     name = version_of([c.part, c.lineitem, c.supplier, c.region, c.nation])
-    return search.SearchIndex.stored(c.spark, f"{ensure_checkpoint_dir(c.spark)}/search-{name}", lambda: build_index(c))
+    return search.SearchIndex.stored(c.spark, f"{ensure_checkpoint_dir(c.spark)}/search-{search.FORMAT}-{name}", lambda: build_index(c))
 
 
 def document_index(c: Catalog) -> search.SearchIndex:
@@ -215,13 +215,13 @@ GROUP BY h.shelf_id, h.book_id HAVING count(*) = max(n.need)"""
 
 
 def matches_of(c: Catalog) -> DataFrame:
-    return search.evaluate_saved_queries(index_of(c), c.shelves, c.tags, c.book_tags)
+    return search.evaluate_saved_queries(index_of(c), c.shelves)
 
 
 def matches_for(c: Catalog, user_id: int) -> DataFrame:
     """The matches of the saved searches that one account is assigned to."""
     assigned = scope.scope_shelves(c.users.where(F.col("id") == user_id), c.shelves, c.user_scope_shelves).select(F.col("shelf_id").alias("id"))
-    return search.evaluate_saved_queries(index_of(c), c.shelves.join(assigned, "id", "left_semi"), c.tags, c.book_tags)
+    return search.evaluate_saved_queries(index_of(c), c.shelves.join(assigned, "id", "left_semi"))
 
 
 query("evaluate_saved_queries", "SELECT shelf_id, book_id FROM {query_matches}")(matches_of)
@@ -274,7 +274,8 @@ SELECT r.user_id, r.kind, r.target_id,
 FROM {access_requests} r LEFT JOIN {assets} a ON r.kind = 'asset' AND a.id = r.target_id
 LEFT JOIN {books} b ON b.id = CASE WHEN r.kind = 'asset' THEN a.book_id ELSE r.target_id END
 LEFT JOIN {users} u ON u.id = r.user_id LEFT JOIN {visible_all} v ON v.user_id = r.user_id AND v.book_id = b.id""")(
-    lambda c: scope.can_access(c.access_requests, c.users, grants(c), scope.shelf_contents(c.shelf_books, matches_of(c)), c.books, c.assets))
+    lambda c: scope.can_access(c.access_requests, c.users, grants(c), c.shelf_books, lambda shelves, books: search.evaluate_saved_queries(
+        index_of(c).within(books), c.shelves.join(shelves.withColumnRenamed("shelf_id", "id"), "id", "left_semi")), c.books, c.assets))
 
 
 def search_ranked(c: Catalog) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on. Partition counts are left to AQE: the initial
 # shuffle width only has to be wide enough for the cluster, because AQE
@@ -54,6 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``rows`` narrow rows, else as it is, for a shuffled join.
+
+    A checkpointed table has no size that the planner knows, so its rows are counted, up to the bound.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished write left its mark in ``path``, seen through the file system of the path."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
