@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.session import spread
 from foliant.sources.catalog import Catalog
 
 # Declared, so that opening a table costs no schema-inference job.
@@ -275,7 +276,8 @@ BINDINGS["annotations"] = """
 SELECT conv_id * 100 + turn AS id, conv_id % (SELECT greatest(150, CAST(floor(count(*) / 10) AS BIGINT)) FROM {customer}) + 1 AS user_id,
        (conv_id % (SELECT count(*) FROM {part}) + 1) * 10000000000 + turn + 1 AS asset_id,
        conv_id % (SELECT count(*) FROM {part}) + 1 AS book_id, role, text AS quote,
-       CAST(CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END AS BIGINT) AS deleted,
+       CAST(CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END AS BIGINT) AS deleted, (conv_id + turn) % 40 AS revision,
+       CASE (conv_id + turn) % 7 WHEN 0 THEN 'green' WHEN 1 THEN 'blue' WHEN 2 THEN 'pink' WHEN 3 THEN 'purple' WHEN 4 THEN 'mauve' ELSE 'yellow' END AS color,
        CAST(conv_id * 10 + CAST(floor(turn / 2) AS BIGINT) AS BIGINT) AS created_at
 FROM {conversations}
 """
@@ -290,6 +292,9 @@ WHERE b.deleted_at IS NULL
 # Common table expressions used by oracles alone (name -> SQL text).
 ORACLE_ONLY: dict[str, str] = {}
 
+# Inputs of text-heavy functions, plain scans each stored as one file here, and their keys.
+TEXT_HEAVY = {"documents": "doc_id", "pages": "page_id", "raw_dates": "id", "raw_names": "id"}
+
 
 def _sql_of(name: str) -> str:
     return ORACLE_ONLY[name] if name in ORACLE_ONLY else BINDINGS[name]
@@ -312,12 +317,15 @@ def bind(spark: SparkSession, sf_dir: str) -> Catalog:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
-    def resolve(name: str) -> DataFrame:
+    def load(name: str) -> DataFrame:
         if name in BASE:
             return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
         sql = re.sub(r"@MILLIS\(([\w.]+)\)", r"unix_millis(CAST(\1 AS TIMESTAMP))", BINDINGS[name])
         return spark.sql(_rewrite(sql, _SPARK), **{ref: getattr(catalog, ref) for ref in references(sql)})
 
+    def resolve(name: str) -> DataFrame:
+        return spread(load(name), TEXT_HEAVY[name]) if name in TEXT_HEAVY else load(name)
+
     catalog = Catalog(spark, resolve)
     return catalog
 

@@ -121,6 +121,14 @@ FROM (SELECT book_id, count(*) FILTER (deleted = 0) AS n FROM {{notes}} GROUP BY
     lambda c: exports.export_annotations_markdown(c.notes, c.books).select("book_id", "place", F.md5("block").alias("block")))
 
 # --- model audit -----------------------------------------------------------------------
+# A log of status changes in which some rows break the model.
+BINDINGS["reading_events"] = """
+SELECT o_orderkey AS id, o_custkey + 1 AS user_id,
+       CASE WHEN o_orderkey % 31 = 0 THEN 'lost' WHEN o_orderkey % 3 = 0 THEN 'unread' WHEN o_orderkey % 3 = 1 THEN 'reading' ELSE 'dropped' END AS from_status,
+       CASE WHEN o_orderkey % 29 = 0 THEN 'done' WHEN o_orderkey % 4 = 0 THEN 'reading' ELSE 'finished' END AS to_status,
+       CASE o_orderkey % 11 WHEN 0 THEN 'import' WHEN 1 THEN 'kosync' WHEN 2 THEN 'opds' WHEN 3 THEN 'kobo' WHEN 4 THEN 'web_reader' ELSE 'manual' END AS source
+FROM {orders}
+"""
 _RULES = {"is_primary": "one primary per book", "is_default": "one default per user"}
 _MORE = [f"UNION ALL SELECT '{t}', '{_RULES.get(only, 'unique ' + ', '.join(keys))}', count(*) FROM (SELECT {keys[0]} FROM {{{t}}} {'WHERE ' + only if only else ''} GROUP BY {', '.join(keys)} HAVING count(*) > 1) q\n"
          for t, keys, only in audit.UNIQUE]
@@ -136,6 +144,20 @@ UNION ALL SELECT 'users', 'scope is known', count(*) FILTER (content_scope NOT I
 UNION ALL SELECT 'shelves', 'query only on query shelves', count(*) FILTER (NOT ((kind = 'manual' AND query IS NULL AND query_match IS NULL) OR (kind = 'query' AND query IS NOT NULL AND query_match IS NOT NULL))) FROM {shelves}
 UNION ALL SELECT 'reading_positions', 'progress within 0..1', count(*) FILTER (progress < 0 OR progress > 1) FROM {reading_positions}
 UNION ALL SELECT 'reading_state', 'status is known', count(*) FILTER (status NOT IN ('unread', 'reading', 'finished', 'dropped')) FROM {reading_state}
+UNION ALL SELECT 'shelves', 'kind is known', count(*) FILTER (kind NOT IN ('manual', 'query')) FROM {shelves}
+UNION ALL SELECT 'shelves', 'visibility is known', count(*) FILTER (visibility NOT IN ('personal', 'shared')) FROM {shelves}
+UNION ALL SELECT 'reading_positions', 'revision not negative', count(*) FILTER (revision < 0) FROM {reading_positions}
+UNION ALL SELECT 'reading_events', 'old status is known', count(*) FILTER (from_status NOT IN ('unread', 'reading', 'finished', 'dropped')) FROM {reading_events}
+UNION ALL SELECT 'reading_events', 'new status is known', count(*) FILTER (to_status NOT IN ('unread', 'reading', 'finished', 'dropped')) FROM {reading_events}
+UNION ALL SELECT 'reading_events', 'source is known', count(*) FILTER (source NOT IN ('manual', 'web_reader', 'kosync', 'opds', 'kobo')) FROM {reading_events}
+UNION ALL SELECT 'reading_events', 'status changes', count(*) FILTER (from_status = to_status) FROM {reading_events}
+UNION ALL SELECT 'annotations', 'revision is positive', count(*) FILTER (revision <= 0) FROM {annotations}
+UNION ALL SELECT 'annotations', 'color is known', count(*) FILTER (color NOT IN ('yellow', 'green', 'blue', 'pink', 'purple')) FROM {annotations}
+UNION ALL SELECT 'feed_items', 'fingerprint is 32 hex digits', count(*) FILTER (NOT regexp_matches(fingerprint, '^[0-9a-f]{{32}}$')) FROM {feed_items}
+UNION ALL SELECT 'feed_items', 'revision is positive', count(*) FILTER (revision <= 0) FROM {feed_items}
+UNION ALL SELECT 'feed_items', 'first revision is positive', count(*) FILTER (first_revision <= 0) FROM {feed_items}
+UNION ALL SELECT 'delivery_devices', 'preset is known', count(*) FILTER (preset NOT IN ('kindle', 'pocketbook', 'generic')) FROM {delivery_devices}
+UNION ALL SELECT 'delivery_jobs', 'status is known', count(*) FILTER (status NOT IN ('queued', 'converting', 'sending', 'sent', 'failed')) FROM {delivery_jobs}
 """+"".join(_MORE)+""") r""")(lambda c: audit.audit_constraints(c))
 
 # --- provider candidates -----------------------------------------------------------------

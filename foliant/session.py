@@ -55,6 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, a scan, dealt by ``key`` over the cores if it has fewer splits than there are cores.
+
+    For steps that cost far more than their rows weigh. A table with enough splits is
+    left as it is, so a large one is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it has no more than ``rows`` narrow rows, else as it is, for a shuffled join.
 
