@@ -81,6 +81,15 @@ def test_sequence_and_jumps(spark):
     assert jumps == {"#": 0, "0–9": 1, "A": 2, "B": 3, "É": 5}
 
 
+def test_cells_stop_implied_ends(spark):
+    """A sibling ends open elements only up to the nearest cell; a row looks past it."""
+    words = "word " * 5000
+    cases = {"<p hidden><td><p>" + "<p>x" * 100: 0, "<li hidden>a<th>b<li>c": 0, "<table><td hidden>" + words + "<td>x": 1,
+             "<tr hidden><td>" + words + "<tr><td>x": 1, "<p hidden>" + words + "<p>x": 1}
+    found = markup.estimate_pages_html(spark.createDataFrame(list(enumerate(cases)), "page_id int, html string"), "page_id", "html")
+    assert [r["pages"] for r in found.orderBy("page_id").collect()] == list(cases.values())
+
+
 def test_markup_helpers(spark):
     page = ("<html><head><title>x</title><style>b{}</style></head><body><p onclick=x>Hi <b>there</b><script>alert(1)</script>"
             "<p><a href='javascript:1'>a</a><a href='https://x.y?a=1&amp;b'>l</a><div>d<br></div></body></html>")
