@@ -14,7 +14,7 @@ from foliant.functions.tagging import path_prefixes, tag_key
 from foliant.functions.text import SPACE, strip
 from foliant.functions.tokens import python_tokens, tokens
 from foliant.operators.browse import blank, live
-from foliant.session import complete, cut_lineage, if_small
+from foliant.session import cut_lineage, if_small
 
 # Relevance weight of each indexed field, and the BM25 constants.
 WEIGHTS = {"title": 10.0, "authors": 8.0, "series": 4.0, "genres": 1.0, "tags": 1.0, "description": 1.0,
@@ -32,7 +32,7 @@ QUALIFIED = r'^("?)(author|series|tag|genre|title|no|status)\1:'
 POSTINGS = "book_id bigint, field string, term string, pos bigint"
 LENGTHS = "book_id bigint, length bigint"
 FREQUENCIES = "field string, term string, books bigint"
-FORMAT = 2  # of a written index
+FORMAT = 3  # of a written index and of its words
 SLICE = 4096  # author orders and tag positions per slice of a long book
 
 
@@ -43,7 +43,10 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
 
 @dataclass
 class SearchIndex:
-    """``postings`` (book_id, field, term, pos), ``lengths`` (book_id, length) and, if written, ``frequencies`` (field, term, books)."""
+    """``postings`` (book_id, field, term, pos), ``lengths`` (book_id, length) and, if written, ``frequencies`` (field, term, books).
+
+    With segments not yet merged, ``frequencies`` may count a book more than once: they bound the number of books from above.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -70,13 +73,6 @@ class SearchIndex:
         return cls(*[spark.read.schema(shape).parquet(f"{path}/{name}") for name, shape in (
             ("postings", POSTINGS), ("lengths", LENGTHS), ("frequencies", FREQUENCIES))])
 
-    @classmethod
-    def stored(cls, spark, path: str, build) -> "SearchIndex":
-        """The index in ``path``; the first caller has it built and written there."""
-        if not complete(spark, f"{path}/lengths"):  # written last
-            build().write(path)
-        return cls.read(spark, path)
-
 
 def field_values(books: DataFrame, authors: DataFrame, book_authors: DataFrame, tags: DataFrame,
                  book_tags: DataFrame, assets: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.ordering import page
 from foliant.functions.tokens import ACCENTED, PLAIN
-from foliant.operators import browse, scope, search
+from foliant.operators import browse, scope, search, segments
 from foliant.plans.bindings import ORACLE_ONLY
 from foliant.plans.registry import query
 from foliant.session import ensure_checkpoint_dir, version_of
@@ -18,10 +18,14 @@ def build_index(c: Catalog) -> search.SearchIndex:
     return search.build_search_index(c.books, c.authors, c.book_authors, c.tags, c.book_tags, c.assets)
 
 
-def index_of(c: Catalog) -> search.SearchIndex:
-    """The catalogue's index, written once for each state of the tables in the shared folder."""
+def store_of(c: Catalog) -> segments.IndexStore:
+    """The store of the catalogue's index in the shared folder, one for each state of the tables."""
     name = version_of([c.part, c.lineitem, c.supplier, c.region, c.nation])
-    return search.SearchIndex.stored(c.spark, f"{ensure_checkpoint_dir(c.spark)}/search-{search.FORMAT}-{name}", lambda: build_index(c))
+    return segments.IndexStore(c.spark, f"{ensure_checkpoint_dir(c.spark)}/search-{search.FORMAT}-{name}")
+
+
+def index_of(c: Catalog) -> search.SearchIndex:
+    return store_of(c).create(lambda: build_index(c))
 
 
 def document_index(c: Catalog) -> search.SearchIndex:
@@ -93,6 +97,56 @@ SELECT field, term, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum, count(DI
     lambda c: index_of(c).postings.groupBy("field", "term").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"), F.count_distinct("book_id").alias("n_books")))
 query("search_index_lengths", "SELECT book_id, length FROM {doc_lengths}")(lambda c: index_of(c).lengths)
+FIELD_COUNTS = """
+SELECT field, count(*) AS n, count(DISTINCT term) AS n_terms, count(DISTINCT book_id) AS n_books, CAST(sum(pos) AS BIGINT) AS pos_sum FROM {post} GROUP BY field"""
+
+
+def built_anew(c: Catalog) -> DataFrame:
+    """The index built and written whether or not the store has one; a store without a version takes it as its first."""
+    store = store_of(c)
+    made = store.stage(build_index(c), None, 1)
+    if not store.versions():
+        store.commit([made], 0)
+    return store.view([made]).postings.groupBy("field").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("n_terms"), F.count_distinct("book_id").alias("n_books"),
+        F.sum("pos").alias("pos_sum"))
+
+
+query("build_search_index", FIELD_COUNTS)(built_anew)
+
+# One book in a hundred is edited: every third of them is deleted for good, the others get a longer title and lose their tags.
+EDITED, DELETED = "id % 100 = 0", "id % 300 = 0"
+
+
+def edited(c: Catalog) -> Catalog:
+    gone = c.books.where(DELETED).select(F.col("id").alias("book_id"))
+    changed = c.books.where(EDITED).select(F.col("id").alias("book_id"))
+    return Catalog.of(
+        c.spark, authors=c.authors, tags=c.tags,
+        books=c.books.where(f"NOT ({DELETED})").withColumn("title", F.expr(f"CASE WHEN {EDITED} THEN concat(title, ' Édition revised') ELSE title END")),
+        book_authors=c.book_authors.join(gone, "book_id", "left_anti"), assets=c.assets.join(gone, "book_id", "left_anti"),
+        book_tags=c.book_tags.join(changed, "book_id", "left_anti"))
+
+
+def index_after_edits(c: Catalog) -> search.SearchIndex:
+    """The stored index with a segment for the edited books only; the store's versions stay as they are."""
+    store, after = store_of(c), edited(c)
+    store.create(lambda: build_index(c))
+    changed = c.books.where(EDITED).select(F.col("id").alias("book_id"))
+    return store.view(store.staged_update(changed, lambda ids: segments.build_for(ids, after)))
+
+
+ORACLE_ONLY["post_edited"] = """
+SELECT book_id, field, term, pos FROM {post} WHERE book_id % 100 <> 0 OR (book_id % 300 <> 0 AND field NOT IN ('genres', 'tags', 'tag_keys'))
+UNION ALL
+SELECT book_id, field, w.term, CAST(first_pos + len(words) + w.i AS BIGINT) FROM {placed}, (VALUES ('edition', 0), ('revised', 1)) AS w(term, i)
+WHERE field = 'title' AND book_id % 100 = 0 AND book_id % 300 <> 0"""
+ORACLE_ONLY["edited_lengths"] = "SELECT book_id, CAST(count(*) AS BIGINT) AS length FROM {post_edited} GROUP BY book_id"
+query("index_segment_postings", """
+SELECT field, term, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum, count(DISTINCT book_id) AS n_books FROM {post_edited} GROUP BY field, term""")(
+    lambda c: index_after_edits(c).postings.groupBy("field", "term").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"), F.count_distinct("book_id").alias("n_books")))
+query("index_segment_lengths", "SELECT book_id, length FROM {edited_lengths}")(lambda c: index_after_edits(c).lengths)
 query("tag_search_keys", "SELECT book_id, term FROM {tag_tokens}")(lambda c: search.tag_search_keys(c.tags, c.book_tags))
 
 
@@ -124,6 +178,20 @@ ranked_query("search_missing_description", "no:description ring", [clause_sql(0,
 ranked_query("search_status", "status:reading gear", [clause_sql(0, ["gear"], True)],
              "AND b.id IN (SELECT book_id FROM {reading_state} WHERE user_id = 5 AND status = 'reading')", 5)
 
+
+
+def search_after_edits(c: Catalog) -> DataFrame:
+    index, after = index_after_edits(c), edited(c)
+    terms = search.parse_query("title:edition revi")
+    hits = search.rank_bm25(index, search.match_terms(index, terms), len(terms)).withColumnRenamed("book_id", "id")
+    return hit_list(browse.live(after.books).join(hits, "id"))
+
+
+query("search_after_edits", f"""
+WITH {ranked_sql([clause_sql(0, ["edition"], True, "title", "post_edited"), clause_sql(1, ["revi"], True, source="post_edited")], "edited_lengths")}
+SELECT CAST(row_number() OVER (ORDER BY s.score, b.id) AS BIGINT) AS rn, b.id, b.title || ' Édition revised' AS title, s.score
+FROM scored s JOIN {{books}} b ON b.id = s.book_id WHERE b.deleted_at IS NULL QUALIFY rn <= 200""")(search_after_edits)
+
 for _what, _cond in {
     "cover": "b.cover_version <= 0",
     "genres": "b.id NOT IN (SELECT bt.book_id FROM {book_tags} bt JOIN {tags} t ON t.id = bt.tag_id WHERE t.kind = 'genre')",

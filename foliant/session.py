@@ -73,18 +73,20 @@ def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def complete(spark: SparkSession, path: str) -> bool:
-    """Whether a finished write left its mark in ``path``, seen through the file system of the path."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
-
-
 def version_of(tables: list[DataFrame]) -> str:
-    """A name for the state of file tables: of their files with sizes and times of change."""
+    """A name for the state of file tables: of their files with sizes and times of change.
+
+    Each folder is listed once; no file is asked for by itself.
+    """
     spark = tables[0].sparkSession
+    folders: dict[str, set[str]] = {}
+    for name in {name for table in tables for name in table.inputFiles()}:
+        folder, file = name.rsplit("/", 1)
+        folders.setdefault(folder, set()).add(file)
     known = []
-    for name in sorted({name for table in tables for name in table.inputFiles()}):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        known.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    return hashlib.md5("\n".join(known).encode()).hexdigest()
+    for folder, files in folders.items():
+        place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        for status in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place):
+            if status.getPath().toUri().getRawPath().rsplit("/", 1)[1] in files:
+                known.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(known)).encode()).hexdigest()
