@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators import audit, matching
 from foliant.plans.bindings import BINDINGS, ORACLE_ONLY
 from foliant.plans.registry import query
+from foliant.session import ensure_checkpoint_dir
 from foliant.sources import exports, files
 from foliant.sources.catalog import Catalog
+from foliant.streaming import jobs
 
 # A folder tree with one group folder per third book and loose files elsewhere.
 BINDINGS["listing"] = """
@@ -83,10 +87,26 @@ BINDINGS["folder_scans"] = """
 SELECT CAST(floor(event_id / 20) AS BIGINT) AS scan, 'f' || CAST(user_id AS STRING) AS path, max(CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) < 50 THEN 'a' ELSE 'b' END) AS fingerprint
 FROM {events} GROUP BY CAST(floor(event_id / 20) AS BIGINT), user_id
 """
-query("stability_gate", """
+GATE = """
 WITH s AS (SELECT *, CASE WHEN lag(scan) OVER w = scan - 1 AND lag(fingerprint) OVER w = fingerprint THEN 0 ELSE 1 END AS starts FROM {folder_scans} WINDOW w AS (PARTITION BY path ORDER BY scan)),
 r AS (SELECT *, sum(starts) OVER (PARTITION BY path ORDER BY scan) AS run FROM s)
-SELECT path, fingerprint, CAST(min(scan) + 1 AS BIGINT) AS released_at FROM r GROUP BY path, run, fingerprint HAVING count(*) >= 2""")(lambda c: files.stability_gate(c.folder_scans, 2))
+SELECT path, fingerprint, CAST(min(scan) + 1 AS BIGINT) AS released_at FROM r GROUP BY path, run, fingerprint HAVING count(*) >= 2"""
+query("stability_gate", GATE)(lambda c: files.stability_gate(c.folder_scans, 2))
+
+
+def gate_on_a_stream(c: Catalog) -> DataFrame:
+    """The same releases from a stream that stops after half of the scans and is started again from its checkpoint."""
+    spark, scans = c.spark, c.folder_scans.select("scan", "path", "fingerprint")
+    place = f"{ensure_checkpoint_dir(spark)}/watch-{uuid.uuid4().hex}"
+    half = scans.agg(F.floor(F.max("scan") / 2).alias("half")).scalar()
+    for part, rows in (("first", scans.where(F.col("scan") <= half)), ("second", scans.where(F.col("scan") > half))):
+        rows.write.parquet(f"{place}/in/{part}")
+        stream = spark.readStream.schema(jobs.SIGHTINGS).parquet(f"{place}/in/*")
+        jobs.release(stream, 2, f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.schema(jobs.RELEASES).parquet(f"{place}/out")
+
+
+query("watch_folder", GATE)(gate_on_a_stream)
 
 # --- exports ---------------------------------------------------------------------------
 BINDINGS["notes"] = """

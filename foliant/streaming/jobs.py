@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from foliant.functions.formats import known_extension
 from foliant.operators import reading
-from foliant.sources.files import content_hash, dedupe_import, intake_candidate
+from foliant.sources.files import content_hash, dedupe_import, intake_candidate, list_files
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -46,6 +47,84 @@ def intake(candidates: DataFrame, assets: DataFrame, books: DataFrame, output: s
     return candidates.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# --- files that are still being written ---------------------------------------------------
+
+SIGHTINGS = "scan bigint, path string, fingerprint string"
+RELEASES = "path string, fingerprint string, released_at bigint"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def record_scan(spark: SparkSession, folder: str, scan: int, sightings: str) -> None:
+    """Append one scan of an incoming folder to a table of sightings, the input of :func:`stable_files`.
+
+    A scan written twice replaces itself. Contents are not read: size and time of change tell states apart.
+    """
+    seen = list_files(spark, folder).where(intake_candidate(F.col("path")))
+    seen.select(F.lit(scan).cast("long").alias("scan"), "path", F.concat_ws(":", "size", "mtime").alias("fingerprint")).write.mode(
+        "overwrite").parquet(f"{sightings}/batch={scan:010d}")
+
+
+class _Gate(StatefulProcessor):
+    """Per path: the scan that saw it last, its fingerprint and how often in a row; a timer forgets it."""
+
+    def __init__(self, n: int, forget_scans: int):
+        self.n, self.forget_ms = n, forget_scans * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "scan bigint, fingerprint string, times bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, fingerprint, times = self.seen.get() if self.seen.exists() else (None, None, 0)
+        out = []
+        # Rows of one micro-batch come in any order; a path has one in each scan.
+        for row in pd.concat(list(rows)).sort_values("scan").itertuples(index=False):
+            if at is not None and row.scan <= at:
+                continue  # seen before
+            times = times + 1 if at is not None and row.scan == at + 1 and fingerprint is not None and row.fingerprint == fingerprint else 1
+            at, fingerprint = int(row.scan), row.fingerprint
+            if times == self.n:
+                out.append((key[0], fingerprint, at))
+        self.seen.update((at, fingerprint, times))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((at + 1) * 1000 + self.forget_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in RELEASES.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        yield pd.DataFrame([], columns=[c.split()[0] for c in RELEASES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stable_files(sightings: DataFrame, n: int, late_scans: int = 1) -> DataFrame:
+    """Stream of files at the scan that saw them unchanged ``n`` times in a row: ``stability_gate`` on a stream.
+
+    ``sightings`` is a stream of (scan, path, fingerprint), scans counted from 0. Scans
+    may arrive in several batches, in order, up to ``late_scans`` late. The state of a
+    path is three values (RocksDB); a path that no scan has named for so long that it
+    can't go on a run leaves the state, so the state is as large as the folder.
+    """
+    # A watermark starts at the epoch and drops what is not after it, so scan 0 has the first second.
+    timed = sightings.where("scan IS NOT NULL AND path IS NOT NULL").withColumn("scanned_at", F.timestamp_seconds(F.col("scan") + 1)).withWatermark(
+        "scanned_at", f"{late_scans} seconds")
+    return timed.groupBy("path").transformWithStateInPandas(
+        _Gate(n, late_scans + 1), RELEASES, outputMode="Append", timeMode="EventTime")
+
+
+def release(sightings: DataFrame, n: int, output: str, checkpoint: str):
+    """Write the released files of all sightings that have arrived; started again it goes on after those.
+
+    Timers and state variables need the RocksDB state store, which is set for the session.
+    """
+    sightings.sparkSession.conf.set(PROVIDER, ROCKSDB)
+    return stable_files(sightings, n).writeStream.format("parquet").outputMode("append").option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start(output)
+
+
 # --- sessions --------------------------------------------------------------------------
 
 SPANS = "user_id bigint, source_id string, received_at bigint, seq bigint, span_from bigint, span_to bigint, counted_ms bigint"

@@ -73,3 +73,33 @@ def test_intake_of_a_folder(spark, tmp_path):
     assert query.awaitTermination(120)
     got = {os.path.basename(r.id): r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a.epub": "imported", "b.epub": "duplicate", "c.pdf": "duplicate", "d.xyz": "failed", "f.epub": "duplicate_trashed"}
+
+
+def test_gate_on_a_stream(spark, tmp_path):
+    scans = bind(spark, SF).folder_scans.select("scan", "path", "fingerprint")
+    last = scans.agg(F.max("scan")).first()[0]
+    cuts, states = [0, last // 3, 2 * last // 3, last + 1], []
+    for low, high in zip(cuts, cuts[1:]):  # the stream is started anew for each third and goes on from its checkpoint
+        scans.where(F.col("scan").between(low, high - 1)).coalesce(2).write.parquet(str(tmp_path / f"in/batch={low:010d}"))
+        stream = spark.readStream.schema(jobs.SIGHTINGS).parquet(str(tmp_path / "in/*"))
+        query = jobs.release(stream, 2, str(tmp_path / "out"), str(tmp_path / "ck"))
+        assert query.awaitTermination(120)
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, files.stability_gate(scans, 2).select("path", "fingerprint", "released_at").collect())) and got
+    assert min(states) < scans.select("path").distinct().count()  # vanished paths leave the state
+
+
+def test_scans_of_a_folder(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    (box / "whole.epub").write_bytes(b"1")
+    for scan in range(3):
+        (box / "growing.epub").write_bytes(b"x" * (scan + 1))
+        (box / "half.epub.part").write_bytes(b"x")
+        jobs.record_scan(spark, str(box), scan, str(tmp_path / "seen"))
+    jobs.record_scan(spark, str(box), 2, str(tmp_path / "seen"))  # a repeated scan replaces itself
+    stream = spark.readStream.schema(jobs.SIGHTINGS).parquet(str(tmp_path / "seen/*"))
+    assert jobs.release(stream, 2, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = [(os.path.basename(r.path), r.released_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert got == [("whole.epub", 1)]
