@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators.search import SearchIndex, build_search_index
 from foliant.session import cut_lineage, if_small
+from foliant.sources import manifests
 
 RATIO = 4  # a segment is merged with newer ones once they hold a fourth of it
 BROADCAST_BOOKS = 200_000  # replaced books that may be sent to every executor
@@ -56,35 +57,23 @@ class IndexStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    # --- files -----------------------------------------------------------------------
-
-    def _file(self, *parts: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
-        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    # --- versions --------------------------------------------------------------------
 
     def versions(self) -> list[int]:
-        folder, files = self._file("versions")
-        if not files.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()) for s in files.listStatus(folder) if s.getPath().getName().isdigit())
+        return [int(name) for name in manifests.names(self.spark, f"{self.path}/versions")]
 
     def segments(self, version: int | None = None) -> list[Segment]:
         """The segments of a version, oldest first; of the newest one by default."""
         known = self.versions()
         if not known:
             return []
-        text = self.spark.read.text(f"{self.path}/versions/{version or known[-1]:08d}").first().value
+        text = manifests.get(self.spark, f"{self.path}/versions", f"{version or known[-1]:08d}")
         return sorted((Segment(**s) for s in json.loads(text)), key=lambda s: s.at)
 
     def commit(self, segments: list[Segment], after: int) -> int:
-        """Make ``segments`` the version after ``after``: written beside it, then renamed, so it is whole or absent."""
-        target, files = self._file("versions", f"{after + 1:08d}")
-        draft, _ = self._file("versions", f".draft-{uuid.uuid4().hex}")
-        out = files.create(draft)
-        out.write(bytearray(json.dumps([asdict(s) for s in segments]).encode()))
-        out.close()
-        if files.exists(target) or not files.rename(draft, target):
-            files.delete(draft, False)
+        """Make ``segments`` the version after ``after``."""
+        text = json.dumps([asdict(s) for s in segments])
+        if not manifests.put(self.spark, f"{self.path}/versions", f"{after + 1:08d}", text):
             raise FileExistsError(f"version {after + 1} of {self.path} was written by another job")
         return after + 1
 
@@ -181,10 +170,8 @@ class IndexStore:
         known = self.versions()
         listed = {s.name for v in known[-keep:] for s in self.segments(v)}
         for version in known[:-keep]:
-            place, files = self._file("versions", f"{version:08d}")
-            files.delete(place, False)
-        folder, files = self._file("segments")
-        gone = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName() not in listed] if known else []
-        for place in gone:
-            files.delete(place, True)
-        return sorted(p.getName() for p in gone)
+            manifests.drop(self.spark, f"{self.path}/versions/{version:08d}")
+        gone = [name for name in manifests.names(self.spark, f"{self.path}/segments") if name not in listed] if known else []
+        for name in gone:
+            manifests.drop(self.spark, f"{self.path}/segments/{name}")
+        return gone

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from foliant.functions.formats import known_extension
 from foliant.operators import reading
+from foliant.sources import manifests
 from foliant.sources.files import content_hash, dedupe_import, intake_candidate, list_files
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
@@ -171,34 +172,77 @@ def session_spans(events: DataFrame, idle_ms: int = reading.IDLE_MS, forget_afte
 # --- latest values as versioned snapshots ---------------------------------------------------
 
 
-def keep_snapshot(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
-    """Fold a stream into a table without MERGE: each batch writes the next full version.
+def keep_snapshot(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+                  keys: list[str], buckets: int = 64, keep: int = 2):
+    """Fold a stream into a table without MERGE: each batch rewrites the buckets of its keys and no others.
 
-    A batch reads the newest version before its own epoch and overwrites its
-    own, so that a repeated batch gives the same result.
+    Rows lie in ``buckets`` by the hash of their keys. A version is a small file that
+    names the batch which wrote each bucket last. A batch starts from the newest version
+    before its own and overwrites its own files, so that a repeated batch gives the same
+    result. Files that none of the newest ``keep`` versions names are removed; with two
+    or more a batch can be repeated. Choose the buckets so that one is a task's work.
+    The number of buckets is fixed with the first batch.
     """
+    if keep < 2:
+        raise ValueError("a batch is repeated from the version before it: keep two or more")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        earlier = latest_version(spark, path, epoch)
-        current = spark.read.parquet(f"{path}/version={earlier}") if earlier is not None else None
-        merge(current, batch).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        earlier = _buckets(spark, path, latest_version(spark, path, epoch))
+        # As long as the number of buckets.
+        touched = {r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()}
+        held = {b: e for b, e in earlier.items() if b in touched}
+        merged = merge(_read_buckets(spark, path, held) if held else None, batch)
+        merged.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/files/epoch={epoch}")
+        manifests.put(spark, f"{path}/versions", f"{epoch:012d}", json.dumps({**earlier, **dict.fromkeys(touched, epoch)}), replace=True)
+        _prune(spark, path, keep)
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
-    """Newest complete version below ``before``, seen through the file system of the path."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    versions = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            versions.append(int(name.split("=")[1]))
-    return max((v for v in versions if before is None or v < before), default=None)
+    """Newest complete version, below ``before`` if that is given."""
+    known = [int(name) for name in manifests.names(spark, f"{path}/versions")]
+    return max((v for v in known if before is None or v < before), default=None)
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The table as of a version, by default the newest one."""
+    newest = latest_version(spark, path) if version is None else version
+    held = _buckets(spark, path, newest)
+    if not held:
+        raise LookupError(f"no rows have been written to {path}")
+    return _read_buckets(spark, path, held)
+
+
+def _buckets(spark: SparkSession, path: str, version: int | None) -> dict[int, int]:
+    """Which batch wrote each bucket last."""
+    if version is None:
+        return {}
+    return {int(b): e for b, e in json.loads(manifests.get(spark, f"{path}/versions", f"{version:012d}")).items()}
+
+
+def _read_buckets(spark: SparkSession, path: str, held: dict[int, int]) -> DataFrame:
+    return spark.read.parquet(*[f"{path}/files/epoch={e}/bucket={b}" for b, e in sorted(held.items())])
+
+
+def _prune(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove old versions, and the buckets that the kept ones have replaced; a batch's folder goes with its last bucket."""
+    known = [int(name) for name in manifests.names(spark, f"{path}/versions")]
+    kept = {(e, b) for v in known[-keep:] for b, e in _buckets(spark, path, v).items()}
+    for version in known[:-keep]:
+        manifests.drop(spark, f"{path}/versions/{version:012d}")
+    for folder in manifests.names(spark, f"{path}/files"):
+        epoch = int(folder.split("=")[1])
+        if epoch >= known[-1]:
+            continue
+        there = [int(name.split("=")[1]) for name in manifests.names(spark, f"{path}/files/{folder}")]
+        gone = [b for b in there if (epoch, b) not in kept]
+        for b in gone if len(gone) < len(there) else []:
+            manifests.drop(spark, f"{path}/files/{folder}/bucket={b}")
+        if len(gone) == len(there):
+            manifests.drop(spark, f"{path}/files/{folder}")
 
 
 POSITION = ["user_id", "asset_id", "progress", "device_id", "modified_at", "seq", "revision"]
@@ -217,8 +261,8 @@ def merge_positions(current: DataFrame | None, batch: DataFrame) -> DataFrame:
         "user_id", "asset_id", "p.progress", "p.device_id", "p.modified_at", "p.seq", "revision")
 
 
-def position_snapshot(stream: DataFrame, path: str, checkpoint: str):
-    return keep_snapshot(stream, path, checkpoint, merge_positions)
+def position_snapshot(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    return keep_snapshot(stream, path, checkpoint, merge_positions, ["user_id", "asset_id"], buckets)
 
 
 def merge_status(current: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -229,5 +273,5 @@ def merge_status(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     return both.groupBy("user_id", "book_id").agg(last.alias("s")).select("user_id", "book_id", "s.status", "s.at_s", "s.id")
 
 
-def status_snapshot(stream: DataFrame, path: str, checkpoint: str):
-    return keep_snapshot(stream, path, checkpoint, merge_status)
+def status_snapshot(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    return keep_snapshot(stream, path, checkpoint, merge_status, ["user_id", "book_id"], buckets)

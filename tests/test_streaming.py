@@ -43,7 +43,7 @@ def test_positions_in_any_order(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert jobs.position_snapshot(stream, str(tmp_path / "snap"), str(tmp_path / "ck")).awaitTermination(120)
     last = jobs.latest_version(spark, str(tmp_path / "snap"))
-    got = spark.read.parquet(str(tmp_path / f"snap/version={last}"))
+    got = jobs.read_snapshot(spark, str(tmp_path / "snap"))
     want = jobs.merge_positions(None, writes)
     assert last >= 3 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
@@ -53,8 +53,7 @@ def test_status_snapshot(spark, tmp_path):
     schema = files_of(activity, str(tmp_path / "in"), 2, "id")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert jobs.status_snapshot(stream, str(tmp_path / "snap"), str(tmp_path / "ck")).awaitTermination(120)
-    last = jobs.latest_version(spark, str(tmp_path / "snap"))
-    got = spark.read.parquet(str(tmp_path / f"snap/version={last}"))
+    got = jobs.read_snapshot(spark, str(tmp_path / "snap"))
     assert got.exceptAll(jobs.merge_status(None, activity)).count() == 0 and got.count() > 50
 
 
@@ -103,3 +102,23 @@ def test_scans_of_a_folder(spark, tmp_path):
     assert jobs.release(stream, 2, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = [(os.path.basename(r.path), r.released_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert got == [("whole.epub", 1)]
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    snap, box = tmp_path / "snap", str(tmp_path / "in")
+    rows = spark.range(400).selectExpr("id % 40 AS user_id", "id AS asset_id", "0.5D AS progress", "'d' AS device_id", "id AS modified_at", "id AS seq")
+    parts = [rows, rows.where("asset_id = 7").withColumn("seq", F.col("seq") + 1), rows.where("asset_id IN (7, 8)").withColumn("seq", F.col("seq") + 2)]
+    written, whole = [], None
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(box)
+        stream = spark.readStream.schema(rows.schema).parquet(box)
+        assert jobs.position_snapshot(stream, str(snap), str(tmp_path / "ck"), buckets=16).awaitTermination(120)
+        written.append({p.parent.name for p in snap.glob(f"files/epoch={len(written)}/*/*.parquet")})
+        whole = part if whole is None else whole.unionByName(part)
+        got, want = jobs.read_snapshot(spark, str(snap)), jobs.merge_positions(None, whole)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert len(written[0]) == 16 and len(written[1]) == 1 and len(written[2]) in (1, 2) and written[1] <= written[2]
+    assert jobs.latest_version(spark, str(snap)) == 2 and len(list((snap / "versions").glob("0*"))) == 2
+    # The bucket of asset 7 in the first batch's files is named by no kept version.
+    assert {p.name for p in (snap / "files/epoch=0").glob("bucket=*")} == written[0] - written[1]
+    assert jobs.read_snapshot(spark, str(snap), 1).where("asset_id = 7").first().revision == 2
