@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators import feed, reading
 from foliant.plans.bindings import BINDINGS, ORACLE_ONLY
 from foliant.plans.registry import query
+from foliant.session import ensure_checkpoint_dir
 from foliant.sources.catalog import Catalog
+from foliant.streaming import jobs
 
 IDLE = 12 * 3600 * 1000  # the provided events are hours apart; the library default is five minutes
 
@@ -131,6 +135,22 @@ SELECT user_id, asset_id, max_by(CASE WHEN NOT is_reset THEN progress END, n) FI
        CASE WHEN max_by(is_reset, n) THEN '' ELSE max_by(device_id, n) END AS device_id, count(*) AS revision, max_by(arrived_at, n) AS updated_at
 FROM s WHERE NOT idle GROUP BY user_id, asset_id""".replace("max_by(CASE WHEN NOT is_reset THEN progress END, n) FILTER (NOT is_reset) AS p0,\n       ", ""))(
     lambda c: reading.latest_position(c.sync_writes))
+
+
+def positions_of_a_stream(c: Catalog) -> DataFrame:
+    """The newest position of each asset, kept up by a stream that is started twice; the second batch rewrites its buckets."""
+    writes = c.sync_writes.select("user_id", "asset_id", "progress", "device_id", "modified_at", "seq")
+    place = f"{ensure_checkpoint_dir(c.spark)}/positions-{uuid.uuid4().hex}"
+    for part, rows in (("early", writes.where("device_id <> 'd2'")), ("late", writes.where("device_id = 'd2'"))):
+        rows.write.parquet(f"{place}/in/{part}")
+        stream = c.spark.readStream.schema(rows.schema).parquet(f"{place}/in/*")
+        jobs.position_snapshot(stream, f"{place}/out", f"{place}/state").awaitTermination()
+    return jobs.read_snapshot(c.spark, f"{place}/out")
+
+
+query("position_snapshot", """
+SELECT user_id, asset_id, max_by(progress, t) AS progress, max_by(device_id, t) AS device_id, max(modified_at) AS modified_at, max_by(seq, t) AS seq, count(*) AS revision
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, asset_id ORDER BY modified_at, seq) AS t FROM {sync_writes}) w GROUP BY user_id, asset_id""")(positions_of_a_stream)
 for _mode, _named in (("revision", "expected_revision"), ("stamp", "CAST(NULL AS BIGINT)"), ("mixed", "CASE WHEN seq % 3 = 0 THEN expected_revision END")):
     ORACLE_ONLY[f"conflicts_{_mode}"] = f"""
 WITH RECURSIVE f AS (
