@@ -6,15 +6,14 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.ordering import Key, running_sum
 from foliant.functions.tagging import path_prefixes, tag_key
 from foliant.functions.text import SPACE, strip
 from foliant.functions.tokens import python_tokens, tokens
 from foliant.operators.browse import blank, live
-from foliant.session import cut_lineage, if_small
+from foliant.session import cut_lineage, if_small, written
 
 # Relevance weight of each indexed field, and the BM25 constants.
 WEIGHTS = {"title": 10.0, "authors": 8.0, "series": 4.0, "genres": 1.0, "tags": 1.0, "description": 1.0,
@@ -33,7 +32,6 @@ POSTINGS = "book_id bigint, field string, term string, pos bigint"
 LENGTHS = "book_id bigint, length bigint"
 FREQUENCIES = "field string, term string, books bigint"
 FORMAT = 3  # of a written index and of its words
-SLICE = 4096  # author orders and tag positions per slice of a long book
 
 
 def term_frequencies(postings: DataFrame) -> DataFrame:
@@ -41,16 +39,23 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count_distinct("book_id").alias("books"))
 
 
+def one_row_each(lists: DataFrame) -> DataFrame:
+    """Postings (book_id, field, term, pos) of position lists, in the order of the lists."""
+    return lists.select("book_id", "field", "term", F.explode("at").alias("pos"))
+
+
 @dataclass
 class SearchIndex:
     """``postings`` (book_id, field, term, pos), ``lengths`` (book_id, length) and, if written, ``frequencies`` (field, term, books).
 
     With segments not yet merged, ``frequencies`` may count a book more than once: they bound the number of books from above.
+    An index just built also has its ``lists`` (book_id, field, term, at), all positions of a term in a field of a book in one row.
     """
 
     postings: DataFrame
     lengths: DataFrame
     frequencies: DataFrame | None = None
+    lists: DataFrame | None = None
 
     def terms(self) -> DataFrame:
         return term_frequencies(self.postings) if self.frequencies is None else self.frequencies
@@ -62,10 +67,14 @@ class SearchIndex:
     def write(self, path: str, partitions: int | None = None) -> None:
         """Persist with terms range-partitioned and sorted, so a term lookup prunes files and row groups."""
         parts = (partitions,) if partitions else ()
-        self.postings.repartitionByRange(*parts, "term", "book_id").sortWithinPartitions("term", "book_id").write.mode(
-            "overwrite").parquet(f"{path}/postings")
+        rows = self.postings if self.lists is None else self.lists
+        placed = rows.repartitionByRange(*parts, "term", "book_id").sortWithinPartitions("term", "book_id")
+        if self.lists is not None:
+            placed = one_row_each(placed)
+        placed.write.mode("overwrite").parquet(f"{path}/postings")
         held = self.postings.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
-        term_frequencies(held).write.mode("overwrite").parquet(f"{path}/frequencies")
+        known = term_frequencies(held) if self.lists is None else self.frequencies
+        known.write.mode("overwrite").parquet(f"{path}/frequencies")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @classmethod
@@ -96,13 +105,14 @@ def field_values(books: DataFrame, authors: DataFrame, book_authors: DataFrame,
 
 def tag_search_keys(tags: DataFrame, book_tags: DataFrame) -> DataFrame:
     """One token per direct membership and one 'b' token per proper ancestor, each once per book."""
-    linked = book_tags.join(tags, F.col("tag_id") == tags.id).select("book_id", "kind", "name_key")
+    # Names travel once, before they become several hashes each; the same key of a book then meets in its partition.
+    linked = book_tags.join(tags, F.col("tag_id") == tags.id).select("book_id", "kind", "name_key").repartition("book_id")
     paths = path_prefixes(F.col("name_key"))
     token = F.concat(F.substring("kind", 1, 1), F.sha2("path", 256))
-    direct = linked.select("book_id", "kind", F.col("name_key").alias("path")).select("book_id", token.alias("term"))
-    above = linked.select("book_id", "kind", F.explode(F.slice(paths, 1, F.size(paths) - 1)).alias("path")).select(
-        "book_id", F.concat(F.lit("b"), token).alias("term"))
-    return direct.unionByName(above).distinct()
+    above = F.transform(F.slice(paths, 1, F.size(paths) - 1), lambda path: F.struct(path.alias("path"), F.lit("b").alias("mark")))
+    own = F.array(F.struct(F.col("name_key").alias("path"), F.lit("").alias("mark")))
+    keys = linked.select("book_id", "kind", F.inline(F.concat(own, F.coalesce(above, F.array().cast("array<struct<path:string,mark:string>>")))))
+    return keys.distinct().select("book_id", F.concat("mark", token).alias("term")).distinct()
 
 
 def build_search_index(books: DataFrame, authors: DataFrame, book_authors: DataFrame, tags: DataFrame,
@@ -114,20 +124,25 @@ def build_search_index(books: DataFrame, authors: DataFrame, book_authors: DataF
 def index_values(pieces: DataFrame, tag_keys: DataFrame | None = None) -> SearchIndex:
     """Index pieces of text given as (book_id, field, at, tie, text).
 
-    The tokenised pieces feed three branches, so they are written once.
+    The pieces of a book meet once, as text; places, position lists and word counts are
+    made where they meet, by sorts that spill, and written once for what reads them.
+    Pieces without a place or a book count for the lengths only.
     """
-    split = cut_lineage(pieces.withColumn("words", tokens(F.col("text"))).drop("text"))
-    placed = running_sum(split, ["book_id", "field"], [Key(F.col("at")), Key(F.col("tie"))],
-                         F.floor(F.col("at") / SLICE), F.size("words").cast("long"), "start")
-    text = placed.select("book_id", "field", "start", F.posexplode("words").alias("i", "term")).select(
-        "book_id", "field", "term", (F.col("start") + F.col("i")).alias("pos"))
-    sizes = split.select("book_id", F.size("words").cast("long").alias("n"))
+    before = Window.partitionBy("book_id", "field").orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    split = pieces.repartition("book_id").withColumn("words", tokens(F.col("text"))).drop("text").withColumn("size", F.size("words").cast("long"))
+    placed = split.withColumn("start", F.when(F.col("book_id").isNotNull() & F.col("at").isNotNull(), F.coalesce(F.sum("size").over(before), F.lit(0))))
+    text = placed.select("book_id", "field", "start", "size", F.posexplode_outer("words").alias("i", "term")).groupBy("book_id", "field", "term").agg(
+        F.collect_list(F.col("start") + F.col("i")).alias("at"),
+        F.sum(F.when(F.col("term").isNotNull(), F.lit(1).cast("long")).otherwise(F.col("size"))).alias("n"))
     if tag_keys is not None:
         text = text.unionByName(tag_keys.select(
-            "book_id", F.lit("tag_keys").alias("field"), "term", F.lit(0).cast("long").alias("pos")))
-        sizes = sizes.unionByName(tag_keys.select("book_id", F.lit(1).cast("long").alias("n")))
-    lengths = sizes.groupBy("book_id").agg(F.sum("n").alias("length"))
-    return SearchIndex(text, lengths)
+            "book_id", F.lit("tag_keys").alias("field"), "term", F.array(F.lit(0).cast("long")).alias("at"), F.lit(1).cast("long").alias("n")))
+    counted = written(text)
+    lists = counted.where(F.size("at") > 0).select("book_id", "field", "term", "at")
+    lengths = counted.groupBy("book_id").agg(F.sum("n").alias("length"))
+    # A list stands for one book, so no book has to be told apart again.
+    frequencies = lists.groupBy("field", "term").agg(F.count("book_id").alias("books"))
+    return SearchIndex(one_row_each(lists), lengths, frequencies, lists)
 
 
 @dataclass

@@ -118,7 +118,7 @@ class IndexStore:
         name = f"{at:08d}-{uuid.uuid4().hex[:12]}"
         place = f"{self.path}/segments/{name}"
         index.write(place)
-        (index.lengths if covers is None else covers).select("book_id").distinct().write.parquet(f"{place}/covers")
+        (SearchIndex.read(self.spark, place).lengths if covers is None else covers).select("book_id").distinct().write.parquet(f"{place}/covers")
         count = self.spark.read.parquet
         return Segment(at, name, count(f"{place}/postings").count(), count(f"{place}/covers").count())
 

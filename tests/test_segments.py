@@ -105,3 +105,26 @@ def test_an_empty_catalogue(spark, tmp_path):
     now = with_titles(spark, {1: "red gear"})
     store.update(ids(spark, 1), lambda books: segments.build_for(books, now))
     assert content(store.current()) == content(built(now))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_built_index_is_read_without_another_shuffle(spark, tmp_path):
+    index = built(with_titles(spark, {1: "red gear red", 2: "red"}))
+    assert "Exchange" not in plan_of(index.postings) and "Window" not in plan_of(index.lengths)
+    assert {(r.field, r.term): r.books for r in index.terms().collect()} == {(r.field, r.term): r.books for r in search.term_frequencies(index.postings).collect()}
+    index.write(str(tmp_path))
+    assert content(search.SearchIndex.read(spark, str(tmp_path))) == content(index)
+
+
+def test_pieces_without_a_place_or_a_book_count_for_lengths_only(spark):
+    rows = [(1, "authors", 5, 2, "c d"), (1, "authors", 5, 1, "a b"), (1, "authors", None, 1, "x y z"), (1, "title", 0, 0, ""), (2, "title", 0, 0, ""),
+            (None, "title", 0, 0, "lost"), (1, "authors", 9000, 0, "a"), (3, "title", 0, 0, None)]
+    index = search.index_values(spark.createDataFrame(rows, "book_id long, field string, at long, tie long, text string"),
+                                spark.createDataFrame([(1, "gk"), (None, None)], "book_id long, term string"))
+    places = [(1, "authors", t, p) for t, p in (("a", 3), ("b", 4), ("c", 5), ("d", 6), ("a", 7))]
+    assert sorted(map(tuple, index.postings.where("term IS NOT NULL").collect())) == sorted([*places, (1, "tag_keys", "gk", 0)])
+    assert index.postings.where("term IS NULL").count() == 1
+    assert {r.book_id: r.length for r in index.lengths.collect()} == {1: 9, 2: 0, None: 2, 3: None}
