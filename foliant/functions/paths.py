@@ -61,9 +61,16 @@ def _field(row: dict[str, Column], name: str, use: bool) -> Column:
     raise ValueError(f"unknown book path field {name!r}")
 
 
+# What ``safe_segment`` changes: signs to drop, white space that is no single space inside, a leading dot.
+UNSAFE = r'[<>:"/\\|?*\p{Cc}]|[\p{Z}&&[^ ]]|  |^[. ]| $'
+
+
 def safe_segment(text: Column) -> Column:
-    cleaned = F.regexp_replace(F.regexp_replace(text, r'[<>:"/\\|?*\x00]', ""), r"\p{Cc}", " ")
-    return F.regexp_replace(squeeze(cleaned), r"^[. ]+", "")
+    def cleaned(raw: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(raw, r'[<>:"/\\|?*\x00]', ""), r"\p{Cc}", " ")
+        return F.regexp_replace(squeeze(plain), r"^[. ]+", "")
+
+    return let(text, lambda raw: F.when(raw.rlike(UNSAFE), cleaned(raw)).otherwise(raw))
 
 
 def short_segment(text: Column) -> Column:
@@ -72,8 +79,8 @@ def short_segment(text: Column) -> Column:
     marker = F.concat(F.lit("~"), F.substring(F.sha2(raw, 256), 1, 16), F.lit("~"))
     head = (MAX_SEGMENT_BYTES - 18) // 2
     tail = MAX_SEGMENT_BYTES - 18 - head
-    # Whole characters only: count how many fit from either end.
-    sizes = F.transform(F.split(text, ""), lambda c: F.octet_length(c))
+    # Whole characters only: count how many fit from either end. A character has a byte or more, so no more than these can fit.
+    sizes = lambda part: F.transform(F.split(part, ""), lambda c: F.octet_length(c))
 
     def fitting(items: Column, room: int) -> Column:
         start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
@@ -82,7 +89,7 @@ def short_segment(text: Column) -> Column:
             (s["n"] + F.when(s["open"] & (s["used"] + b <= room), 1).otherwise(0)).alias("n"),
             (s["open"] & (s["used"] + b <= room)).alias("open")), lambda s: s["n"])
 
-    first, last = fitting(sizes, head), fitting(F.reverse(sizes), tail)
+    first, last = fitting(sizes(F.left(text, F.lit(head))), head), fitting(F.reverse(sizes(F.right(text, F.lit(tail)))), tail)
     short = F.concat(F.substring(text, F.lit(1), first), marker, F.substring(text, F.length(text) - last + 1, last))
     return F.when(F.octet_length(text) > MAX_SEGMENT_BYTES, short).otherwise(text)
 
@@ -109,7 +116,4 @@ def render_book_path(template: str, row: dict[str, Column]) -> Column:
             value = _field(row, name.strip(), not bar)
             parts.append(F.when(strip(value) == "", F.lit(fallback.strip())).otherwise(value) if bar else value)
         segments.append(let(safe_segment(F.concat(*parts)), lambda s: F.when(s != "", short_segment(s))))
-    complete = segments[0].isNotNull()
-    for segment in segments[1:]:
-        complete = complete & segment.isNotNull()
-    return F.when(complete, F.concat_ws("/", *segments))
+    return let(F.array(*segments), lambda made: F.when(F.forall(made, lambda s: s.isNotNull()), F.array_join(made, "/")))

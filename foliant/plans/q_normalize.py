@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import dates, formats, identifiers, language, paths, people, tagging
+from foliant.functions.text import let
 from foliant.operators import browse, records
 from foliant.plans.bindings import BINDINGS
 from foliant.plans.registry import query
@@ -205,8 +206,10 @@ query("render_book_path", f"SELECT asset_id, {PATH_SQL} AS path FROM {{path_rows
     lambda c: c.path_rows.select("asset_id", paths.render_book_path(TEMPLATE, path_columns()).alias("path")))
 query("render_book_path_long", """
 SELECT doc_id AS id, strlen(text) > 255 AS was_long FROM {documents} WHERE trim(regexp_replace(text, '[<>:"/\\\\|?*\\s.]', '', 'g')) <> ''""")(
-    lambda c: c.documents.select(F.col("doc_id").alias("id"), F.col("text"), paths.short_segment(paths.safe_segment(F.col("text"))).alias("seg"))
-    .where("seg <> '' AND octet_length(seg) <= 255").select("id", (F.octet_length("text") > 255).alias("was_long")))
+    # An exploded segment is made once for each row; as a plain column the filter would make it again, before the rows are dealt over the cores.
+    lambda c: c.documents.select(F.col("doc_id").alias("id"), (F.octet_length("text") > 255).alias("was_long"),
+                                 F.explode(F.array(let(paths.safe_segment(F.col("text")), paths.short_segment))).alias("seg"))
+    .where("seg <> '' AND octet_length(seg) <= 255").select("id", "was_long"))
 
 # --- choosing among records ----------------------------------------------------------
 BINDINGS["creators"] = """
