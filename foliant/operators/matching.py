@@ -42,22 +42,22 @@ def normalize_catalog_rows(rows: DataFrame, subjects: int | None = None) -> Data
 
     ``subjects`` keeps that many genres of a candidate; None keeps all.
     """
-    d = F.from_json("json", CATALOG_ROW)
-    doc = rows.select("query_id", "idx", d.alias("d"))
-    isbns = F.filter(F.transform(_list(F.col("d.isbn")), lambda v: clean_isbn(v)), lambda v: valid_isbn(v))
+    # Inlined, a row is parsed once; as a plain column the filter would parse it again, before the rows are dealt over the cores.
+    doc = rows.select("query_id", "idx", F.inline(F.array(F.from_json("json", CATALOG_ROW))))
+    isbns = F.filter(F.transform(_list(F.col("isbn")), lambda v: clean_isbn(v)), lambda v: valid_isbn(v))
     ids = F.transform(F.slice(isbns, 1, 1), lambda v: pair("isbn", v))
-    year = F.when(F.col("d.first_publish_year") > 0, F.col("d.first_publish_year")).otherwise(F.get("d.publish_year", F.lit(0)))
-    return doc.where(F.coalesce(F.col("d.title"), F.lit("")) != "").select(
-        "query_id", "idx", F.lit("openlibrary").alias("provider"), F.col("d.key").alias("provider_id"), F.col("d.title").alias("title"),
-        unique_trimmed(F.col("d.author_name")).alias("authors"), first_filled(F.col("d.publisher")).alias("publisher"),
-        F.coalesce(normalize_metadata_date(year.cast("string")), F.lit("")).alias("date"), first_filled(F.col("d.language")).alias("language"),
-        format_identifiers(external_identifiers(ids)).alias("identifier"), unique_trimmed(F.col("d.subject"), subjects).alias("genres"),
-        (F.coalesce(F.col("d.cover_i"), F.lit(0)) > 0).alias("has_cover"))
+    year = F.when(F.col("first_publish_year") > 0, F.col("first_publish_year")).otherwise(F.get("publish_year", F.lit(0)))
+    return doc.where(F.coalesce(F.col("title"), F.lit("")) != "").select(
+        "query_id", "idx", F.lit("openlibrary").alias("provider"), F.col("key").alias("provider_id"), F.col("title").alias("title"),
+        unique_trimmed(F.col("author_name")).alias("authors"), first_filled(F.col("publisher")).alias("publisher"),
+        F.coalesce(normalize_metadata_date(year.cast("string")), F.lit("")).alias("date"), first_filled(F.col("language")).alias("language"),
+        format_identifiers(external_identifiers(ids)).alias("identifier"), unique_trimmed(F.col("subject"), subjects).alias("genres"),
+        (F.coalesce(F.col("cover_i"), F.lit(0)) > 0).alias("has_cover"))
 
 
 def normalize_volume_rows(rows: DataFrame, subjects: int | None = None) -> DataFrame:
     """Candidates from volume search rows; ``rows`` is (query_id, idx, json); ``subjects`` as above."""
-    doc = rows.select("query_id", "idx", F.from_json("json", VOLUME_ROW).alias("d")).select("query_id", "idx", "d.id", "d.volumeInfo.*")
+    doc = rows.select("query_id", "idx", F.inline(F.array(F.from_json("json", VOLUME_ROW)))).select("query_id", "idx", "id", "volumeInfo.*")
     none = F.array().cast("array<struct<type:string,identifier:string>>")
     isbns = F.filter(F.coalesce("industryIdentifiers", none), lambda i: F.upper(strip(i["type"])).isin("ISBN_10", "ISBN_13") & valid_isbn(clean_isbn(i["identifier"])))
     ids = F.concat(F.transform(isbns, lambda i: pair("isbn", clean_isbn(i["identifier"]))),

@@ -293,7 +293,7 @@ WHERE b.deleted_at IS NULL
 ORACLE_ONLY: dict[str, str] = {}
 
 # Inputs of text-heavy functions, plain scans each stored as one file here, and their keys.
-TEXT_HEAVY = {"documents": "doc_id", "pages": "page_id", "raw_dates": "id", "raw_names": "id"}
+TEXT_HEAVY = {"documents": "doc_id", "pages": "page_id", "raw_dates": "id", "raw_names": "id", "catalog_rows": "idx", "volume_rows": "idx"}
 
 
 def _sql_of(name: str) -> str:

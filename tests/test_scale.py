@@ -20,6 +20,13 @@ def test_segments_are_made_once_and_where_the_rows_lie(spark):
     assert "regexp_replace" not in below
 
 
+def test_candidates_are_parsed_once_and_where_the_rows_lie(spark):
+    text = spark.createDataFrame([(1, i, j) for i, j in enumerate(['{"key":"k","title":"t"}', '{"title":""}', None, "x"])], "query_id long, idx long, json string")
+    made = matching.normalize_catalog_rows(text.repartition(3, "idx"))
+    assert [(r.idx, r.provider_id, r.title) for r in made.collect()] == [(0, "k", "t")]
+    assert "from_json" not in made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("Exchange hashpartitioning")[1]
+
+
 def test_safe_segments_of_odd_names(spark):
     names = {"plain name": "plain name", " . a  b. ": "a b.", "a b": "a b", "a  b\n": "a b", 'x<>:"/\\|?*\x00y': "xy", "\x85": "", "..": "",
              ":": "", "a :": "a", ": b": "b", "é\tü": "é ü", "": "", None: None}
