@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,29 +133,28 @@ def plan_delivery(requests: DataFrame, assets: DataFrame, limit_mb: int = DEFAUL
 
     Every file gets the rank of its best use on the device - as it is, or
     converted - and the lowest rank wins, default files and low ids first. On
-    Kindle an EPUB conversion comes before a fixed-page PDF.
+    Kindle an EPUB conversion comes before a fixed-page PDF. The best file of a
+    book is found once for each kind of device; a request meets that one row.
     """
     limit = (limit_mb if limit_mb > 0 else DEFAULT_LIMIT_MB) * MB
     size = F.coalesce("current_size", "original_size", F.lit(0))
-    files = assets.select("book_id", F.col("id").alias("asset_id"), "format", "is_primary", size.alias("size"))
-    rows = requests.join(files, "book_id", "left").withColumn("too_large", (F.col("size") > 0) & (encoded_size(F.col("size")) > limit))
-    preset, kind = F.col("preset"), F.col("format")
-    direct, convert, target = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string")
+    kind, too_large = F.col("format"), (F.col("size") > 0) & (encoded_size(F.col("size")) > limit)
+    best = {}
     for name, order in DIRECT.items():
-        rank = lookup({f: str(10 * (i + 1)) for i, f in enumerate(order)}, kind).cast("int")
+        direct = lookup({f: str(10 * (i + 1)) for i, f in enumerate(order)}, kind).cast("int")
         late = F.when(kind.isin(*TO_EPUB[name]), 1000).when(kind.isin(*TO_PDF), 2000)
         if name == "kindle":
             early = [f for f in TO_EPUB[name] if f not in order]
             late = F.when(kind.isin(*early), 10 * order.index("pdf") + 15 - 10).otherwise(late)
-        direct = F.when(preset == name, rank).otherwise(direct)
-        convert = F.when(preset == name, late).otherwise(convert)
-    as_is = F.when(~F.col("too_large"), direct)
-    rank = F.least(as_is, convert)
-    target = F.when(as_is.isNotNull() & (as_is <= F.coalesce(convert, F.lit(9999))), F.lit("")).when(kind.isin(*TO_PDF), F.lit("pdf")).otherwise(F.lit("epub"))
-    ranked = rows.withColumn("rank", rank).withColumn("target", target).withColumn("oversize", F.col("too_large") & direct.isNotNull())
-    best = F.struct("rank", ~F.col("is_primary"), "asset_id")
-    plans = ranked.groupBy("request_id").agg(
-        F.min_by(F.struct("asset_id", "format", "target"), F.when(F.col("rank").isNotNull(), best)).alias("p"),
-        F.coalesce(F.bool_or("oversize"), F.lit(False)).alias("oversize"))
+        as_is = F.when(~F.col("too_large"), direct)
+        rank = F.least(as_is, late)
+        target = F.when(as_is.isNotNull() & (as_is <= F.coalesce(late, F.lit(9999))), F.lit("")).when(kind.isin(*TO_PDF), F.lit("pdf")).otherwise(F.lit("epub"))
+        use = F.struct(rank.alias("rank"), (~F.col("is_primary")).alias("other"), "asset_id", "format", target.alias("target"))
+        best[name] = F.struct(F.min(F.when(rank.isNotNull(), use)).alias("p"), F.bool_or(F.col("too_large") & direct.isNotNull()).alias("oversize"))
+    files = assets.select("book_id", F.col("id").alias("asset_id"), "format", "is_primary", size.alias("size")).withColumn("too_large", too_large)
+    uses = files.groupBy("book_id").agg(*[column.alias(f"for_{name}") for name, column in best.items()])
+    mine = reduce(lambda rest, name: F.when(F.col("preset") == name, F.col(f"for_{name}")).otherwise(rest), DIRECT, F.lit(None))
+    plans = requests.join(uses, "book_id", "left").select("request_id", mine.alias("mine")).groupBy("request_id").agg(
+        F.min("mine.p").alias("p"), F.coalesce(F.bool_or("mine.oversize"), F.lit(False)).alias("oversize"))
     reason = F.when(F.col("p").isNotNull(), F.lit("")).when(F.col("oversize"), F.lit("too_large")).otherwise(F.lit("no_compatible_format"))
     return plans.select("request_id", "p.asset_id", "p.format", "p.target", reason.alias("reason"))

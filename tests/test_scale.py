@@ -39,3 +39,17 @@ def test_long_segments_keep_whole_characters_of_both_ends(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(paths.short_segment(F.col("t"))).collect()]
     assert got[3:] == texts[3:] and all(len(s.encode()) <= 255 for s in got[:3])
     assert [(s.split("~")[0], s.split("~")[2]) for s in got[:3]] == [("é" * 59, "é" * 59), ("a" * 118, "a" * 119), ("😀" * 29, "😀" * 29 + "b")]
+
+
+def test_a_request_meets_one_row_of_its_book(spark):
+    files = rows(spark, "assets", *[{"id": i, "book_id": 1, "format": f, "is_primary": p, "original_size": s} for i, f, p, s in (
+        (1, "pdf", True, 5), (2, "txt", False, 5), (3, "fb2", False, 5), (4, "epub", False, 1 << 40))], {"id": 5, "book_id": 2, "format": "epub", "original_size": 1 << 40},
+        {"id": 6, "book_id": None, "format": "epub", "original_size": 1})
+    asked = spark.createDataFrame([(1, 1, "kindle"), (2, 1, "pocketbook"), (3, 1, "generic"), (4, 2, "kindle"), (5, 3, "kindle"), (6, None, "kindle"), (7, 1, None),
+                                   (8, 2, "kindle"), (8, 1, "pocketbook"), (8, 1, "pocketbook")], "request_id long, book_id long, preset string")
+    plan = matching.plan_delivery(asked, files)
+    assert {r.request_id: (r.asset_id, r.format, r.target, r.reason) for r in plan.collect()} == {
+        1: (3, "fb2", "epub", ""), 2: (3, "fb2", "", ""), 3: (None, None, None, "no_compatible_format"), 4: (None, None, None, "too_large"),
+        5: (None, None, None, "no_compatible_format"), 6: (None, None, None, "no_compatible_format"), 7: (None, None, None, "no_compatible_format"), 8: (3, "fb2", "", "")}
+    tree = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("Join LeftOuter") < tree.rindex("Aggregate [book_id")
