@@ -12,6 +12,35 @@ from tests.test_catalog import rows
 load_all()
 
 
+def readers(spark):
+    users = rows(spark, "users", *[{"id": i, "username": f"u{i}", "role": "reader", "content_scope": "shelves"} for i in (1, 2, 3, 4)],
+                 {"id": 9, "username": "all", "role": "member", "content_scope": "all"})
+    shelves = rows(spark, "shelves", *[{"id": i, "kind": "manual", "owner_id": 9, "visibility": "shared"} for i in (1, 2)],
+                   *[{"id": i, "kind": "query", "query": q, "query_match": q, "owner_id": 9, "visibility": "shared"} for i, q in ((5, "red"), (6, "blue"))])
+    given = rows(spark, "user_scope_shelves", *[{"user_id": u, "shelf_id": s} for u, s in ((1, 1), (1, 2), (2, 2), (2, 1), (3, 5), (3, 1), (9, 6))])
+    books = rows(spark, "shelf_books", *[{"shelf_id": s, "book_id": b} for s, b in ((1, 7), (1, 7), (1, 8), (2, 7), (2, None), (4, 5))])
+    return users, shelves, given, books
+
+
+def test_groups_see_each_book_once_and_are_not_shuffled(spark):
+    matches = spark.createDataFrame([(5, 8), (5, 20), (6, 30)], "shelf_id long, book_id long")
+    users, shelves, given, books = readers(spark)
+    seen = scope.visible_books_all(users, shelves, given, books, matches)
+    assert sorted((r.user_id, r.book_id or 0) for r in seen.collect()) == [
+        (1, 0), (1, 7), (1, 8), (2, 0), (2, 7), (2, 8), (3, 7), (3, 8), (3, 20)]
+    assert "hashpartitioning(shelves" not in seen._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_only_assigned_searches_are_evaluated(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(q_search, "index_of", lambda c: None)
+    monkeypatch.setattr(q_search.search, "evaluate_saved_queries", lambda index, shelves: asked.extend(
+        r.id for r in shelves.where("kind = 'query'").collect()) or spark.createDataFrame([(5, 20)], "shelf_id long, book_id long"))
+    users, shelves, given, books = readers(spark)
+    JOBS["visible_books_all"](Catalog.of(spark, users=users, shelves=shelves, user_scope_shelves=given, shelf_books=books)).collect()
+    assert asked == [5]
+
+
 def test_segments_are_made_once_and_where_the_rows_lie(spark):
     documents = spark.createDataFrame([(i, f"a: {'é' * i}") for i in range(0, 300, 50)], "doc_id long, text string").repartition(3, "doc_id")
     made = JOBS["render_book_path_long"](Catalog.of(spark, documents=documents))
