@@ -13,7 +13,7 @@ from foliant.functions.tagging import path_prefixes, tag_key
 from foliant.functions.text import SPACE, strip
 from foliant.functions.tokens import python_tokens, tokens
 from foliant.operators.browse import blank, live
-from foliant.session import cut_lineage, if_small, written
+from foliant.session import cut_lineage, fine_shuffles, if_small, written
 
 # Relevance weight of each indexed field, and the BM25 constants.
 WEIGHTS = {"title": 10.0, "authors": 8.0, "series": 4.0, "genres": 1.0, "tags": 1.0, "description": 1.0,
@@ -71,7 +71,8 @@ class SearchIndex:
         placed = rows.repartitionByRange(*parts, "term", "book_id").sortWithinPartitions("term", "book_id")
         if self.lists is not None:
             placed = one_row_each(placed)
-        placed.write.mode("overwrite").parquet(f"{path}/postings")
+        with fine_shuffles(rows.sparkSession, 16):
+            placed.write.mode("overwrite").parquet(f"{path}/postings")
         held = self.postings.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
         known = term_frequencies(held) if self.lists is None else self.frequencies
         known.write.mode("overwrite").parquet(f"{path}/frequencies")
@@ -137,7 +138,8 @@ def index_values(pieces: DataFrame, tag_keys: DataFrame | None = None) -> Search
     if tag_keys is not None:
         text = text.unionByName(tag_keys.select(
             "book_id", F.lit("tag_keys").alias("field"), "term", F.array(F.lit(0).cast("long")).alias("at"), F.lit(1).cast("long").alias("n")))
-    counted = written(text)
+    with fine_shuffles(pieces.sparkSession):
+        counted = written(text)
     lists = counted.where(F.size("at") > 0).select("book_id", "field", "term", "at")
     lengths = counted.groupBy("book_id").agg(F.sum("n").alias("length"))
     # A list stands for one book, so no book has to be told apart again.

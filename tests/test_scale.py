@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliant.functions import paths
-from foliant.operators import matching, scope
+from foliant.operators import matching, scope, search
 from foliant.plans import load_all, q_search
 from foliant.plans.registry import JOBS
 from foliant.sources.catalog import Catalog
@@ -82,3 +82,15 @@ def test_a_request_meets_one_row_of_its_book(spark):
         5: (None, None, None, "no_compatible_format"), 6: (None, None, None, "no_compatible_format"), 7: (None, None, None, "no_compatible_format"), 8: (3, "fb2", "", "")}
     tree = plan._jdf.queryExecution().optimizedPlan().toString()
     assert tree.index("Join LeftOuter") < tree.rindex("Aggregate [book_id")
+
+
+def test_the_index_is_built_in_small_partitions_and_settings_come_back(spark, monkeypatch):
+    keys = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes"]
+    seen, real = [], search.written
+    before = [spark.conf.get(k, None) for k in keys]
+    monkeypatch.setattr(search, "written", lambda df: seen.extend(spark.conf.get(k) for k in keys) or real(df))
+    pieces = spark.createDataFrame([(1, "title", 0, 0, "red red gear"), (1, "title", 1, 0, "gear"), (2, "series", 0, 0, None)],
+                                   "book_id long, field string, at long, tie long, text string")
+    index = search.index_values(pieces)
+    assert seen == ["8m", "256", "8m"] and [spark.conf.get(k, None) for k in keys] == before
+    assert sorted((r.term, r.pos) for r in index.postings.collect()) == [("gear", 2), ("gear", 3), ("red", 0), ("red", 1)]
