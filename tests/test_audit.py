@@ -1,6 +1,8 @@
 """Planted breaches of the model's clauses, on literal tables."""
 
 from foliant.operators.audit import audit_constraints
+from foliant.plans import load_all
+from foliant.plans.registry import JOBS
 from foliant.sources.catalog import SCHEMAS, Catalog
 
 
@@ -39,3 +41,18 @@ def test_one_key_shuffle(spark):
     """Besides the shuffle of keys there is only the one of the counts."""
     planned = audit_constraints(catalog(spark))._jdf.queryExecution().executedPlan().toString()
     assert planned.count("Exchange hashpartitioning") == 2
+
+
+def test_whole_numbers_are_keys_of_their_own(spark):
+    links = [{"book_id": b, "author_id": a} for b, a in ((1, None), (None, 1), (None, None), (1, 2), (2, 1), (None, None), (None, 1), (0, 0), (-1, 1))]
+    made = audit_constraints(catalog(spark, book_authors=links, books=[{"id": i} for i in (-1, 0, 1)], authors=[{"id": 1, "name": "a"}, {"id": None, "name": "b"}]))
+    assert "xxhash64(book_id" not in made._jdf.queryExecution().executedPlan().toString()
+    found = {r.rule: r.violations for r in made.where("tbl = 'book_authors'").collect()}
+    assert found == {"unique book_id, author_id": 2, "book_id in books": 1, "author_id in authors": 2}
+
+
+def test_the_query_counts_at_once(spark):
+    load_all()
+    made = JOBS["audit_constraints"](catalog(spark, books=[{"id": 1}, {"id": 1}]))
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.tbl, r.rule) for r in made.collect() if r.violations} == {("books", "unique id")}
