@@ -35,7 +35,7 @@ SHORT_TAILS, LONG_TAILS = "stmd", ("re", "ve", "ll")
 
 BLOCK = 256
 CHUNK = 1 << 19  # code points scanned at once; a longer text is scanned whole
-CACHED = 100_000
+CACHED = 200_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +150,9 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        # Ids of single bytes, and ranks of what two bytes make.
+        self.bytes = [self.ranks.get(bytes([b])) for b in range(256)]
+        self.twos = [[self.ranks.get(bytes([a, b]), len(self.tokens)) for b in range(256)] for a in range(256)]
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
 
@@ -160,17 +163,21 @@ class Codec:
         return self._merged_long(piece) if len(piece) > 128 else self._merged_short(piece)
 
     def _merged_short(self, piece: bytes) -> tuple[int, ...]:
-        get, none = self.ranks.get, len(self.tokens)
+        get, none, twos, single = self.ranks.get, len(self.tokens), self.twos, self.bytes
         edges = list(range(len(piece) + 1))
-        pairs = [get(piece[i: i + 2], none) for i in range(len(piece) - 1)]
+        ids = [single[b] for b in piece]
+        pairs = [twos[a][b] for a, b in zip(piece, piece[1:])]
         while pairs and (low := min(pairs)) < none:
             i = pairs.index(low)
-            del edges[i + 1], pairs[i]
+            ids[i] = low
+            del edges[i + 1], pairs[i], ids[i + 1]
             if i:
                 pairs[i - 1] = get(piece[edges[i - 1]: edges[i + 1]], none)
             if i < len(pairs):
                 pairs[i] = get(piece[edges[i]: edges[i + 2]], none)
-        return tuple(self.ranks[piece[a:b]] for a, b in zip(edges, edges[1:]))
+        if None in ids:
+            raise KeyError(f"a byte of {piece!r} has no rank")
+        return tuple(ids)
 
     def _merged_long(self, piece: bytes) -> tuple[int, ...]:
         get, n = self.ranks.get, len(piece)

@@ -45,6 +45,33 @@ def test_cache_turns(codec, library, monkeypatch):
     assert codec.encode(some) == [library.encode_ordinary(some[0])]
 
 
+def test_a_merged_pair_is_looked_up_once(codec, library):
+    asked = []
+
+    class Ranks(dict):
+        def get(self, key, *default):
+            asked.append(key)
+            return super().get(key, *default)
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    held, codec.ranks = codec.ranks, Ranks(codec.ranks)
+    try:
+        assert list(codec._merged_short(b" loqueesga")) == library.encode_ordinary(" loqueesga")
+    finally:
+        codec.ranks = held
+    assert asked and all(len(key) > 2 for key in asked)
+
+
+def test_a_byte_without_a_rank_is_an_error():
+    few = bpe.Codec(b"YQ== 0\nYmM= 1\nYWI= 2\n")  # a, bc, ab
+    assert few.merged(b"abc") == (0, 1)
+    with pytest.raises(KeyError):
+        few.merged(b"ba")
+
+
 def test_frames_round_trip(spark, library):
     some = texts()[:300] + [None]
     frame = spark.createDataFrame([(i % 50, t, "z") for i, t in enumerate(some)], "doc_id long, text string, ids string")
