@@ -94,3 +94,13 @@ def test_the_index_is_built_in_small_partitions_and_settings_come_back(spark, mo
     index = search.index_values(pieces)
     assert seen == ["8m", "256", "8m"] and [spark.conf.get(k, None) for k in keys] == before
     assert sorted((r.term, r.pos) for r in index.postings.collect()) == [("gear", 2), ("gear", 3), ("red", 0), ("red", 1)]
+
+
+def test_equal_searches_meet_their_books_without_a_shuffle(spark):
+    pieces = spark.createDataFrame([(b, "title", 0, 0, t) for b, t in ((1, "red gear"), (2, "red"), (3, "blue"))],
+                                   "book_id long, field string, at long, tie long, text string")
+    shelves = rows(spark, "shelves", *[{"id": i, "kind": "query", "query": q, "query_match": q or "", "owner_id": 9, "visibility": "shared"} for i, q in (
+        (1, "red"), (2, " red "), (3, "red"), (3, "red"), (4, "blue"), (5, None), (6, "red gear"), (7, "green"))])
+    found = search.evaluate_saved_queries(search.index_values(pieces), shelves)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 1), (3, 2), (3, 2), (4, 3), (6, 1)]
+    assert "hashpartitioning(first_shelf" not in found._jdf.queryExecution().executedPlan().toString()
