@@ -104,3 +104,44 @@ def test_equal_searches_meet_their_books_without_a_shuffle(spark):
     found = search.evaluate_saved_queries(search.index_values(pieces), shelves)
     assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 1), (3, 2), (3, 2), (4, 3), (6, 1)]
     assert "hashpartitioning(first_shelf" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def counted(spark, df, column):
+    """``df`` and a count of how often its rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def same(value):
+        made.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(same, df.schema[column].dataType).asNondeterministic()(column)), made
+
+
+def test_requests_are_read_in_one_job_and_limited_readers_need_a_shelf(spark):
+    users, shelves, given, books = readers(spark)
+    users = users.unionByName(users.where("id = 1"))
+    files = rows(spark, "assets", {"id": 70, "book_id": 7}, {"id": 80, "book_id": None})
+    stock = rows(spark, "books", *[{"id": b, "title": "t", "deleted_at": 5 if b == 20 else None} for b in (7, 8, 20, 30)])
+    told = [(1, "live", 7), (1, "live", 30), (2, "asset", 70), (2, "asset", 80), (2, "asset", 1), (3, "trashed", 20), (3, "live", 20), (4, "live", 7),
+            (9, "live", 30), (9, "trashed", 30), (77, "live", 7), (None, "live", 7), (9, "live", None), (3, "live", None)]
+    asked, made = counted(spark, spark.createDataFrame(told, "user_id long, kind string, target_id long"), "kind")
+    found = spark.createDataFrame([(5, 8), (5, 20), (6, 30)], "shelf_id long, book_id long")
+    got = scope.can_access(asked, users, scope.scope_shelves(users, shelves, given), books, lambda s, b: found, stock, files).collect()
+    right = {told[i] for i in (0, 2, 5, 8)}
+    # The account that is there twice has its rows four times, as the joins of its rows give them.
+    assert sorted(map(str, got)) == sorted(f"Row(user_id={r[0]}, kind={r[1]!r}, target_id={r[2]}, allowed={r in right})"
+                                           for r in told for _ in range(4 if r[0] == 1 else 1))
+    assert made.value == 2 * len(told)  # those for files and the others
+
+
+def test_a_limited_index_picks_terms_before_books(spark):
+    pieces = spark.createDataFrame([(b, "title", 0, 0, t) for b, t in ((1, "red gear"), (2, "red"), (3, "blue"), (4, "red gear"))],
+                                   "book_id long, field string, at long, tie long, text string")
+    index = search.index_values(pieces).within(spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "book_id long"))
+    named = index.of_terms(spark.createDataFrame([("red",), ("red",), ("gear",)], "term string"))
+    assert sorted((r.book_id, r.term, r.pos) for r in named.collect()) == [(1, "gear", 1), (1, "red", 0), (2, "red", 0)]
+    tree = named._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("(book_id") < tree.index("(term")
+    shelves = rows(spark, "shelves", *[{"id": i, "kind": "query", "query": q, "query_match": q, "owner_id": 9, "visibility": "shared"} for i, q in (
+        (1, "red"), (2, "red gear"), (3, "blue"))])
+    assert sorted(map(tuple, search.evaluate_saved_queries(index, shelves).collect())) == [(1, 1), (1, 2), (2, 1), (3, 3)]
