@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.formats import book_extension, filename_metadata, known_extension
 from foliant.functions.ordering import Key, previous_row, running_sum
 from foliant.functions.people import author_sort
 from foliant.functions.text import let, strip
+from foliant.session import written
 
 SAMPLE = 1024
 # Sampled offsets 0, 1K, 4K, ... 1G, the sidecar names and the ignored suffixes.
@@ -70,19 +71,19 @@ def dedupe_import(candidates: DataFrame, assets: DataFrame, books: DataFrame) ->
 
     Of candidates with equal bytes that the catalogue doesn't know, the one with the
     smallest id is imported and the others are duplicates of it, without an asset yet.
-    Sizes are compared first, so that only candidates of a known size need a
-    hash; the original and the current hash are matched by two equi-joins.
+    A match needs a known size and a known hash, the original or the current one. Hashes are
+    by far the widest keys: candidates are shuffled with theirs once, to meet each other and
+    the assets; what matched goes on without them, to its size and its book.
     """
     own = assets.select("id", "book_id", "original_hash", "current_hash", "original_size", "current_size")
     sizes = own.select(F.explode(F.array_distinct(F.array("original_size", "current_size"))).alias("size")).where("size IS NOT NULL").distinct()
-    likely = candidates.join(sizes, "size", "left_semi")
-    hashes = own.select(F.col("original_hash").alias("hash"), F.col("id").alias("asset_id"), "book_id").unionByName(
-        own.select(F.col("current_hash").alias("hash"), F.col("id").alias("asset_id"), "book_id"))
-    first = hashes.groupBy("hash").agg(F.min_by("book_id", "asset_id").alias("book_id"), F.min("asset_id").alias("asset_id"))
+    hashes = own.select(F.explode(F.array_distinct(F.array("original_hash", "current_hash"))).alias("hash"), F.col("id").alias("asset_id"), "book_id")
+    first = hashes.where("hash IS NOT NULL").groupBy("hash").agg(F.min_by("book_id", "asset_id").alias("book_id"), F.min("asset_id").alias("asset_id"))
+    equal = candidates.select("id", "size", "hash", F.when(F.col("hash").isNotNull(), F.min("id").over(Window.partitionBy("hash"))).alias("first_id"))
+    met = written(equal.join(first, "hash", "left").select("id", "size", "first_id", "asset_id", "book_id"))
     trash = books.select(F.col("id").alias("book_id"), F.col("deleted_at").isNotNull().alias("trashed"))
-    known = likely.join(first, "hash").join(trash, "book_id").select("id", "asset_id", "book_id", "trashed")
-    once = candidates.groupBy("hash").agg(F.min("id").alias("first_id"))
-    return candidates.select("id", "hash").join(once, "hash", "left").join(known, "id", "left").select(
+    known = met.where("book_id IS NOT NULL").join(sizes, "size", "left_semi").join(trash, "book_id").select("id", "asset_id", "book_id", "trashed")
+    return met.select("id", "first_id").join(known, "id", "left").select(
         "id", F.when(F.col("asset_id").isNull(), F.when(F.col("first_id") < F.col("id"), F.lit("duplicate")).otherwise(F.lit("imported"))).when(F.col("trashed"), F.lit("duplicate_trashed")).otherwise(F.lit("duplicate")).alias("status"),
         "asset_id", "book_id")
 

@@ -7,6 +7,7 @@ from foliant.operators import matching, scope, search
 from foliant.plans import load_all, q_search
 from foliant.plans.registry import JOBS
 from foliant.sources.catalog import Catalog
+from foliant.sources.files import dedupe_import
 from tests.test_catalog import rows
 
 load_all()
@@ -145,3 +146,19 @@ def test_a_limited_index_picks_terms_before_books(spark):
     shelves = rows(spark, "shelves", *[{"id": i, "kind": "query", "query": q, "query_match": q, "owner_id": 9, "visibility": "shared"} for i, q in (
         (1, "red"), (2, "red gear"), (3, "blue"))])
     assert sorted(map(tuple, search.evaluate_saved_queries(index, shelves).collect())) == [(1, 1), (1, 2), (2, 1), (3, 3)]
+
+
+def test_import_candidates_are_made_once(spark):
+    told = [(1, 7, "a"), (2, 7, "b"), (3, 9, "a"), (4, 1, "x"), (5, 1, "x"), (6, 7, "t"), (7, None, "a"), (8, 7, None), (8, 7, "a"), (None, 7, "a"), (9, 7, "gone")]
+    candidates, made = counted(spark, spark.createDataFrame(told, "id long, size long, hash string"), "hash")
+    assets = rows(spark, "assets", {"id": 31, "book_id": 1, "original_hash": "a", "current_hash": "b", "original_size": 7, "current_size": None},
+                  {"id": 30, "book_id": 2, "original_hash": "a", "current_hash": "a", "original_size": 8, "current_size": 7},
+                  {"id": 32, "book_id": 3, "original_hash": "t", "current_hash": None, "original_size": 7, "current_size": 7},
+                  {"id": 33, "book_id": 99, "original_hash": "gone", "current_hash": "gone", "original_size": 7, "current_size": 7})
+    got = dedupe_import(candidates, assets, rows(spark, "books", *[{"id": b, "title": "t", "deleted_at": 5 if b == 3 else None} for b in (1, 2, 3)])).collect()
+    # Rows of one id share what the others found, as before.
+    assert sorted(tuple(str(x) for x in r) for r in got) == sorted(tuple(str(x) for x in r) for r in [
+        (1, "duplicate", 30, 2), (2, "duplicate", 31, 1), (3, "duplicate", None, None), (4, "imported", None, None), (5, "duplicate", None, None),
+        (6, "duplicate_trashed", 32, 3), (7, "duplicate", None, None), (8, "duplicate", 30, 2), (8, "duplicate", 30, 2), (None, "imported", None, None),
+        (9, "imported", None, None)])
+    assert made.value == len(told)
