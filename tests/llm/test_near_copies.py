@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from foliant.llm.near_copies import _common, _ties, keep_one, near_copies
+from foliant.llm.near_copies import _common, _ties, band_keys, keep_one, near_copies, prefix, shingles
 
 
 def plain_shingles(text):
@@ -102,3 +102,30 @@ def test_pipeline_stage_finds_copies_that_four_bits_miss(spark):
     want = sorted(g[0] for g in partition(enumerate(plain(texts))))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
     assert simhash.keep_one(docs).count() > len(want)
+
+
+# Thirteen words of fourteen: 8 of 10 shingles are common, and no band.
+LOST = "w2926 w101 w1881 w2124 w576 w3819 w2189 w759 w827 w147 w2523 w466 w121 w3185".split()
+
+
+def test_copies_without_a_common_band_are_found(spark):
+    a, b = " ".join(LOST[:-1]), " ".join(LOST[1:])
+    assert not set(band_keys(shingles(a))) & set(band_keys(shingles(b))) and plain([a, b]) == [0, 0]
+    others = [f"{a} x{i} y{i} z{i} u{i} v{i}" for i in range(80)]  # farther ones, which make their shingles frequent
+    for texts in ([a, b], [a, b, *others]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+        assert partition((r["id"], r["component"]) for r in near_copies(docs).collect()) == partition(enumerate(plain(texts)))
+
+
+def test_near_copies_share_shingles_of_their_prefixes():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 4, 5, 9, 30, 300):
+        for _ in range(40):
+            base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            common = base[rng.random(n) < 0.95]
+            sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, n // 10).astype(np.uint64)])) for _ in range(2)]
+            both = len(np.intersect1d(*sets))
+            if both and 5 * both >= 4 * (len(sets[0]) + len(sets[1]) - both):
+                names = np.unique(base[: n // 2] >> np.uint64(23))
+                for order in ((names, rng.integers(4, 9, len(names))), (names[:0], names[:0])):
+                    assert len(np.intersect1d(*[prefix(s, *order) for s in sets])) >= min(4, -(-4 * max(map(len, sets)) // 5))
